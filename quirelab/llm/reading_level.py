@@ -42,7 +42,7 @@ def running_prose(text: Column) -> Column:
 
     Taken out: lines that start with ``>`` or ``|``, lines of dotted words, lines without an end
     mark and with fewer than six words (headings), what stands in brackets, single quoted or
-    underscored words, entities and marks of lists.
+    underscored words, entities and marks of lists. A line break before a capital ends a sentence.
     """
     t = F.regexp_replace(text, "﻿|&[a-z]+;", " ")
     t = F.regexp_replace(t, r"(?m)^[ \t]*+[>|][^\n]*+$", "")
@@ -50,7 +50,7 @@ def running_prose(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)^[ \t]*+(?:[^\s.!?;]++[ \t]*+){1,5}$", "")
     t = F.regexp_replace(t, r"\([^()\n]{0,200}\)|\[[^\[\]\n]{0,200}\]|\{[^{}\n]{0,200}\}|<[^<>\n]{0,200}>", " ")
     t = F.regexp_replace(t, "\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|(?<![\\p{L}])'[^'\n]{1,80}'(?![\\p{L}])|_[^_\n]{1,80}_", " ")
-    return t
+    return F.regexp_replace(t, r"[ \t]*+\n[ \t]*+(?=\p{Lu})", " .\n")
 
 
 def _names() -> list[str]:
