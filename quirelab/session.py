@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
@@ -23,17 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="quirelab-")
         spark._quirelab_dir = place
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(place)
     return place
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`shared_dir`; what is written there outlives lost executors."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    A checkpoint keeps the size estimate of its plan, and estimates of joins multiply, so in a
+    loop they would grow without bound; a written table has its own size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote below the shared folder; results must have been used or saved by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
