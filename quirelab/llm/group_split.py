@@ -17,7 +17,7 @@ def star_edges(links: DataFrame, via: str, vertex: str) -> DataFrame:
     Distinct links first, so a value on very many rows costs one row per vertex, and never all
     pairs. Null on either side links nothing.
     """
-    pairs = links.select(F.col(via).alias("v"), F.col(vertex).alias("b")).where("v is not null and b is not null").distinct()
+    pairs = cut(links.select(F.col(via).alias("v"), F.col(vertex).alias("b")).where("v is not null and b is not null").distinct())
     least = pairs.groupBy("v").agg(F.min("b").alias("a"))
     return pairs.join(least, "v").where("a <> b").select("a", "b").distinct()
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataF
     loops and repeats dropped, until none is left: about a quarter of the vertices of any
     component goes each round. Then the labels are unwound, latest round first. ``component`` is
     the least vertex of each component. A round costs two joins on vertices; since a hub keeps
-    its many edges over rounds, joins on it are left to AQE's skew handling.
+    its many edges over rounds, joins on it are left to AQE's skew handling. The joins are merge
+    joins at every size: a broadcast takes 16 MB of the driver each, and there are many rounds.
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType.simpleString()
@@ -44,16 +45,15 @@ def components(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataF
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         merged = cut(both.where(~heads(F.col("a")) & heads(F.col("b"))).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into")))
         rounds.append(merged)
-        first = live.join(merged.select(F.col("vertex").alias("a"), F.col("into").alias("x")), "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
-        second = first.join(merged.select(F.col("vertex").alias("b"), F.col("into").alias("y")), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
+        first = live.join(merged.select(F.col("vertex").alias("a"), F.col("into").alias("x")).hint("merge"), "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
+        second = first.join(merged.select(F.col("vertex").alias("b"), F.col("into").alias("y")).hint("merge"), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
         live = cut(second.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # A vertex that was merged into another is not merged again, so roots are found backwards.
+    # Each step uses the roots so far twice; without a cut the plan would double every round.
     roots = spark.createDataFrame([], f"vertex {kind}, root {kind}")
-    for k, merged in enumerate(reversed(rounds)):
-        step = merged.join(roots.select(F.col("vertex").alias("into"), "root"), "into", "left").select("vertex", F.coalesce("root", "into").alias("root"))
-        roots = roots.unionByName(step)
-        if k % 8 == 7:
-            roots = cut(roots)
+    for merged in reversed(rounds):
+        step = merged.join(roots.select(F.col("vertex").alias("into"), "root").hint("merge"), "into", "left").select("vertex", F.coalesce("root", "into").alias("root"))
+        roots = cut(roots.unionByName(step))
     labelled = vertices.join(roots, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
     least = labelled.groupBy("root").agg(F.min("vertex").alias("component"))
     return labelled.join(least, "root").select("vertex", "component")
