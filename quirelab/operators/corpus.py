@@ -2,7 +2,8 @@
 
 A corpus is a table ``[*by,] line_no, grp, words``: lines in order (``line_no`` is dense from 0),
 the group (quire) of each, and its words. ``by`` names extra keys (a replicate, a configuration);
-every operator works within each of their values at once, in one plan.
+every operator works within each of their values at once, in one plan. Key names of one letter, or with a
+leading underscore, are taken by the operators themselves.
 """
 
 from __future__ import annotations

@@ -23,7 +23,11 @@ FIELDS = [
 ]
 #: Ranks of a tie counted in one task.
 CHUNK = 1_000_000
-_clog = F.expr("sum(c * log2(c))")
+
+
+def _clog() -> Column:
+    """The sum of c log c over a table of counts ``c``."""
+    return F.expr("sum(c * log2(c))")
 
 
 def _one(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -42,9 +46,9 @@ def conditional_entropy(flat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     table is joined to the other; the last word starts no bigram and is corrected for.
     """
     single = flat.groupBy(*by, "word").agg(F.count("*").alias("c"), F.max("pos").alias("p"))
-    one = _one(single, by).agg(F.sum("c").alias("n"), _clog.alias("u"), F.max_by("c", "p").alias("last"))
+    one = _one(single, by).agg(F.sum("c").alias("n"), _clog().alias("u"), F.max_by("c", "p").alias("last"))
     pairs = followers(flat, by, "pos", "word", [1]).select(*by, "word", F.col("nexts")[0].alias("y")).where("y is not null")
-    two = _one(pairs.groupBy(*by, "word", "y").agg(F.count("*").alias("c")), by).agg(_clog.alias("b"))
+    two = _one(pairs.groupBy(*by, "word", "y").agg(F.count("*").alias("c")), by).agg(_clog().alias("b"))
     m = F.col("n") - 1
     h = -(F.col("b") - F.col("u") + F.log2("last") - m * F.log2(m.cast("double")) + m * F.log2(F.col("n").cast("double"))) / m
     joined = one.join(two, list(by), "left") if by else one.crossJoin(two)  # one row each
@@ -69,7 +73,7 @@ def mi_plateau(flat: DataFrame, by: Sequence[str] = (), nearest: int = 10, farth
     ahead = followers(coded, by, "pos", "x", ds)
     pairs = ahead.select(*by, "x", F.posexplode("nexts").alias("d", "y")).where("y is not null")
     keys = [*by, "d"]
-    part = lambda *cols: pairs.groupBy(*keys, *cols).agg(F.count("*").alias("c")).groupBy(*keys).agg(_clog.alias("s"), F.sum("c").alias("n"))
+    part = lambda *cols: pairs.groupBy(*keys, *cols).agg(F.count("*").alias("c")).groupBy(*keys).agg(_clog().alias("s"), F.sum("c").alias("n"))
     joint = part("x", "y").withColumnRenamed("s", "xy")
     sides = [part(c).select(*keys, F.col("s").alias(f"s{c}")) for c in ("x", "y")]
     mi = joint.join(sides[0], keys).join(sides[1], keys)
@@ -92,8 +96,8 @@ def edge_mi(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ends = lines.select(*by, "line_no", F.try_element_at("words", F.lit(-1)).alias("x"), F.get("words", F.lit(0)).alias("first"))
     pairs = followers(ends, by, "line_no", "first", [1]).select(*by, "x", F.col("nexts")[0].alias("y")).where("x is not null and y is not null")
     joint = pairs.groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
-    total = _one(joint, by).agg(_clog.alias("xy"), F.sum("c").alias("n"))
-    side = lambda c: _one(joint.groupBy(*by, c).agg(F.sum("c").alias("c")), by).agg(_clog.alias(f"s{c}"))
+    total = _one(joint, by).agg(_clog().alias("xy"), F.sum("c").alias("n"))
+    side = lambda c: _one(joint.groupBy(*by, c).agg(F.sum("c").alias("c")), by).agg(_clog().alias(f"s{c}"))
     put = lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b)
     mi = F.log2(F.col("n").cast("double")) + (F.col("xy") - F.col("sx") - F.col("sy")) / F.col("n")
     return put(put(total, side("x")), side("y")).select(*by, F.when(mi > 1e-12, mi).alias("edge_mi"))
@@ -159,7 +163,7 @@ def positional_divergence(lines: DataFrame, flat: DataFrame, by: Sequence[str] =
     n = _one(lines, by).agg(F.count("*").alias("n"))
     joined = flat.join(n, list(by)) if by else flat.crossJoin(F.broadcast(n))  # one row
     binned = joined.withColumn("x", F.col("line_no") / F.greatest(F.lit(1), F.col("n") - 1)).withColumn("b", bin_of("x"))
-    per = binned.groupBy(*by, "word", "b").agg(F.count("*").alias("c")).groupBy(*by, "word").agg(F.sum("c").alias("t"), F.count("*").alias("k"), _clog.alias("s"))
+    per = binned.groupBy(*by, "word", "b").agg(F.count("*").alias("c")).groupBy(*by, "word").agg(F.sum("c").alias("t"), F.count("*").alias("k"), _clog().alias("s"))
     return _one(per.where("t >= 2 and k > 1"), by).agg(F.expr("avg(log2(t) - s / t)").alias("positional_divergence"))
 
 
