@@ -17,7 +17,7 @@ from quirelab.functions.keys import plain_key
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces of a source over which expected copies are summed up.
-PIECES = 1024
+PIECES = 1 << 15
 # Fixed value: the split pattern of this vocabulary, as published with its family of tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -57,8 +57,8 @@ class Boosted:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
+        if not len(x) or not self.nodes:
+            return np.full(len(x), self.base)
         bins, rows = self._bin(x), np.arange(len(x))
         out = np.full(len(x), self.base)
         for feature, cut, leaf in self.nodes:
