@@ -42,6 +42,17 @@ def _flat(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy().view(np.uint64), lengths
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about SHARD words; a longer sequence is a piece of its own."""
+    ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + SHARD, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _windows(values: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Start of every window that lies in one sequence, and its minimizer."""
     if len(values) < length:
@@ -60,7 +71,7 @@ def _segmenter(length: int, hot: np.ndarray):
     """Sequences to segments ``seed, rep, pos, words``; windows of hot seeds alone, without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in _pieces(b)):
             rep = batch.column(0).to_numpy()
             values, lengths = _flat(batch.column(1))
             starts, seed = _windows(values, lengths, length)
