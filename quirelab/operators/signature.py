@@ -64,24 +64,37 @@ def line_lengths(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def mi_plateau(flat: DataFrame, by: Sequence[str] = (), nearest: int = 10, farthest: int = 50) -> DataFrame:
     """S3: mean over distances of the positive mutual informations of words that far apart.
 
-    MI = log n + (sum of c log c over pairs, minus the same over either side) / n, so three
-    independent aggregations do; words go by their 64-bit hashes. Null if the stream is not
-    longer than ``farthest``, or no distance has any.
+    MI = log n + (sum of c log c over pairs, minus the same over either side) / n. Only the pairs
+    are counted per distance. A side's counts are the word counts less what stands in the last (or
+    first) d places, so its sum is that of the word counts, corrected for at most ``farthest``
+    words. Words go by their 64-bit hashes. Null if the stream is not longer than ``farthest``, or
+    no distance has any.
     """
     ds = list(range(nearest, farthest + 1))
+    keys = [*by, "d"]
     coded = flat.select(*by, "pos", F.xxhash64("word").alias("x"))
     ahead = followers(coded, by, "pos", "x", ds)
-    pairs = ahead.select(*by, "x", F.posexplode("nexts").alias("d", "y")).where("y is not null")
-    keys = [*by, "d"]
-    part = lambda *cols: pairs.groupBy(*keys, *cols).agg(F.count("*").alias("c")).groupBy(*keys).agg(_clog().alias("s"), F.sum("c").alias("n"))
-    joint = part("x", "y").withColumnRenamed("s", "xy")
-    sides = [part(c).select(*keys, F.col("s").alias(f"s{c}")) for c in ("x", "y")]
-    mi = joint.join(sides[0], keys).join(sides[1], keys)
-    mi = mi.withColumn("mi", F.log2(F.col("n").cast("double")) + (F.col("xy") - F.col("sx") - F.col("sy")) / F.col("n"))
-    plateau = _one(mi, by).agg(F.avg(F.when(F.col("mi") > 0, F.col("mi"))).alias("mi_plateau"))
-    size = _one(flat, by).agg(F.count("*").alias("_n"))
-    joined = plateau.join(size, list(by)) if by else plateau.crossJoin(size)
-    return joined.select(*by, F.when(F.col("_n") >= farthest + 1, F.col("mi_plateau")).alias("mi_plateau"))
+    pairs = ahead.select(*by, "x", F.posexplode("nexts").alias("d", "y")).where("y is not null").withColumn("d", F.col("d") + nearest)
+    joint = pairs.groupBy(*keys, "x", "y").agg(F.count("*").alias("c")).groupBy(*keys).agg(_clog().alias("xy"), F.sum("c").alias("m"))
+    single = coded.groupBy(*by, "x").agg(F.count("*").alias("c"))
+    whole = _one(single, by).agg(F.sum("c").alias("n"), _clog().alias("u"))
+    with_whole = lambda df: df.join(whole, list(by)) if by else df.crossJoin(F.broadcast(whole))  # noqa: E731  # one row
+    placed = with_whole(coded)
+    # At most 2 x farthest words: the ends of the stream, with how often each occurs in all.
+    ends = placed.where(f"pos < {farthest} or pos >= n - {farthest}").join(single, [*by, "x"])
+    near = ends.select(*by, "x", "pos", "n", "c", F.explode(F.array(*map(F.lit, ds))).alias("d"))
+
+    def side(cut_off: str, name: str) -> DataFrame:
+        gone = near.where(cut_off).groupBy(*keys, "x").agg(F.count("*").alias("t"), F.first("c").alias("c"))
+        rest = F.expr("sum(if(c > t, (c - t) * log2(c - t), 0.0) - c * log2(c))")
+        return gone.groupBy(*keys).agg(rest.alias(name))
+
+    mi = with_whole(joint).join(side("pos >= n - d", "sx"), keys).join(side("pos < d", "sy"), keys)
+    bits = F.log2(F.col("m").cast("double")) + (F.col("xy") - 2 * F.col("u") - F.col("sx") - F.col("sy")) / F.col("m")
+    mi = mi.withColumn("mi", bits)
+    # Sums that cancel leave rounding, not information.
+    positive = F.when(F.col("mi") > 1e-9, F.col("mi"))
+    return _one(mi, by).agg(F.when(F.max("n") >= farthest + 1, F.avg(positive)).alias("mi_plateau"))
 
 
 def first_pair_agreement(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
