@@ -51,10 +51,10 @@ def box_counts(points: DataFrame, by: Sequence[str] = (), n_scales: int = 30, sp
     if spacing is None:
         w = Window.partitionBy(*by).orderBy(F.xxhash64("x", "y"), "x", "y")
         few = unit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select(*by, "r", "x", "y")
-        other = few.select(*by, F.col("r").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        # Pairs of at most SAMPLE points, a stated bound.
-        pairs = (few.join(other, list(by)) if by else few.crossJoin(other)).where("r < r2")
-        gap = pairs.groupBy(*by).agg(F.expr("percentile(sqrt(pow(x - x2, 2) + pow(y - y2, 2)), 0.01)").alias("gap"))
+        # Pairs of at most SAMPLE points, a stated bound, within one row.
+        listed = few.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("p"))
+        apart = F.expr(f"flatten(transform(p, (a, i) -> transform(slice(p, i + 2, {SAMPLE}), b -> sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)))))")
+        gap = listed.select(*by, F.explode(apart).alias("d")).groupBy(*by).agg(F.expr("percentile(d, 0.01)").alias("gap"))
         rows = unit.join(gap, list(by)) if by else unit.crossJoin(F.broadcast(gap))
     else:
         rows = unit.withColumn("gap", F.lit(float(spacing)))
@@ -79,3 +79,19 @@ def box_dimension(points: DataFrame, by: Sequence[str] = (), n_scales: int = 30,
     used = rows.where("case when oks >= 4 then ok = 1 else boxes < 0.95 * n end")
     fit = used.groupBy(*by).agg(F.expr("regr_slope(ln(boxes), ln(1 / scale))").alias("dimension"), F.coalesce(F.expr("regr_r2(ln(boxes), ln(1 / scale))"), F.lit(0.0)).alias("r2"), F.count("*").alias("scales"))
     return fit.where("scales >= 4")
+
+
+def stream_dimension(lines: DataFrame, flat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """the dimension of a whole stream's points; no row under 100 words or with one type."""
+    types = flat.groupBy(*by).agg(F.countDistinct("word").alias("types")).where("types >= 2")
+    found = box_dimension(line_points(lines, flat, by, "corpus"), by)
+    return (found.join(types, list(by)) if by else found.join(types, F.lit(True))).select(*found.columns)
+
+
+def observed_dimension(lines: DataFrame, flat: DataFrame) -> DataFrame:
+    """one row ``n_points, dimension, r2, scales, status`` with points by line; ``too few points`` under 100."""
+    points = line_points(lines, flat)
+    n = points.agg(F.count("*").alias("n_points"))
+    out = n.join(box_dimension(points), F.lit(True), "left")  # single rows
+    status = F.when(F.col("n_points") < 100, "too few points").when(F.col("dimension").isNull(), "too few scales").otherwise("ok")
+    return out.withColumn("status", status)

@@ -53,10 +53,15 @@ def time_series(df: DataFrame, at: str, value: str, by: Sequence[str] = (), bloc
     return prefix(rows, by, "_t", F.lit(1), "i", block_s * 1_000_000).select(*by, F.col("i").cast("long").alias("i"), "v")
 
 
-def line_corpus(line_records: DataFrame) -> DataFrame:
-    """line_records as a corpus, ordered by line_id; repeated deliveries count once. Null ids are left out."""
+def line_bag(line_records: DataFrame) -> DataFrame:
+    """line_records as lines without order: ``line_id, grp, words``; repeated deliveries count once. Null ids are left out."""
     rows = line_records.where("line_id is not null").select("line_id", normalize_quire(F.col("quire")).alias("grp"), line_words().alias("words"))
-    return number_lines(rows.dropDuplicates(["line_id"]), [], "line_id").select("line_no", "grp", "words")
+    return rows.dropDuplicates(["line_id"])
+
+
+def line_corpus(line_records: DataFrame) -> DataFrame:
+    """The same as a corpus, ordered by line_id."""
+    return number_lines(line_bag(line_records), [], "line_id").select("line_no", "grp", "words")
 
 
 def document_corpus(documents: DataFrame) -> DataFrame:
@@ -74,6 +79,11 @@ def words(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return flat.select(*by, (F.col("_start") + F.col("idx")).cast("long").alias("pos"), "line_no", "idx", "grp", "word")
 
 
+def word_bag(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The words ``[*by,] grp, word`` without order, for statistics of counts: no exchange at all."""
+    return lines.select(*dict.fromkeys([*by, "grp"]), F.explode("words").alias("word"))
+
+
 def followers(df: DataFrame, by: Sequence[str], order: str, value: str, distances: Sequence[int], block: int = BLOCK) -> DataFrame:
     """Add ``nexts``: the array of the values at each distance ahead (null beyond the end).
 

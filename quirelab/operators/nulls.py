@@ -80,36 +80,30 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
     """``replicate, line_no, grp, words``: a walk over the transitions, cut into the corpus' line lengths.
 
     The walk starts at a random run of words; an unseen state takes a random word. A walk is
-    sequential, so a replicate is one task, which gets the coded stream (8 bytes a word). Too
-    short a stream is copied.
+    sequential, so a replicate is one task, which gets the lines. Too short a stream is copied.
     """
-    coded = words(lines).groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
-    sizes = lines.groupBy().agg(F.array_sort(F.collect_list(F.struct("line_no", "grp", F.coalesce(F.size("words"), F.lit(0)).alias("k")))).alias("l"))
-    runs = lines.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    rows = runs.crossJoin(coded.crossJoin(sizes))  # one row per replicate
+    rows = lines.select(F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")).alias("replicate"), "line_no", "grp", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = int(pdf["replicate"].iloc[0])
-        stream = [x["word"] for x in pdf["s"].iloc[0]]
-        shape = [(x["line_no"], x["grp"], x["k"]) for x in pdf["l"].iloc[0]]
-        vocab, ids = np.unique(np.array(stream, dtype=object).astype(str), return_inverse=True) if stream else (np.array([]), np.array([], int))
-        n, rng = len(ids), np.random.default_rng([seed, r])
+        pdf = pdf.sort_values("line_no")
+        sizes = pdf["words"].map(len).to_numpy()
+        stream = np.concatenate([np.asarray(w, dtype=object) for w in pdf["words"]]) if sizes.sum() else np.array([], object)
+        ids, vocab = pd.factorize(stream, sort=True) if len(stream) else (np.array([], int), stream)
+        n, rng = len(ids), np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
         out = ids
         if n > order:
             after: dict[tuple, list[int]] = {}
+            coded = ids.tolist()
             for i in range(n - order):
-                after.setdefault(tuple(ids[i : i + order].tolist()), []).append(int(ids[i + order]))
+                after.setdefault(tuple(coded[i : i + order]), []).append(coded[i + order])
             start = int(rng.integers(n - order))
-            got = ids[start : start + order].tolist()
+            got = coded[start : start + order]
             while len(got) < n:
                 nexts = after.get(tuple(got[-order:]))
                 got.append(nexts[int(rng.integers(len(nexts)))] if nexts else int(rng.integers(len(vocab))))
             out = np.array(got[:n])
-        made, at, lists = vocab[out] if n else [], 0, []
-        for _, _, k in shape:
-            lists.append(list(made[at : at + k]))
-            at += k
-        return pd.DataFrame({"replicate": r, "line_no": [s[0] for s in shape], "grp": [s[1] for s in shape], "words": lists})
+        made = vocab[out] if n else stream
+        return pdf.assign(words=[list(x) for x in np.split(made, np.cumsum(sizes)[:-1])])
 
     return rows.groupBy("replicate").applyInPandas(walk, "replicate long, line_no long, grp string, words array<string>")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quirelab.operators import boxes, coding, series
 from quirelab.operators.corpus import encoded, followers, words
+from quirelab.session import cut
 
 #: Fields of the signature, in order.
 FIELDS = [
@@ -183,7 +184,7 @@ def positional_divergence(lines: DataFrame, flat: DataFrame, by: Sequence[str] =
 def fractal_fields(lines: DataFrame, flat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """S13 to S15 of ids by first appearance; null under 1000 words (S15: under 100 points)."""
     sizes = _one(flat, by).agg(F.count("*").alias("_n"))
-    ids = encoded(flat, by)
+    ids = cut(encoded(flat, by))
     dfa = series.hurst_dfa(ids, by).select(*by, F.col("h").alias("hurst_dfa"))
     mf = series.multifractal_summary(ids, by).select(*by, F.col("delta_h").alias("multifractal_delta_h"))
     box = boxes.box_dimension(boxes.line_points(lines, flat, by, least_words=2), by).select(*by, F.col("dimension").alias("box_dimension"))
@@ -193,8 +194,11 @@ def fractal_fields(lines: DataFrame, flat: DataFrame, by: Sequence[str] = ()) ->
 
 
 def joint_signature(lines: DataFrame, scores: DataFrame | None = None, by: Sequence[str] = (), fractal: bool = True) -> DataFrame:
-    """All fields as ``[*by,] field, value``, one row each; undefined values are null."""
-    flat = words(lines, by)
+    """All fields as ``[*by,] field, value``, one row each; undefined values are null.
+
+    The word stream is written once, since a dozen aggregations read it.
+    """
+    flat = cut(words(lines, by))
     parts = [
         conditional_entropy(flat, by), line_lengths(lines, by), mi_plateau(flat, by), first_pair_agreement(lines, by), edge_mi(lines, by), zipf_slope(flat, by),
         hapax_ratio(flat, by), coding.lz77_signature(flat, by), group_stability(lines, flat, by), positional_divergence(lines, flat, by),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelab.operators.corpus import words
+from quirelab.operators.corpus import word_bag
 from quirelab.operators.resample import bootstrap_draws
 from quirelab.session import cut
 
@@ -26,7 +26,7 @@ LEAST_WORDS = 100
 
 def word_types(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``[*by,] word, c``; empty words are left out."""
-    return words(lines, by).where("word <> ''").groupBy(*by, "word").agg(F.count("*").alias("c"))
+    return word_bag(lines, by).where("word <> ''").groupBy(*by, "word").agg(F.count("*").alias("c"))
 
 
 def merges(types: dict[str, int], vocabulary: int = VOCABULARY) -> tuple[list[str], list[tuple[str, str]]]:
@@ -143,7 +143,7 @@ def jaccard(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def group_inventories(lines: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """``grp, rank, unit`` of each group with at least LEAST_WORDS words."""
-    types = words(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c"))
+    types = word_bag(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c"))
     big = types.groupBy("grp").agg(F.sum("c").alias("n")).where(F.col("n") >= LEAST_WORDS).select("grp")
     return unit_inventory(types.join(big, "grp"), ["grp"], vocabulary)
 
@@ -171,7 +171,7 @@ def bootstrap_stability(lines: DataFrame, iterations: int = 100, vocabulary: int
     beside each other. Samples under LEAST_WORDS words are left out; the deviation is the sample
     one (0 for one sample). Under two groups there is no row.
     """
-    types = words(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c"))
+    types = word_bag(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c"))
     times = bootstrap_draws(lines, iterations, seed).groupBy("iter", "grp").agg(F.count("*").alias("m"))
     counts = times.join(types, "grp").groupBy("iter", "word").agg(F.sum(F.col("c") * F.col("m")).alias("c"))
     big = counts.groupBy("iter").agg(F.sum("c").alias("n")).where(F.col("n") >= LEAST_WORDS).select("iter")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirelab.functions.keys import normalize_quire, plain_key
 from quirelab.operators import boxes, coding, corpus, experiments, series, signature
 from quirelab.plans.sqltext import EVENTS, FLAT, QUIRE, profile, scale_table, scales
-from quirelab.session import table
+from quirelab.session import cut, table
 from quirelab.sources import audit, readers
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def _flat(spark: SparkSession, d: str) -> DataFrame:
     return corpus.words(lines_of(spark, d))
 
 
+def _bag(spark: SparkSession, d: str) -> DataFrame:
+    """Lines for statistics that do not look at order."""
+    return corpus.line_bag(table(spark, d, "line_records"))
+
+
 # --- sources, parsing, joins -------------------------------------------------------------------
 
 _TABLES = ["customer", "documents", "embeddings", "events", "line_records", "lineitem", "nation", "orders", "page_records", "part", "region", "supplier"]
@@ -130,7 +135,7 @@ def agreement_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {FLAT} select word, count(*) as c from flat group by 1")
 def word_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return signature.word_counts(_flat(spark, d))
+    return signature.word_counts(corpus.word_bag(_bag(spark, d)))
 
 
 @query(f"with {FLAT} select line_no, len(words) as n_words, sum(len(words)) over (order by line_no)::bigint as \"end\" from lines")
@@ -190,17 +195,17 @@ def _one(name: str) -> str:
 
 @query(_one("hapax_ratio"))
 def hapax_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return signature.hapax_ratio(_flat(spark, d))
+    return signature.hapax_ratio(corpus.word_bag(_bag(spark, d)))
 
 
 @query(_one("line_lengths"))
 def token_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return signature.line_lengths(lines_of(spark, d))
+    return signature.line_lengths(_bag(spark, d))
 
 
 @query(_one("zipf_slope"))
 def zipf_slope(spark: SparkSession, d: str) -> DataFrame:
-    return signature.zipf_slope(_flat(spark, d))
+    return signature.zipf_slope(corpus.word_bag(_bag(spark, d)))
 
 
 @query(_one("conditional_entropy"))
@@ -215,7 +220,7 @@ def edge_mi(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_one("first_pairs"))
 def d1_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return signature.first_pair_agreement(lines_of(spark, d))
+    return signature.first_pair_agreement(_bag(spark, d))
 
 
 @query(_one("mi_plateau"))
@@ -256,8 +261,8 @@ def joint_signature_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def joint_signature_rest(spark: SparkSession, d: str) -> DataFrame:
-    lines = lines_of(spark, d)
-    flat = corpus.words(lines)
+    lines = cut(lines_of(spark, d))
+    flat = cut(corpus.words(lines))
     parts = [coding.lz77_signature(flat), signature.fractal_fields(lines, flat)]
     return reduce(lambda a, b: a.crossJoin(b), parts)  # single rows
 
@@ -381,12 +386,12 @@ def lz77_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def huffman_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return coding.huffman_ratio(_flat(spark, d).select("grp", F.col("word").alias("sym")), ["grp"])
+    return coding.huffman_ratio(corpus.word_bag(_bag(spark, d)).select("grp", F.col("word").alias("sym")), ["grp"])
 
 
 @query()
 def huffman_codes(spark: SparkSession, d: str) -> DataFrame:
-    return coding.huffman_codes(_flat(spark, d).select(F.col("word").alias("sym")))
+    return coding.huffman_codes(corpus.word_bag(_bag(spark, d)).select(F.col("word").alias("sym")))
 
 
 # The texts of the control corpora.

@@ -210,12 +210,12 @@ _TYPES = "t as (select words, count(*) as c, min(line_no) as f from lines group
 
 @query(f"with {LINES}, {_TYPES}, r as (select c, ln(c) as y, ln(row_number() over (order by c desc)) as x from t) select count(*) as types, avg((c = 1)::int) as hapax_ratio, regr_slope(y, x) as zipf_slope from r")
 def line_type_hapax(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.line_type_statistics(lines_of(spark, d))
+    return experiments.line_type_statistics(corpus.line_bag(table(spark, d, "line_records")))
 
 
 @query(f"with {LINES}, {_TYPES} select avg(len(words)) filter (c = 1) as hapax_mean, stddev_pop(len(words)) filter (c = 1) as hapax_sd, avg(len(words)) filter (c > 1) as other_mean, stddev_pop(len(words)) filter (c > 1) as other_sd, avg(len(words)) filter (c = 1) - avg(len(words)) filter (c > 1) as difference from t")
 def hapax_length_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.hapax_lengths(lines_of(spark, d))
+    return experiments.hapax_lengths(corpus.line_bag(table(spark, d, "line_records")))
 
 
 @query(f"with {LINES}, {_TYPES} select count(*) as novel, avg((c = 1)::int) as novel_hapax, avg(c) as mean_frequency, median(c) as median_frequency from t where f > 1000")
@@ -292,17 +292,17 @@ def sweep_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bpe_vocab(spark: SparkSession, d: str) -> DataFrame:
     """G1, G2."""
-    return units.unit_inventory(units.word_types(lines_of(spark, d)))
+    return units.unit_inventory(units.word_types(corpus.line_bag(table(spark, d, "line_records"))))
 
 
 @query()
 def bpe_jaccard_by_group(spark: SparkSession, d: str) -> DataFrame:
-    return units.group_coverage(lines_of(spark, d))
+    return units.group_coverage(corpus.line_bag(table(spark, d, "line_records")))
 
 
 @query()
 def bpe_presence(spark: SparkSession, d: str) -> DataFrame:
-    return units.unit_presence(lines_of(spark, d))
+    return units.unit_presence(corpus.line_bag(table(spark, d, "line_records")))
 
 
 @query()

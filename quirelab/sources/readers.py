@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelab.functions.keys import normalize_quire, strip
-from quirelab.schema import COORDINATE, SIGNATURE
+from quirelab.schema import COORDINATE, INTERVALS, SIGNATURE
 
 
 def read_first(spark: SparkSession, parquet: str, json: str, schema: str | None = None) -> DataFrame:
@@ -125,6 +125,16 @@ def load_signature(spark: SparkSession, path: str, compute=None) -> DataFrame:
         return spark.read.schema(SIGNATURE).json(path)
 
 
+def save_intervals(intervals: DataFrame, path: str) -> None:
+    """Tolerance intervals as JSON lines; nulls are kept."""
+    intervals.select("field", "observed", "bootstrap_mean", "sd", "lower", "upper").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Saved tolerance intervals."""
+    return spark.read.schema(INTERVALS).json(path)
+
+
 def save_folds(rows: DataFrame, path: str) -> None:
     """Rows with their fold, one folder per fold."""
     rows.write.mode("overwrite").partitionBy("fold").json(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelab.operators import corpus, experiments, series, signature
-from quirelab.operators.boxes import box_dimension, line_points
+from quirelab.operators.boxes import box_dimension, line_points, observed_dimension, stream_dimension
 
 LINES = [["a", "b"], ["b", "c"], ["c", "a"], ["a", "b", "c"], ["b", "a"], ["c", "b"], ["a", "c"], ["b", "c", "a"]]
 GROUPS = list("AABBAABB")
@@ -118,6 +118,18 @@ def test_by_group(spark):
     assert got == {"a", "b", "aggregate"}
 
 
+def test_stream_boxes(spark):
+    few = make(spark, LINES)
+    assert stream_dimension(few, corpus.words(few)).count() == 0
+    assert observed_dimension(few, corpus.words(few)).first()["status"] == "too few points"
+    many = make(spark, [[f"w{(i * j) % 37}" for j in range(12)] for i in range(120)])
+    assert stream_dimension(many, corpus.words(many)).first()["dimension"] > 0.5
+    seen = observed_dimension(many, corpus.words(many)).first()
+    assert seen["n_points"] == 1440 and seen["status"] == "ok"
+    one = make(spark, [["a"] * 200])
+    assert stream_dimension(one, corpus.words(one)).count() == 0
+
+
 def test_boxes(spark):
     grid = spark.createDataFrame([(i / 29, j / 29) for i in range(30) for j in range(30)], "x double, y double")
     line = spark.createDataFrame([(i / 99, i / 99) for i in range(100)], "x double, y double")

@@ -66,6 +66,9 @@ def test_sinks(spark, tmp_path):
     assert got == {"a": 1.234568, "b": None} and readers.load_signature(spark, path).count() == 2
     with pytest.raises(FileNotFoundError):
         readers.read_first(spark, str(tmp_path / "p"), str(tmp_path / "q"))
+    bounds = spark.createDataFrame([("a", 1.0, 1.1, 0.1, 0.8, 1.2), ("b", None, None, None, None, None)], "field string, observed double, bootstrap_mean double, sd double, lower double, upper double")
+    readers.save_intervals(bounds, str(tmp_path / "i"))
+    assert sorted(map(tuple, readers.load_intervals(spark, str(tmp_path / "i")).collect())) == sorted(map(tuple, bounds.collect()))
     readers.save_table(sig, str(tmp_path / "j"))
     assert readers.read_first(spark, str(tmp_path / "p"), str(tmp_path / "j"), "field string, value double").count() == 2
     readers.save_folds(sig.withColumn("fold", F.lit(1)), str(tmp_path / "f"))
