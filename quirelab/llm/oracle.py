@@ -21,8 +21,18 @@ c as (select term, count(*) as occurrences, count(distinct line_id) as records f
 m as (select term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from lines) then 'common' end as mark from c)"""
 _QUIRE = "nullif(case when length(trim({0})) > 1 and lower(left(trim({0}), 1)) = 'q' then substr(trim({0}), 2) else trim({0}) end, '')"
 _ITEM_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
+_READING = r"nullif(array_to_string(regexp_extract_all(lower(regexp_replace(coalesce(r.{0}, ''), '<[^>]*>|\{{[^}}]*\}}', ' ', 'g')), '[\p{{L}}*]+'), ' '), '')"
+_READERS = ["zl", "it", "cd", "gc"]
 
 ORACLE = {
+    # Ties go to the source that agrees most often with the others, which is here also the order of the fit.
+    "p6_found": f"""
+with n as (select mm_id, arg_max(struct_pack(zl_text, it_text, cd_text, gc_text), updated_at) as r from mismatch_main group by mm_id),
+l as (select mm_id, s, t from (select mm_id, {", ".join(_READING.format(x + "_text") + f" as {x}" for x in _READERS)} from n) unpivot (t for s in (zl, it, cd, gc))),
+rel as (select a.s, avg((a.t = b.t)::int) as q from l a join l b on a.mm_id = b.mm_id and a.s <> b.s group by 1),
+v as (select mm_id, t, count(*) as c, max(q) as q from l join rel using (s) group by all),
+d as (select mm_id from v group by 1 having sum(c) >= 2 and count(*) >= 2)
+select mm_id, arg_max(t, (c, q)) as consensus from v where mm_id in (select mm_id from d) group by 1""",
     "p1_found": f"{_COUNTS} select term, mark from m where mark is not null",
     "p1_incremental": f"{_COUNTS} select term, occurrences, records, mark from m",
     "p2_found": f"""
