@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset (tests, a laptop)
-    a temporary folder is made and set for the rest of the session.
+    ``spark.checkpoint.dir`` names it on a cluster, or the checkpoint folder set on the context;
+    only where neither is set (tests, a laptop) a temporary folder is made for the session.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quirelab_dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_quirelab_dir", None)
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="quirelab-")
         spark._quirelab_dir = place
