@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quirelab.functions.grammar import line_words
 from quirelab.functions.keys import normalize_quire
+from quirelab.functions.times import clock_micros
 from quirelab.session import cut
 
 #: Rows of a block; prefix sums run over blocks first and within a block then.
@@ -49,7 +50,7 @@ def time_series(df: DataFrame, at: str, value: str, by: Sequence[str] = (), bloc
 
     Times are counted in blocks of ``block_s`` seconds.
     """
-    rows = df.where(f"{at} is not null and {value} is not null").select(*by, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("v"))
+    rows = df.where(f"{at} is not null and {value} is not null").select(*by, clock_micros(F.col(at)).alias("_t"), F.col(value).cast("double").alias("v"))
     return prefix(rows, by, "_t", F.lit(1), "i", block_s * 1_000_000).select(*by, F.col("i").cast("long").alias("i"), "v")
 
 

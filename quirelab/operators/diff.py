@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelab.functions.times import clock_micros
 from quirelab.operators.skew import hot_keys
 
 
@@ -76,7 +77,7 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, version: str, field
     """
 
     def side(df: DataFrame, n: int) -> DataFrame:
-        micros = F.unix_micros(F.col(version).cast("timestamp"))
+        micros = clock_micros(F.col(version))
         return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lit(n).alias("side"), micros.alias("version"), *(c.alias(f) for f, c in fields.items()))
 
     both = side(left, 0).unionByName(side(right, 1))

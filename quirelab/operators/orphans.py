@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelab.functions.keys import plain_key
+from quirelab.functions.times import clock_micros, clock_month
 from quirelab.operators.skew import hot_keys, salted_join
 
 #: End of a period that has none, as microseconds; later than any timestamp.
@@ -60,7 +61,7 @@ def force_runs(parents: DataFrame, key: Column, added: Column, deleted: Column)
     with very many rows is not sorted in one piece. ``first_deleted``: the earliest end of any row.
     A row without added time is never in force but shows that the key exists.
     """
-    rows = parents.select(key.alias("key"), F.unix_micros(added.cast("timestamp")).alias("lo"), F.unix_micros(deleted.cast("timestamp")).alias("end"))
+    rows = parents.select(key.alias("key"), clock_micros(added).alias("lo"), clock_micros(deleted).alias("end"))
     rows = rows.where("key is not null").withColumn("month", F.expr("floor(lo / 2592000000000)"))
     longest = rows.groupBy("key", "month", "lo").agg(F.max(F.coalesce("end", F.lit(OPEN))).alias("hi"), F.min("end").alias("end"))
     ends = longest.groupBy("key").agg(F.min("end").alias("first_deleted"))
@@ -78,7 +79,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot: dict | None = No
     it ended at or before that time, else ``late``. References without key or time are none.
     Repeated references come out once; hot keys are salted.
     """
-    refs = refs.where("key is not null and at is not null").select("key", "record_key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.date_format("at", "yyyy-MM").alias("ref_month"))
+    refs = refs.where("key is not null and at is not null").select("key", "record_key", clock_micros(F.col("at")).alias("t"), clock_month(F.col("at")).alias("ref_month"))
     hot = hot_keys(refs, F.col("key")) if hot is None else hot
     joined = salted_join(refs, parents.withColumn("known", F.lit(True)), "key", F.col("record_key"), "left", hot)
     gone = joined.where(f"coalesce({_at_or_before('runs', 't')}.hi <= t, true)")
@@ -90,7 +91,7 @@ def orphans_by_table(lines: DataFrame, pages: DataFrame, folios: DataFrame) -> D
     """Lines whose page, and pages whose folio, is not in force at the time.
 
     Returns ``table_name, record_key, ref_month, reason``. A page counts once, by its key, at its
-    earliest added time and with the folio of that row; deliveries of a line count once.
+    earliest added time and with the folio of the first row that names one; deliveries of a line count once.
     """
     line_refs = lines.where("line_id is not null").select(plain_key(F.col("page")).alias("key"), F.col("recorded_at").alias("at"), F.col("line_id").cast("string").alias("record_key"))
     page_keys = pages.select(plain_key(F.col("page_id")).alias("record_key"), plain_key(F.col("folio")).alias("key"), F.col("added_at").alias("at")).where("record_key is not null and at is not null")

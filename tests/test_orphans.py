@@ -69,3 +69,16 @@ def test_hot_keys_and_salting(spark):
         plain = left.join(right, "k", how)
         assert sorted(map(str, salted_join(left, right, "k", F.col("id"), how).select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     assert hot_keys(left.limit(0), F.col("k")) == {}
+
+
+def test_clock_times(spark):
+    from quirelab.functions.times import clock_micros, clock_month
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.sql("select timestamp_ntz'2021-03-28 02:30:00.000001' as a, timestamp_ntz'1969-12-31 23:59:59.5' as b, cast(null as timestamp_ntz) as c")
+        r = df.select(*(clock_micros(F.col(x)) for x in "abc"), *(clock_month(F.col(x)) for x in "abc")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(r) == (1616898600000001, -500000, None, "2021-03", "1969-12", None)
