@@ -4,14 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers on every machine, once per context.
+
+    It is added to the context like any submitted Python file, from where executors fetch it;
+    a package that was submitted as an archive already is not sent again.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_quirelab_shipped", False) or not root.is_dir():
+        return
+    sc._quirelab_shipped = True
+    archive = Path(tempfile.mkdtemp(prefix="quirelab-")) / "quirelab_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "quirelab").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
