@@ -9,24 +9,11 @@ from pyspark.sql import functions as F
 
 from quirelab.functions.keys import normalize_quire, plain_key
 from quirelab.operators import boxes, coding, corpus, experiments, series, signature
-from quirelab.plans.sqltext import EVENTS, FLAT, QUIRE, profile, scale_table, scales
+from quirelab.plans.sqltext import EVENTS, FLAT, QUIRE, profile, registry, scale_table, scales
 from quirelab.session import cut, table
 from quirelab.sources import audit, readers
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, and its SQL if there is any."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, ORACLE, query = registry()
 
 
 def lines_of(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +157,7 @@ def sorted_vocabulary_ids(spark: SparkSession, d: str) -> DataFrame:
 def line_points(spark: SparkSession, d: str) -> DataFrame:
     lines = lines_of(spark, d)
     flat = corpus.words(lines)
-    return boxes.line_points(lines, flat, keep=("line_no", "idx"))
+    return boxes.line_points(lines, flat, keep=("line_no", "idx")).withColumn("idx", F.col("idx").cast("long"))
 
 
 # --- signature ---------------------------------------------------------------------------------
@@ -193,54 +180,54 @@ def _one(name: str) -> str:
     return f"with {FLAT}, {_S[name]}"
 
 
-@query(_one("hapax_ratio"))
+@query(_one("hapax_ratio"), "hapax_ratio")
 def hapax_ratio(spark: SparkSession, d: str) -> DataFrame:
     return signature.hapax_ratio(corpus.word_bag(_bag(spark, d)))
 
 
-@query(_one("line_lengths"))
+@query(_one("line_lengths"), "length_mean length_variance length_skew")
 def token_length_stats(spark: SparkSession, d: str) -> DataFrame:
     return signature.line_lengths(_bag(spark, d))
 
 
-@query(_one("zipf_slope"))
+@query(_one("zipf_slope"), "zipf_slope")
 def zipf_slope(spark: SparkSession, d: str) -> DataFrame:
     return signature.zipf_slope(corpus.word_bag(_bag(spark, d)))
 
 
-@query(_one("conditional_entropy"))
+@query(_one("conditional_entropy"), "conditional_entropy")
 def conditional_entropy(spark: SparkSession, d: str) -> DataFrame:
     return signature.conditional_entropy(_flat(spark, d))
 
 
-@query(_one("edge_mi"))
+@query(_one("edge_mi"), "edge_mi")
 def edge_mi(spark: SparkSession, d: str) -> DataFrame:
     return signature.edge_mi(lines_of(spark, d))
 
 
-@query(_one("first_pairs"))
+@query(_one("first_pairs"), "onset coda onset_coda_ratio")
 def d1_agreement(spark: SparkSession, d: str) -> DataFrame:
     return signature.first_pair_agreement(_bag(spark, d))
 
 
-@query(_one("mi_plateau"))
+@query(_one("mi_plateau"), "mi_plateau")
 def mi_plateau(spark: SparkSession, d: str) -> DataFrame:
     return signature.mi_plateau(_flat(spark, d))
 
 
-@query(_one("group_stability"))
+@query(_one("group_stability"), "group_stability")
 def quire_stability(spark: SparkSession, d: str) -> DataFrame:
     lines = lines_of(spark, d)
     return signature.group_stability(lines, corpus.words(lines))
 
 
-@query(_one("positional_divergence"))
+@query(_one("positional_divergence"), "positional_divergence")
 def positional_divergence(spark: SparkSession, d: str) -> DataFrame:
     lines = lines_of(spark, d)
     return signature.positional_divergence(lines, corpus.words(lines))
 
 
-@query("select avg(similarity_score) as cross_agreement from mismatch_main")
+@query("select avg(similarity_score) as cross_agreement from mismatch_main", "cross_agreement")
 def score_mean(spark: SparkSession, d: str) -> DataFrame:
     return signature.cross_agreement(table(spark, d, "mismatch_main"))
 
@@ -253,7 +240,7 @@ _LEFT_OUT = ["lz77_ratio", "hurst_dfa", "multifractal_delta_h", "box_dimension"]
 _LONG = " union all ".join(f"select '{f}' as field, (select {f} from (with {FLAT}, {_S[k]})) as value" for k, fs in _PER.items() for f in fs)
 
 
-@query(_LONG + " union all select 'cross_agreement', avg(similarity_score) from mismatch_main union all select 'template_transition', null")
+@query(_LONG + " union all select 'cross_agreement', avg(similarity_score) from mismatch_main union all select 'template_transition', null", "value")
 def joint_signature_long(spark: SparkSession, d: str) -> DataFrame:
     """The fields that SQL can say; joint_signature_rest has the others."""
     return signature.joint_signature(lines_of(spark, d), table(spark, d, "mismatch_main"), fractal=False).where(~F.col("field").isin(_LEFT_OUT))
@@ -270,7 +257,7 @@ def joint_signature_rest(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with r as (select *, case when similarity_score between 0 and 1 then len(list_filter([0.1e0, 0.2e0, 3*0.1e0, 0.4e0, 0.5e0, 6*0.1e0, 7*0.1e0, 0.8e0, 0.9e0], lambda e: e <= similarity_score)) end as b from mismatch_main)
 select count(*) as n, avg(coalesce(eva_agreement, false)::int) * 100 as agreement_pct, avg(similarity_score) as mean, median(similarity_score) as median, stddev_pop(similarity_score) as sd, min(similarity_score) as min, max(similarity_score) as max,
 quantile_cont(similarity_score, 0.1) as p10, quantile_cont(similarity_score, 0.5) as p50, quantile_cont(similarity_score, 0.9) as p90, quantile_cont(similarity_score, 0.99) as p99,
-""" + "[" + ", ".join(f"count(*) filter (b = {i})" for i in range(10)) + "] as histogram, " + ", ".join(f"sum(coalesce(len(list_filter(sources_present, lambda v: v = '{s}')), 0)) * 100.0 / count(*) as pct_{s.lower()}" for s in ("ZL", "IT", "CD", "FG", "GC")) + " from r")
+""" + "[" + ", ".join(f"count(*) filter (b = {i})" for i in range(10)) + "] as histogram, " + ", ".join(f"sum(coalesce(len(list_filter(sources_present, lambda v: v = '{s}')), 0)) * 100.0 / count(*) as pct_{s.lower()}" for s in ("ZL", "IT", "CD", "FG", "GC")) + " from r", "agreement_pct mean median sd min max p10 p50 p90 p99 pct_zl pct_it pct_cd pct_fg pct_gc")
 def transcription_report(spark: SparkSession, d: str) -> DataFrame:
     out = experiments.transcription_report(table(spark, d, "mismatch_main"))
     return out.select("*", *(F.col("presence")[s].alias(f"pct_{s.lower()}") for s in ("ZL", "IT", "CD", "FG", "GC"))).drop("presence")
@@ -301,17 +288,17 @@ f as (select k, avg(r / s) as f from w group by 1 having count(*) >= 4)
 select count(*) as scales, greatest(0, least(1, regr_slope(ln(f), ln(k)))) as h from f"""
 
 
-@query(f"with {EVENTS}, {profile()}, {_DFA}")
+@query(f"with {EVENTS}, {profile()}, {_DFA}", "h")
 def hurst_dfa(spark: SparkSession, d: str) -> DataFrame:
     return series.hurst_dfa(_events(spark, d))
 
 
-@query(f"with {EVENTS}, {profile()}, {_RS}")
+@query(f"with {EVENTS}, {profile()}, {_RS}", "h")
 def hurst_rs(spark: SparkSession, d: str) -> DataFrame:
     return series.hurst_rs(_events(spark, d))
 
 
-@query(f"with a as (with {EVENTS}, {profile()}, {_RS}), b as (with {EVENTS}, {profile()}, {_DFA}) select a.h as rs, b.h as dfa, (a.h + b.h) / 2 as mean, abs(a.h - b.h) / 2 as std from a, b")
+@query(f"with a as (with {EVENTS}, {profile()}, {_RS}), b as (with {EVENTS}, {profile()}, {_DFA}) select a.h as rs, b.h as dfa, (a.h + b.h) / 2 as mean, abs(a.h - b.h) / 2 as std from a, b", "rs dfa mean std")
 def hurst_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return series.hurst_ensemble(_events(spark, d))
 
@@ -324,7 +311,7 @@ s as (select g, j as i, v from e where m >= {least} union all select 'aggregate'
 k as (select g, n, unnest({scales(4, 'least(n // 4, 1000)', 30)}) as k from (select g, max(n) as n from prof group by 1)),
 w as (select p.g, k, i // k as win, regr_syy(z, i % k) - pow(regr_sxy(z, i % k), 2) / regr_sxx(z, i % k) as ss from prof p join k on p.g = k.g where i // k < p.n // k and p.n // k >= 4 group by all),
 f as (select g, k, avg(sqrt(greatest(ss, 0) / k)) as f from w where ss > 0 group by all having count(*) >= 4)
-select g as event_type, count(*) as scales, greatest(0, least(1, regr_slope(ln(f), ln(k)))) as h from f group by 1 having count(*) >= 5""")
+select g as event_type, count(*) as scales, greatest(0, least(1, regr_slope(ln(f), ln(k)))) as h from f group by 1 having count(*) >= 5""", "h")
 def hurst_by_group(spark: SparkSession, d: str) -> DataFrame:
     return series.by_group(_events(spark, d, "event_type"), "event_type", 20, series.hurst_dfa)
 
@@ -337,12 +324,12 @@ y as (select *, q * hq - 1 as tau, coalesce((lead(hq) over o - lag(hq) over o) /
 select {g}q, hq, tau, r2, hq + q * s as alpha, q * (hq + q * s) - tau as f_alpha from y"""
 
 
-@query(f"with {EVENTS}, {profile()}, k as ({scale_table(16, '(select max(n) from prof) // 4', 20)}), " + _MF.format(g="", join=", k", part=""))
+@query(f"with {EVENTS}, {profile()}, k as ({scale_table(16, '(select max(n) from prof) // 4', 20)}), " + _MF.format(g="", join=", k", part=""), "hq tau r2 alpha f_alpha")
 def mfdfa_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return series.multifractal(_events(spark, d))
 
 
-@query(f"with {_BY_TYPE.format(least=1000)}, {profile('g')}, k as (select g, unnest({scales(16, 'n // 4', 20)}) as k from (select g, max(n) as n from prof group by 1)), " + _MF.format(g="g, ", join="join k using (g)", part="partition by g").replace("select g, q, hq, tau, r2, hq + q * s as alpha, q * (hq + q * s) - tau as f_alpha from y", "select g as event_type, max(hq) - min(hq) as delta_h, max(hq + q * s) - min(hq + q * s) as delta_alpha, avg(r2) as mean_r2, min(r2) as min_r2 from y group by 1"))
+@query(f"with {_BY_TYPE.format(least=1000)}, {profile('g')}, k as (select g, unnest({scales(16, 'n // 4', 20)}) as k from (select g, max(n) as n from prof group by 1)), " + _MF.format(g="g, ", join="join k using (g)", part="partition by g").replace("select g, q, hq, tau, r2, hq + q * s as alpha, q * (hq + q * s) - tau as f_alpha from y", "select g as event_type, max(hq) - min(hq) as delta_h, max(hq + q * s) - min(hq + q * s) as delta_alpha, avg(r2) as mean_r2, min(r2) as min_r2 from y group by 1"), "delta_h delta_alpha mean_r2 min_r2")
 def mfdfa_by_group(spark: SparkSession, d: str) -> DataFrame:
     return series.by_group(_events(spark, d, "event_type"), "event_type", 1000, series.multifractal_summary)
 
@@ -352,7 +339,7 @@ u as (select (x - lx) / (hx - lx) as x, (y - ly) / (hy - ly) as y, n from p, b),
 s as (select pow(10, log10(0.5e0) + t * (log10(0.04e0) - log10(0.5e0)) / 29) as scale from range(0, 30) r(t)),
 c as (select scale, n, count(distinct (least(floor(x * ceil(1 / scale)), ceil(1 / scale) - 1), least(floor(y * ceil(1 / scale)), ceil(1 / scale) - 1))) as boxes from u, s where ceil(1 / scale) between 2 and 1024 group by all having count(distinct (least(floor(x * ceil(1 / scale)), ceil(1 / scale) - 1), least(floor(y * ceil(1 / scale)), ceil(1 / scale) - 1))) > 1),
 g as (select count(*) filter (boxes < 0.9 * n and boxes > 4) as k from c)
-select regr_slope(ln(boxes), ln(1 / scale)) as dimension, regr_r2(ln(boxes), ln(1 / scale)) as r2, count(*) as scales from c, g where case when k >= 4 then boxes < 0.9 * n and boxes > 4 else boxes < 0.95 * n end""")
+select regr_slope(ln(boxes), ln(1 / scale)) as dimension, regr_r2(ln(boxes), ln(1 / scale)) as r2, count(*) as scales from c, g where case when k >= 4 then boxes < 0.9 * n and boxes > 4 else boxes < 0.95 * n end""", "dimension r2")
 def box_dimension(spark: SparkSession, d: str) -> DataFrame:
     """At a given spacing; with the sampled one see joint_signature_rest."""
     points = table(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))

@@ -7,25 +7,14 @@ from pyspark.sql import functions as F
 
 from quirelab.operators import corpus, experiments, mechanisms, nulls, resample, signature, units
 from quirelab.plans.corpus import lines_of
-from quirelab.plans.sqltext import FLAT, LINES
+from quirelab.plans.sqltext import FLAT, LINES, registry
 from quirelab.session import cut, table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES, ORACLE, query = registry()
 #: Lines that each mechanism generates in these queries (a parameter of the operator).
 N_LINES = 4000
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _draw(n: str, *parts: str) -> str:
     return f"(('0x' || substr(md5({_text(*parts)}), 1, 8))::bigint % {n})"
 
@@ -100,7 +89,7 @@ _HAPAX_ITER = "u as (select iter, word, count(*) as c from (select iter, unnest(
 @query(f"""with {FLAT}, {_DRAWS}, {_HAPAX_ITER}, z as (select iter, ln(c) as y, ln(row_number() over (partition by iter order by c desc)) as x from u), s as (select iter, regr_slope(y, x) as v from z group by 1),
 o as (select word, count(*) as c from flat group by 1), oz as (select ln(c) as y, ln(row_number() over (order by c desc)) as x from o),
 b as (select 'hapax_ratio' as field, (select avg((c = 1)::int) from o) as observed, avg(v) as bootstrap_mean, stddev_pop(v) as sd from h union all select 'zipf_slope', (select regr_slope(y, x) from oz), avg(v), stddev_pop(v) from s)
-select field, observed, bootstrap_mean, sd, observed - 2 * sd as lower, observed + 2 * sd as upper from b""")
+select field, observed, bootstrap_mean, sd, observed - 2 * sd as lower, observed + 2 * sd as upper from b""", "observed bootstrap_mean sd lower upper")
 def tolerance_two_fields(spark: SparkSession, d: str) -> DataFrame:
     """H5 for the two fields whose replicates SQL computes in time; 30 iterations."""
     lines = lines_of(spark, d)
@@ -134,7 +123,7 @@ def interval_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_SRC}, u as (select o.grp as left_out, word, count(*) as c from (select distinct grp from lines) o, (select grp, unnest(words) as word from lines) w where w.grp <> o.grp group by all),
 v as (select left_out, avg((c = 1)::int) as value from u group by 1), o as (select avg((c = 1)::int) as observed from (select word, count(*) as c from (select unnest(words) as word from lines) group by 1))
-select 'hapax_ratio' as field, any_value(observed) as observed, min(value) as lowest, max(value) as highest, max(abs(value - observed)) as max_change, cast(null as double) as max_change_sd, arg_max(left_out, abs(value - observed)) as extreme_group, 1::int as "rank" from v, o""")
+select 'hapax_ratio' as field, any_value(observed) as observed, min(value) as lowest, max(value) as highest, max(abs(value - observed)) as max_change, cast(null as double) as max_change_sd, arg_max(left_out, abs(value - observed)) as extreme_group, 1::int as "rank" from v, o""", "observed lowest highest max_change")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     """X9, D7 for one field: how the hapax ratio moves without each transcription source."""
     lines = _by_source(spark, d)
@@ -208,17 +197,17 @@ def null_models(spark: SparkSession, d: str) -> DataFrame:
 _TYPES = "t as (select words, count(*) as c, min(line_no) as f from lines group by 1)"
 
 
-@query(f"with {LINES}, {_TYPES}, r as (select c, ln(c) as y, ln(row_number() over (order by c desc)) as x from t) select count(*) as types, avg((c = 1)::int) as hapax_ratio, regr_slope(y, x) as zipf_slope from r")
+@query(f"with {LINES}, {_TYPES}, r as (select c, ln(c) as y, ln(row_number() over (order by c desc)) as x from t) select count(*) as types, avg((c = 1)::int) as hapax_ratio, regr_slope(y, x) as zipf_slope from r", "hapax_ratio zipf_slope")
 def line_type_hapax(spark: SparkSession, d: str) -> DataFrame:
     return experiments.line_type_statistics(corpus.line_bag(table(spark, d, "line_records")))
 
 
-@query(f"with {LINES}, {_TYPES} select avg(len(words)) filter (c = 1) as hapax_mean, stddev_pop(len(words)) filter (c = 1) as hapax_sd, avg(len(words)) filter (c > 1) as other_mean, stddev_pop(len(words)) filter (c > 1) as other_sd, avg(len(words)) filter (c = 1) - avg(len(words)) filter (c > 1) as difference from t")
+@query(f"with {LINES}, {_TYPES} select avg(len(words)) filter (c = 1) as hapax_mean, stddev_pop(len(words)) filter (c = 1) as hapax_sd, avg(len(words)) filter (c > 1) as other_mean, stddev_pop(len(words)) filter (c > 1) as other_sd, avg(len(words)) filter (c = 1) - avg(len(words)) filter (c > 1) as difference from t", "hapax_mean hapax_sd other_mean other_sd difference")
 def hapax_length_contrast(spark: SparkSession, d: str) -> DataFrame:
     return experiments.hapax_lengths(corpus.line_bag(table(spark, d, "line_records")))
 
 
-@query(f"with {LINES}, {_TYPES} select count(*) as novel, avg((c = 1)::int) as novel_hapax, avg(c) as mean_frequency, median(c) as median_frequency from t where f > 1000")
+@query(f"with {LINES}, {_TYPES} select count(*) as novel, avg((c = 1)::int) as novel_hapax, avg(c) as mean_frequency, median(c) as median_frequency from t where f > 1000", "novel_hapax mean_frequency")
 def novelty_survival(spark: SparkSession, d: str) -> DataFrame:
     return experiments.novelty_survival(lines_of(spark, d))
 

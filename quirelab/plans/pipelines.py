@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 
 from quirelab.operators import boxes, corpus, experiments, resample, series, signature, units
 from quirelab.plans.corpus import lines_of
-from quirelab.plans.sqltext import FLAT, LINES, QUIRE
+from quirelab.plans.sqltext import FLAT, LINES, QUIRE, registry
 from quirelab.session import cut, scratch_path, table
 from quirelab.sources import readers
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, ORACLE, query = registry()
 
 
 def run_representation(raw_lines: DataFrame, pages: DataFrame | None, folios: DataFrame | None, mismatches: DataFrame, out: str) -> DataFrame:

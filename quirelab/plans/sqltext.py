@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import functions as F
+
 VALUE = r"""'"(?:[^"]|"")+"|''(?:[^'']|'''')+''|“(?:[^”]|””)+”|«(?:[^»]|»»)+»|[\p{L}*]+'"""
 UNQUOTE = """case when regexp_matches(v, '^["“«'']') then replace(v[2:-2], v[-1:] || v[-1:], v[-1:]) else v end"""
 
@@ -46,3 +50,31 @@ def scales(low: int, high: str, count: int) -> str:
 def scale_table(low: int, high: str, count: int) -> str:
     """The same as a table (k); ``high`` may be a subquery."""
     return f"select distinct k from (select {_power(low, 'hi', count)} as k, hi from range(0, {count}) r(t), (select {high} as hi)) where k >= {low} and k <= hi"
+
+
+def registry():
+    """``QUERIES, ORACLE`` and a decorator ``query(sql, doubles)`` that fills them.
+
+    ``doubles`` names columns that are sums of floating point numbers: engines add in different
+    orders, so both sides round them to six decimals.
+    """
+    queries: dict = {}
+    oracle: dict[str, str] = {}
+
+    def query(sql: str | None = None, doubles: str = ""):
+        names = doubles.split()
+
+        def put(f):
+            @wraps(f)
+            def run(spark, d):
+                df = f(spark, d)
+                return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in names}) if names else df
+
+            queries[f.__name__] = run
+            if sql:
+                oracle[f.__name__] = f"select * replace ({', '.join(f'round({c}, 6) + 0e0 as {c}' for c in names)}) from ({sql})" if names else sql
+            return run
+
+        return put
+
+    return queries, oracle, query

@@ -103,7 +103,7 @@ def boundaries(corpus: DataFrame) -> DataFrame:
     """A10: ``line_no, n_words, end``: the running number of words up to and with each line."""
     from quirelab.operators.corpus import prefix
 
-    sized = corpus.select("line_no", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"))
+    sized = corpus.select("line_no", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
     return prefix(sized, [], "line_no", F.col("n_words"), "s").select("line_no", "n_words", (F.col("s") + F.col("n_words")).alias("end"))
 
 
