@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirelab.operators import mechanisms as me
 from quirelab.operators import nulls
 from quirelab.operators.resample import interval_scores, match_report
-from quirelab.operators.signature import joint_signature, zipf_from_counts
+from quirelab.operators.signature import bin_of, joint_signature, zipf_from_counts
 
 
 # The parameter grids of the published sweeps.
@@ -119,8 +119,6 @@ def transcription_report(rows: DataFrame, sources: Sequence[str] = ("ZL", "IT",
     that list it, a source listed twice counting twice. Missing agreement is disagreement. Without
     scores the statistics are 0; without rows there is no row.
     """
-    from quirelab.operators.signature import bin_of
-
     binned = rows.withColumn("_bin", F.when(F.col("similarity_score").between(0, 1), bin_of("similarity_score")))
     s, share = "similarity_score", lambda x: F.coalesce(x, F.lit(0.0))
     zero = lambda e, name: F.coalesce(e.cast("double"), F.lit(0.0)).alias(name)
