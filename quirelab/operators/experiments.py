@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirelab.operators import mechanisms as me
 from quirelab.operators import nulls
 from quirelab.operators.resample import interval_scores, match_report
-from quirelab.operators.signature import bin_of, joint_signature, zipf_from_counts
+from quirelab.operators.signature import bin_of, joint_signature, zipf_from_counts, zipf_from_ties
 
 
 # The parameter grids of the published sweeps.
@@ -78,6 +78,12 @@ def line_type_statistics(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("zipf_slope", F.when(F.col("types") >= 10, F.col("zipf_slope")))
 
 
+def grid_statistics(ties: DataFrame, by: Sequence[str] = ("config_id", "seed")) -> DataFrame:
+    """D3 of the corpora of a grid from ``[*by,] lines, words, c, m``: ``m`` line types occur ``c`` times."""
+    head = ties.groupBy(*by).agg(F.max("lines").alias("lines"), F.max("words").alias("words"), F.sum("m").alias("types"), (F.sum(F.when(F.col("c") == 1, F.col("m")).otherwise(0)) / F.sum("m")).alias("hapax_ratio"))
+    return head.join(zipf_from_ties(ties, by), list(by)).withColumn("zipf_slope", F.when(F.col("types") >= 10, F.col("zipf_slope")))
+
+
 def hapax_lengths(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lengths of line types that occur once against the others: means, population deviations, difference."""
     t = type_counts(lines, by).withColumn("k", F.coalesce(F.size("words"), F.lit(0)))

@@ -123,7 +123,11 @@ def zipf_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Types with equal counts are kept as one row, ranked over these rows (few, at most about the
     root of twice the corpus), and their ranks are rolled out in pieces over the tasks.
     """
-    ties = counts.groupBy(*by, "c").agg(F.count("*").alias("m"))
+    return zipf_from_ties(counts.groupBy(*by, "c").agg(F.count("*").alias("m")), by)
+
+
+def zipf_from_ties(ties: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from ``[*by,] c, m``: ``m`` types occur ``c`` times."""
     start = F.sum("m").over(Window.partitionBy(*by).orderBy(F.desc("c"))) - F.col("m")
     pieces = ties.withColumn("a", start).withColumn("k", F.explode(F.expr(f"sequence(0L, cast((m - 1) div {CHUNK} as bigint))")))
     ranks = pieces.select(*by, "c", F.explode(F.expr(f"sequence(a + k * {CHUNK} + 1, a + least(m, (k + 1) * {CHUNK}))")).alias("r"))

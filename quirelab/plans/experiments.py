@@ -12,8 +12,6 @@ from quirelab.plans.sqltext import FLAT, LINES, registry
 from quirelab.session import cut, table
 
 QUERIES, ORACLE, query = registry()
-#: Lines that each mechanism generates in these queries (a parameter of the operator).
-N_LINES = 4000
 
 
 def _draw(n: str, *parts: str) -> str:
@@ -214,12 +212,16 @@ def novelty_survival(spark: SparkSession, d: str) -> DataFrame:
 # --- mechanisms --------------------------------------------------------------------------------
 
 
+def _n_lines(configs: list, n_words: int) -> int:
+    """As many lines as the corpus has words, as in the published sweeps; fractal lines have that many words in all."""
+    return max(1, round(n_words / configs[0].length_mean)) if isinstance(configs[0], mechanisms.Fractal) else n_words
+
+
 def _grid(spark: SparkSession, d: str, configs: list, seeds=(42,)) -> DataFrame:
-    lines = lines_of(spark, d)
-    made = cut(mechanisms.generate(spark, configs, mechanisms.seed_lines(lines), N_LINES, seeds))
-    stats = experiments.line_type_statistics(made, ["config_id", "seed"])
-    sizes = made.groupBy("config_id", "seed").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
-    return sizes.join(stats, ["config_id", "seed"]).join(mechanisms.config_table(spark, configs), "config_id")
+    """Line types of a grid grown from all lines to the corpus's size."""
+    seed, n_words = mechanisms.seed_table(lines_of(spark, d))
+    ties = cut(mechanisms.grid_type_counts(spark, configs, seed, _n_lines(configs, n_words), seeds))
+    return experiments.grid_statistics(ties).join(mechanisms.config_table(spark, configs), "config_id")
 
 
 @query()
@@ -270,7 +272,8 @@ def scatter(spark: SparkSession, d: str) -> DataFrame:
 def sweep_scores(spark: SparkSession, d: str) -> DataFrame:
     """Signatures of a grid scored against ten-iteration intervals."""
     lines, _, intervals = _intervals(spark, d, 10)
-    made = cut(mechanisms.generate(spark, experiments.attachment_grid(), mechanisms.seed_lines(lines), 1000))
+    seed, n_words = mechanisms.seed_table(lines)
+    made = cut(mechanisms.generate(spark, experiments.attachment_grid(), seed, n_words))
     return experiments.score_grid(made, intervals)
 
 
