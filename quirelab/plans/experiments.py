@@ -113,8 +113,8 @@ def tolerance_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def interval_score(spark: SparkSession, d: str) -> DataFrame:
-    """The within-line null model against intervals of ten iterations."""
-    lines, _, intervals = _intervals(spark, d, 10)
+    """The within-line null model against the intervals."""
+    lines, _, intervals = _intervals(spark, d)
     return experiments.null_baseline(lines, intervals)
 
 
@@ -224,36 +224,52 @@ def _grid(spark: SparkSession, d: str, configs: list, seeds=(42,)) -> DataFrame:
     return experiments.grid_statistics(ties).join(mechanisms.config_table(spark, configs), "config_id")
 
 
+def _scored(spark: SparkSession, d: str, configs: list, seeds=(42,)) -> DataFrame:
+    """Line types of a grid, and D9: the signature of each of its corpora against the intervals; most matches first."""
+    lines, _, intervals = _intervals(spark, d)
+    seed, n_words = mechanisms.seed_table(lines)
+    n = _n_lines(configs, n_words)
+    ties = cut(mechanisms.grid_type_counts(spark, configs, seed, n, seeds))
+    scores = experiments.score_grid(cut(mechanisms.generate(spark, configs, seed, n, seeds)), intervals)
+    rows = experiments.grid_statistics(ties).join(scores, ["config_id", "seed"]).join(mechanisms.config_table(spark, configs), "config_id")
+    return rows.orderBy(F.desc("matches"), "config_id", "seed")
+
+
 @query()
 def self_citation_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, experiments.self_citation_grid())
+    """X1."""
+    return _scored(spark, d, experiments.self_citation_grid())
 
 
 @query()
 def dictionary_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, experiments.dictionary_grid())
+    """X2."""
+    return _scored(spark, d, experiments.dictionary_grid())
 
 
 @query()
 def pa_grid(spark: SparkSession, d: str) -> DataFrame:
+    """X3 without its scores, which are in sweep_scores."""
     return _grid(spark, d, experiments.attachment_grid())
 
 
 @query()
 def fractal_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, experiments.fractal_grid())
+    """X4."""
+    return _scored(spark, d, experiments.fractal_grid())
 
 
 @query()
 def vocab_dynamics_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, experiments.vocabulary_grid())
+    """X6."""
+    return _scored(spark, d, experiments.vocabulary_grid())
 
 
 @query()
 def pa_exhaustive(spark: SparkSession, d: str) -> DataFrame:
     """44 configurations by five seeds, summed up over the seeds."""
-    rows = _grid(spark, d, experiments.attachment_sweep(), (42, 101, 202, 303, 404))
-    return experiments.seed_summary(rows, ["config_id", "parameters"], ["hapax_ratio", "zipf_slope"])
+    rows = _scored(spark, d, experiments.attachment_sweep(), (42, 101, 202, 303, 404))
+    return experiments.seed_summary(rows, ["config_id", "parameters"], ["hapax_ratio", "zipf_slope", "matches"])
 
 
 @query()
@@ -270,8 +286,8 @@ def scatter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sweep_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures of a grid scored against ten-iteration intervals."""
-    lines, _, intervals = _intervals(spark, d, 10)
+    """Signatures of a grid scored against the intervals."""
+    lines, _, intervals = _intervals(spark, d)
     seed, n_words = mechanisms.seed_table(lines)
     made = cut(mechanisms.generate(spark, experiments.attachment_grid(), seed, n_words))
     return experiments.score_grid(made, intervals)

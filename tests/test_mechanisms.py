@@ -49,3 +49,22 @@ def test_changes_at_once():
     changed = rows != np.arange(5)
     assert set(changed.sum(1)) == {2} and changed.any(0).all() and set(rows.ravel()) == set(range(5))
     assert set(flat[2000:2400]) == set(range(5)) and set(flat[2400:]) == set(range(1, 5))
+
+
+def test_grids_are_scored(spark, data, monkeypatch):
+    """Every sweep is scored on corpora of the corpus's size, against intervals of thirty iterations."""
+    asked = []
+    bounds = spark.createDataFrame([("hapax_ratio", 0.0, 1.0), ("length_mean", -2.0, -1.0)], "field string, lower double, upper double")
+    lines = make(spark, [[f"w{i % 7}", f"v{i}", "x"] for i in range(60)])
+
+    def intervals(spark, d, iterations=30, fractal=False):
+        asked.append(iterations)
+        return lines, None, bounds
+
+    monkeypatch.setattr(plans, "_intervals", intervals)
+    rows = plans.QUERIES["self_citation_grid"](spark, data).collect()
+    assert len(rows) == 6 and all(r["lines"] == 180 and 1 <= r["matches"] < r["total"] for r in rows)
+    assert [r["matches"] for r in rows] == sorted((r["matches"] for r in rows), reverse=True)
+    assert len(plans.QUERIES["sweep_scores"](spark, data).collect()) == 6
+    plans.QUERIES["interval_score"](spark, data)
+    assert asked == [30, 30, 30]
