@@ -53,13 +53,13 @@ def vocabulary_grid() -> list:
     ]
 
 
-def score_grid(corpora: DataFrame, intervals: DataFrame, by: Sequence[str] = ("config_id", "seed"), fractal: bool = False) -> DataFrame:
+def score_grid(corpora: DataFrame, intervals: DataFrame, by: Sequence[str] = ("config_id", "seed"), fractal: bool = True) -> DataFrame:
     """Signatures of all corpora of a grid in one plan, scored: ``[*by,] matches, total, match_fraction``, best first."""
     scores = interval_scores(joint_signature(corpora, None, by, fractal), intervals, by)
     return match_report(scores, by).orderBy(F.desc("matches"), *by)
 
 
-def null_baseline(lines: DataFrame, intervals: DataFrame, seed: int = 42, fractal: bool = False) -> DataFrame:
+def null_baseline(lines: DataFrame, intervals: DataFrame, seed: int = 42, fractal: bool = True) -> DataFrame:
     """The within-line permutation, scored."""
     return match_report(interval_scores(joint_signature(nulls.word_shuffle(lines, seed), None, (), fractal), intervals))
 

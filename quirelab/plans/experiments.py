@@ -97,7 +97,7 @@ def tolerance_two_fields(spark: SparkSession, d: str) -> DataFrame:
     return resample.tolerance(both(flat, []), both(many, ["iter"]))
 
 
-def _intervals(spark: SparkSession, d: str, iterations: int = 30, fractal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _intervals(spark: SparkSession, d: str, iterations: int = 30, fractal: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = cut(lines_of(spark, d))
     observed = cut(signature.joint_signature(lines, None, (), fractal))
     many = resample.resampled(lines, resample.bootstrap_draws(lines, iterations))
@@ -107,7 +107,7 @@ def _intervals(spark: SparkSession, d: str, iterations: int = 30, fractal: bool
 
 @query()
 def tolerance_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """H5 with all fields but the fractal ones, 30 iterations in one plan."""
+    """H5 with all fields, 30 iterations in one plan."""
     return _intervals(spark, d)[2]
 
 
