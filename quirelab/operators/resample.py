@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelab.operators.corpus import number_lines, prefix
+from quirelab.operators.corpus import number_lines, prefix, word_bag
+from quirelab.session import cut
 
 #: Group labels that are shuffled on the driver; beyond that the order is that of a hash.
 ON_DRIVER = 100_000
@@ -141,6 +142,42 @@ def without_each_group(lines: DataFrame) -> DataFrame:
     return number_lines(ordered, ["left_out"], "o").select("left_out", "line_no", "grp", "words")
 
 
+def count_fields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """X9 for the fields that follow from counts, over any number of groups: observed ``field, value``, and ``left_out, field, value``.
+
+    Fields: length_mean, length_variance, length_skew, onset, coda, onset_coda_ratio, hapax_ratio.
+    What is left without a group is the total minus the group's own count. Of a word only the
+    groups with all its occurrences, or all but one, change the single words: at most two groups.
+    """
+    k = F.size("words").cast("long")
+    full = lambda x: F.coalesce(F.sum(F.when(k > 0, x)), F.lit(0)).cast("long")
+    pair = lambda x: F.coalesce(F.sum(F.when(k >= 2, x.cast("long"))), F.lit(0))
+    same = lambda a, b: F.try_element_at("words", F.lit(a)) == F.try_element_at("words", F.lit(b))
+    sums = lines.groupBy("grp").agg(full(F.lit(1)).alias("n"), full(k).alias("s1"), full(k * k).alias("s2"), full(k * k * k).alias("s3"), pair(F.lit(1)).alias("n2"), pair(same(1, 2)).alias("on"), pair(same(-1, -2)).alias("co"))
+    counts = word_bag(lines).groupBy("grp", "word").agg(F.count("*").alias("c"))
+    per = counts.groupBy("word").agg(F.sum("c").alias("t"), F.max("c").alias("m"), F.max_by("grp", F.struct("c", "grp")).alias("top"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    change = lambda g, types, single: F.struct(F.col(g).alias("grp"), F.lit(types).cast("long").alias("types"), F.lit(single).cast("long").alias("single"))
+    hit = F.when(F.expr("m = t and t = 1"), F.array(change("top", 1, 1))).when(F.expr("m = t"), F.array(change("top", 1, 0))).when(F.expr("t = 2"), F.array(change("lo", 0, -1), change("hi", 0, -1))).when(F.expr("t - m = 1"), F.array(change("top", 0, -1)))
+    gone = per.select(F.explode(hit).alias("h")).groupBy(F.col("h.grp").alias("grp")).agg(F.sum("h.types").alias("types"), F.sum("h.single").alias("single"))
+    own = cut(sums.join(gone, "grp", "left").na.fill(0, ["types", "single"]))
+    names = [c for c in own.columns if c != "grp"]
+    words = per.agg(F.count("*").alias("types"), F.count_if(F.col("t") == 1).alias("single"))
+    total = cut(own.groupBy().agg(*(F.sum(c).alias(c) for c in names if c not in ("types", "single"))).crossJoin(words))  # one row each
+
+    def fields(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        mean, square, cube = (F.try_divide(F.col(f"s{i}").cast("double"), F.col("n")) for i in (1, 2, 3))
+        # Without the mean's square the variance is an integer over n squared: exact zero for equal lengths.
+        variance = F.try_divide((F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double"), F.col("n").cast("double") * F.col("n"))
+        skew = F.when(F.col("n") > 0, F.coalesce(F.try_divide(cube - 3 * mean * square + 2 * mean * mean * mean, F.nullif(F.pow(variance, F.lit(1.5)), F.lit(0.0))), F.lit(0.0)))
+        onset, coda = F.try_divide("on", "n2"), F.try_divide("co", "n2")
+        values = {"length_mean": mean, "length_variance": variance, "length_skew": skew, "onset": onset, "coda": coda, "onset_coda_ratio": F.try_divide(onset, F.nullif(coda, F.lit(0.0))), "hapax_ratio": F.try_divide("single", "types")}
+        return df.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.cast("double").alias("value")) for f, v in values.items()))).alias("r")).select(*by, "r.*")
+
+    both = own.crossJoin(F.broadcast(total.select(*(F.col(c).alias(f"_{c}") for c in names))))  # one row
+    rest = both.select(F.col("grp").alias("left_out"), *((F.col(f"_{c}") - F.col(c)).alias(c) for c in names))
+    return fields(total, []), fields(rest, ["left_out"])
+
+
 def homogeneity(observed: DataFrame, left_out: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
     """``field, observed, lowest, highest, max_change, max_change_sd, extreme_group, rank`` over the groups left out.
 

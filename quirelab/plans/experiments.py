@@ -130,10 +130,16 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return resample.homogeneity(observed, field(signature.hapax_ratio(corpus.words(apart, ["left_out"]), ["left_out"]), ["left_out"]))
 
 
+@query()
+def leave_one_quire_out(spark: SparkSession, d: str) -> DataFrame:
+    """X9 for every quire, with the fields that follow from counts."""
+    return resample.homogeneity(*resample.count_fields(lines_of(spark, d)))
+
+
 @query()
 def homogeneity(spark: SparkSession, d: str) -> DataFrame:
-    """X9 with all fields but the fractal ones."""
-    lines = cut(_by_source(spark, d))
+    """X9 for every quire, with all fields but the fractal ones: as many copies of the corpus as quires."""
+    lines = cut(lines_of(spark, d))
     observed = signature.joint_signature(lines, None, (), False)
     apart = signature.joint_signature(cut(resample.without_each_group(lines)), None, ["left_out"], False)
     return resample.homogeneity(observed, apart)
