@@ -3,7 +3,8 @@
 Every word gets a canonical form that depends on nothing but the word: numbers, names and units
 become typed placeholders. Windows of ``n`` canonical words of the evaluation items are hash-joined
 with those of the documents. A window whose slots hold the same words is verbatim; one whose slots
-differ but map one to one, over all windows of item and document, is a re-parameterised question.
+differ but map one to one, over a run of aligned windows, is a re-parameterised question. For these,
+a document is searched a second time with the names it capitalises itself as placeholders.
 Equal windows have equal templates, so no verbatim passage is lost on the way.
 
 The items are a stated query set. Their windows go to every task in blocks of at most
@@ -78,41 +79,72 @@ class Templates:
         n = self.n
         return np.flatnonzero(text[: max(len(text) - n + 1, 0)] == text[n - 1 :]) if len(text) >= n else np.zeros(0, int)
 
+    def named(self, texts: list[str], w, canonical: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the names of each text's own, by its capitals, as placeholders too."""
+        canonical, slots = canonical.copy(), slots.copy()
+        for t, text in enumerate(texts):
+            own = names_in([text])
+            if own:
+                a, b = np.searchsorted(w.text, (t, t + 1))
+                at = a + np.flatnonzero(np.isin(w.hash[a:b], word_hashes(own)) & (slots[a:b] == 0))
+                canonical[at], slots[at] = _NAME, 2
+        return canonical, slots
+
     def search(self, texts: list[str]) -> list[tuple[int, int, str, int]]:
         """(text number, item, kind, windows) of every passage found in a chunk of texts."""
         w = words_of(texts)
         canonical, slots = self.canonical(w)
-        hits = self.templates.where(window_hashes(canonical, self.n))
-        if len(hits):
-            hits = hits[w.text[hits] == w.text[hits + self.n - 1]]
-        if not len(hits):
-            return []
-        template, exact = window_hashes(canonical, self.n)[hits], window_hashes(w.hash, self.n)[hits]
-        lo, hi = np.searchsorted(self.template, template), np.searchsorted(self.template, template, "right")
+        exact, known = window_hashes(w.hash, self.n), window_hashes(canonical, self.n)
         verbatim: dict[tuple[int, int], set[int]] = defaultdict(set)
-        maps: dict[tuple[int, int], list] = defaultdict(lambda: [{}, {}, True, set()])
-        for h, a, b, e in zip(hits.tolist(), lo.tolist(), hi.tolist(), exact.tolist()):
-            text = int(w.text[h])
-            x = a + int(np.searchsorted(self.exact[a:b], np.uint64(e)))
-            y = a + int(np.searchsorted(self.exact[a:b], np.uint64(e), "right"))
-            for j in range(x, y):
-                at, key = int(self.at[j]), (text, int(self.item_of[self.at[j]]))
-                # The exact check: the words themselves.
-                if key in verbatim or all(w.word(h + i) == self.words[at + i] for i in range(self.n)):
-                    verbatim[key].add(h)
-            literal = self.n - int(np.count_nonzero(slots[h : h + self.n]))
-            if x == y and literal >= LITERALS and literal < self.n:
-                for j in range(a, b):
-                    at = int(self.at[j])
-                    key = (text, int(self.item_of[at]))
-                    there, back, _, starts = state = maps[key]
-                    starts.add(h)
-                    for i in np.flatnonzero(slots[h : h + self.n]).tolist():
-                        mine, theirs = int(self.hashes[at + i]), int(w.hash[h + i])
-                        state[2] &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
+        # Windows of a text aligned with an item, by how far they are apart: the start, and the words in its slots.
+        runs: dict[tuple[int, int, int], list[tuple]] = defaultdict(list)
+        for own in (False, True):
+            if own:
+                canonical, slots = self.named(texts, w, canonical, slots)
+            hashes = window_hashes(canonical, self.n) if own else known
+            hits = self.templates.where(hashes)
+            if own and len(hits):
+                hits = hits[hashes[hits] != known[hits]]
+            if len(hits):
+                hits = np.sort(hits[w.text[hits] == w.text[hits + self.n - 1]])
+            if not len(hits):
+                continue
+            lo, hi = np.searchsorted(self.template, hashes[hits]), np.searchsorted(self.template, hashes[hits], "right")
+            for h, a, b, e in zip(hits.tolist(), lo.tolist(), hi.tolist(), exact[hits].tolist()):
+                text = int(w.text[h])
+                same = range(a + int(np.searchsorted(self.exact[a:b], np.uint64(e))), a + int(np.searchsorted(self.exact[a:b], np.uint64(e), "right")))
+                for j in same:
+                    at, key = int(self.at[j]), (text, int(self.item_of[self.at[j]]))
+                    # The exact check: the words themselves.
+                    if key in verbatim or all(w.word(h + i) == self.words[at + i] for i in range(self.n)):
+                        verbatim[key].add(h)
+                places = np.flatnonzero(slots[h : h + self.n]).tolist()
+                if places and self.n - len(places) >= LITERALS:
+                    for j in range(a, b):
+                        if j not in same:
+                            at = int(self.at[j])
+                            runs[text, int(self.item_of[at]), at - h].append((h, [(int(self.hashes[at + i]), int(w.hash[h + i])) for i in places]))
+        changed: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for (text, item, _), windows in runs.items():
+            if (text, item) not in verbatim:
+                for run in _runs(sorted(windows), self.n):
+                    pairs = {p for _, found in run for p in found}
+                    if len(pairs) == len({mine for mine, _ in pairs}) == len({theirs for _, theirs in pairs}):
+                        changed[text, item].update(h for h, _ in run)
         out = [(t, int(self.ids[i]), "verbatim", len(s)) for (t, i), s in verbatim.items()]
-        out += [(t, int(self.ids[i]), "reparameterised", len(m[3])) for (t, i), m in maps.items() if m[2] and (t, i) not in verbatim]
-        return out
+        return out + [(t, int(self.ids[i]), "reparameterised", len(s)) for (t, i), s in changed.items()]
+
+
+def _runs(windows: list[tuple], n: int) -> Iterator[list[tuple]]:
+    """Windows in order of their start, cut where one does not touch the next."""
+    run = windows[:1]
+    for x in windows[1:]:
+        if x[0] - run[-1][0] > n:
+            yield run
+            run = []
+        run.append(x)
+    if run:
+        yield run
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
