@@ -239,7 +239,6 @@ def control_corpus(df: DataFrame, name: str, text: Column, length: int, chunk: i
     """Control corpora ``name, line_no, grp, words``: each text without blanks, its characters repeated
     to ``length`` and cut into lines of ``chunk`` characters as words. A text without characters gives none."""
     bare = df.select(F.col(name).alias("name"), F.regexp_replace(text, " ", "").alias("t")).where("t <> ''")
-    at = F.explode(F.expr(f"sequence(0, {(length - 1) // chunk})")).alias("line_no")
-    rows = bare.select("name", "t", at)
+    rows = df.sparkSession.range((length + chunk - 1) // chunk).withColumnRenamed("id", "line_no").crossJoin(F.broadcast(bare))  # a few sample texts
     chars = F.expr(f"transform(sequence(line_no * {chunk}, least((line_no + 1) * {chunk}, {length}) - 1), i -> substring(t, cast(i % char_length(t) as int) + 1, 1))")
     return rows.select("name", F.col("line_no").cast("long").alias("line_no"), F.lit("control").alias("grp"), chars.alias("words"))

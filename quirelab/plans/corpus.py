@@ -391,8 +391,9 @@ CONTROLS = {
 
 @query()
 def compression_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus and three controls of 20,000 characters."""
+    """The corpus, and three controls of as many characters as it has words."""
+    n_words = corpus.word_bag(_bag(spark, d)).count()
     observed = lines_of(spark, d).select(F.lit("observed").alias("name"), "line_no", "grp", "words")
-    controls = coding.control_corpus(spark.createDataFrame(list(CONTROLS.items()), "name string, t string"), "name", F.col("t"), 20_000)
+    controls = coding.control_corpus(spark.createDataFrame(list(CONTROLS.items()), "name string, t string"), "name", F.col("t"), n_words)
     lines = observed.unionByName(controls)
     return coding.compression_profile(lines, corpus.words(lines, ["name"]), ["name"])
