@@ -320,5 +320,5 @@ def bpe_presence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bpe_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """G6 with 20 of its iterations."""
-    return units.bootstrap_stability(lines_of(spark, d), 20)
+    """G6."""
+    return units.bootstrap_stability(lines_of(spark, d))

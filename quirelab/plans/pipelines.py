@@ -68,8 +68,8 @@ def fractal_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def unit_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """G8 with 20 bootstrap samples."""
-    return units.unit_discovery(cut(lines_of(spark, d)), 20)
+    """G8."""
+    return units.unit_discovery(cut(lines_of(spark, d)))
 
 
 @query(f"with {FLAT}, top as (select word from flat group by 1 order by count(*) desc, word limit 50) select word, count(distinct grp) as groups from flat where word in (select word from top) group by 1")
