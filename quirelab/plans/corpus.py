@@ -39,9 +39,13 @@ def source_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in _TABLES}, hashed=False).select("name", "status", "row_count")
 
 
+_OTHER_TABLES = ["eval_items", "folio_records", "level_labels", "mismatch_main", "mismatch_mirror", "mix_targets", "quire_records", "split_manifest"]
+
+
 @query()
 def source_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in ("page_records", "split_manifest")}).select("name", "sha256")
+    """A6 of every table, with its hash."""
+    return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in sorted(_TABLES + _OTHER_TABLES)}).select("name", "status", "row_count", "sha256")
 
 
 @query(f"select distinct quire, {QUIRE.format('quire')} as normalized from line_records")
