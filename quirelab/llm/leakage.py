@@ -1,194 +1,242 @@
 """Evaluation texts leaking into a corpus: template windows, hash join, slot check.
 
-Every word gets a canonical form that depends on nothing but the word: numbers, names and units
-become typed placeholders. Windows of ``n`` canonical words of the evaluation items are hash-joined
-with those of the documents. A window whose slots hold the same words is verbatim; one whose slots
-differ but map one to one, over a run of aligned windows, is a re-parameterised question. For these,
-a document is searched a second time with the names it capitalises itself as placeholders.
-Equal windows have equal templates, so no verbatim passage is lost on the way.
-
-The items are a stated query set. Their windows go to every task in blocks of at most
-``BLOCK`` windows (16 bytes each); each block is one pass over the documents, which are never
-shuffled, so a hot document or source has no effect.
+Words get canonical forms in which numbers, names and units are typed placeholders, and windows of
+``n`` canonical words of the evaluation items are hash-joined with those of the documents. There
+are two streams of canonical words for each text:
+
+* In the *lexical* stream a placeholder depends on nothing but the word: numbers, units, and the
+  names that the items have. Equal windows have equal templates here, so no verbatim passage is
+  lost: a window whose slots hold the same words is verbatim.
+* In the *shaped* stream each text types its own names by their capitals, and a decimal is one
+  number, so a question that comes back with names no item has is met too.
+
+Windows whose slots differ, but map one to one over a run of aligned windows, are a
+re-parameterised question.
+
+The join is a Spark join of two tables of windows. Documents are read once and are not shuffled:
+a bitmap of fixed size over the items' window hashes (``BITS``, whatever the number of items) lets
+only those windows of a document through that may have a partner. Neither items nor documents
+come to the driver.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelab.llm.textvec import Members, chunks, mix, window_hashes, word_hashes, words_of
+from quirelab.llm.textvec import Members, Words, chunks, in_sentence, mix, span_hashes, window_hashes, word_hashes, words_of
+from quirelab.session import cut
 
-#: Windows of evaluation items sent to the tasks at once.
-BLOCK = 1_000_000
-#: A re-parameterised window has at least so many words that are no placeholders.
-LITERALS = 6
+#: Bits of the bitmap over the items' windows, a power of two: 16 MB at any number of items.
+BITS = 27
+#: Bits of the bitmap over the items' names: 1 MB.
+NAME_BITS = 23
 # Units of measure, as they are written.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "min", "h", "percent", "folio", "folios", "leaf", "leaves", "page", "pages", "line", "lines", "inch", "inches", "foot", "feet", "mile", "miles", "hour", "hours", "day", "days", "year", "years", "euro", "euros", "dollar", "dollars"]
-_NUMBER, _NAME, _UNIT = (mix(np.array([x], np.uint64))[0] for x in (101, 102, 103))
-
-
-def names_in(texts: list[str]) -> list[str]:
-    """Words that stand with a capital inside a sentence of the items, lower-cased."""
-    found = set()
-    for t in texts:
-        for m in re.finditer(r"(?<=[\w,;:] )[^\W\d_a-z][^\W\d_]+", t):
-            w = m.group()
-            if w[0].isupper() and w.lower().isalpha() and len(w.lower()) == len(w):
-                found.add(w.lower())
-    return sorted(found)
-
-
-class Templates:
-    """Windows of a block of items, and the search for them in texts."""
-
-    def __init__(self, ids: list[int], texts: list[str], n: int, names: list[str]):
-        self.n, self.ids = n, np.array(ids, np.int64)
-        self.names, self.units = Members(word_hashes(names)), Members(word_hashes(UNITS))
-        w = words_of(texts)
-        self.words = [w.word(i) for i in range(len(w.start))]
-        canonical, slots = self.canonical(w)
-        self.hashes, self.slots, self.item_of = w.hash, slots, w.text
-        at = self.windows(w.text)
-        exact, templates = window_hashes(w.hash, n)[at], window_hashes(canonical, n)[at]
-        self.templates = Members(templates)
-        # Windows in order of their template, then of their words; repeated ones of an item once.
-        order = np.lexsort((exact, templates))
-        self.at, self.exact, self.template = at[order], exact[order], templates[order]
-        new = np.ones(len(at), bool)
-        item = self.item_of[self.at]
-        new[1:] = (self.exact[1:] != self.exact[:-1]) | (item[1:] != item[:-1]) | (self.template[1:] != self.template[:-1])
-        self.at, self.exact, self.template = self.at[new], self.exact[new], self.template[new]
-
-    def canonical(self, w) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes with placeholders, and the slot type of each word (0: literal)."""
-        slots = np.zeros(len(w.hash), np.uint8)
-        slots[self.units.where(w.hash)] = 3
-        slots[self.names.where(w.hash)] = 2
-        slots[w.number] = 1
-        return np.choose(slots, [w.hash, _NUMBER, _NAME, _UNIT]) if slots.any() else w.hash, slots
-
-    def windows(self, text: np.ndarray) -> np.ndarray:
-        """Starts of windows that lie in one text."""
-        n = self.n
-        return np.flatnonzero(text[: max(len(text) - n + 1, 0)] == text[n - 1 :]) if len(text) >= n else np.zeros(0, int)
-
-    def named(self, texts: list[str], w, canonical: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same with the names of each text's own, by its capitals, as placeholders too."""
-        canonical, slots = canonical.copy(), slots.copy()
-        for t, text in enumerate(texts):
-            own = names_in([text])
-            if own:
-                a, b = np.searchsorted(w.text, (t, t + 1))
-                at = a + np.flatnonzero(np.isin(w.hash[a:b], word_hashes(own)) & (slots[a:b] == 0))
-                canonical[at], slots[at] = _NAME, 2
-        return canonical, slots
-
-    def search(self, texts: list[str]) -> list[tuple[int, int, str, int]]:
-        """(text number, item, kind, windows) of every passage found in a chunk of texts."""
-        w = words_of(texts)
-        canonical, slots = self.canonical(w)
-        exact, known = window_hashes(w.hash, self.n), window_hashes(canonical, self.n)
-        verbatim: dict[tuple[int, int], set[int]] = defaultdict(set)
-        # Windows of a text aligned with an item, by how far they are apart: the start, and the words in its slots.
-        runs: dict[tuple[int, int, int], list[tuple]] = defaultdict(list)
-        for own in (False, True):
-            if own:
-                canonical, slots = self.named(texts, w, canonical, slots)
-            hashes = window_hashes(canonical, self.n) if own else known
-            hits = self.templates.where(hashes)
-            if own and len(hits):
-                hits = hits[hashes[hits] != known[hits]]
-            if len(hits):
-                hits = np.sort(hits[w.text[hits] == w.text[hits + self.n - 1]])
-            if not len(hits):
+# Words that open sentences and are no names there.
+OPENERS = ["a", "an", "the", "this", "that", "these", "those", "it", "he", "she", "we", "they", "you", "there", "here", "if", "when", "while", "after", "before", "because", "since", "although", "for", "from", "in", "on", "at", "to", "by", "with", "of", "and", "but", "or", "so", "as", "what", "which", "who", "where", "why", "how", "is", "are", "was", "were", "do", "does", "did", "can", "each", "every", "some", "another", "one", "our", "my", "his", "her", "their", "then", "no", "not"]
+LEXICAL, SHAPED = 1, 2
+LITERAL, NUMBER, NAME, UNIT = range(4)
+_PLACE = mix(np.array([0, 101, 102, 103], np.uint64))
+_SHOWN = ["", "\x01number", "\x01name", "\x01unit"]
+
+
+class Bitmap:
+    """A set of 64-bit hashes as two bits each in a bitmap of fixed size; it may hold strangers, but lacks none."""
+
+    def __init__(self, bits: int, packed: np.ndarray | None = None):
+        self.bits = bits
+        self.packed = np.zeros(1 << (bits - 3), np.uint8) if packed is None else packed
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for at in (hashes >> np.uint64(64 - self.bits), hashes & np.uint64((1 << self.bits) - 1)):
+            found &= (self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+    @staticmethod
+    def of(hashes: DataFrame, column: str, bits: int) -> Bitmap:
+        """The bitmap of a column of longs: aggregated in pieces of 4 KB, of which at most 2^bits / 32768 come to the driver."""
+        at = F.array(F.shiftrightunsigned(column, 64 - bits), F.col(column).bitwiseAND(F.lit((1 << bits) - 1)))
+        spots = hashes.where(F.col(column).isNotNull()).select(F.explode(at).alias("p"))
+        parts = spots.groupBy(F.shiftright("p", 15).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m"))
+        out = Bitmap(bits)
+        for r in parts.toLocalIterator():
+            out.packed[r["b"] << 12 : (r["b"] + 1) << 12] = np.frombuffer(r["m"], np.uint8)
+        return out
+
+
+def own_names(texts: list[str], w: Words) -> np.ndarray:
+    """Whether each word is a name by the shape of its own text.
+
+    A name is never written small in its text; it stands with a capital inside a sentence, or
+    opens one without being a word that commonly does.
+    """
+    upper, opens = in_sentence(texts, w)
+    with np.errstate(over="ignore"):
+        key = mix(w.hash ^ ((w.text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    _, of = np.unique(key, return_inverse=True)
+    small = np.bincount(of, ~upper)
+    inside = np.bincount(of, upper & ~opens)
+    common = np.zeros(len(w.hash), bool)
+    common[Members(word_hashes(OPENERS)).where(w.hash)] = True
+    return upper & (small[of] == 0) & ((inside[of] > 0) | ~common) & (w.end - w.start > 1)
+
+
+def whole_numbers(w: Words) -> Words:
+    """The same words with decimals, and numbers with grouped digits, as one word."""
+    joined = np.zeros(len(w.start), bool)
+    if len(w.start) > 1:
+        gap = w.points[np.minimum(w.end[:-1], len(w.points) - 1)]
+        joined[1:] = w.number[1:] & w.number[:-1] & (w.start[1:] - w.end[:-1] == 1) & ((gap == 46) | (gap == 44)) & (w.text[1:] == w.text[:-1])
+    first = np.flatnonzero(~joined)
+    last = np.append(first[1:], len(joined)) - 1
+    start, end, hashes = w.start[first], w.end[last], w.hash[first].copy()
+    several = first < last
+    if several.any():
+        hashes[several] = span_hashes(w.points.astype(np.uint64), start[several], end[several])
+    return Words(w.points, start, end, w.text[first], hashes, w.number[first])
+
+
+class Windows:
+    """Windows of canonical words of a chunk of texts, in both streams."""
+
+    def __init__(self, n: int, least_literals: int, names: Bitmap):
+        self.n, self.least, self.names = n, least_literals, names
+        self.units = Members(word_hashes(UNITS))
+
+    def _typed(self, w: Words, is_name: np.ndarray) -> np.ndarray:
+        kind = np.zeros(len(w.hash), np.uint8)
+        kind[self.units.where(w.hash)] = UNIT
+        kind[is_name] = NAME
+        kind[w.number] = NUMBER
+        return kind
+
+    def streams(self, texts: list[str]) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+        """``stream, words, kinds, starts, keys`` of the windows that lie in one text.
+
+        The key of a window is the hash of its template. One with fewer than ``least_literals``
+        literal words says too little as a template: it is keyed by its own words, and only in the
+        lexical stream.
+        """
+        w, n = words_of(texts), self.n
+        if len(w.start) < n:
+            return
+        shape = own_names(texts, w)
+        for stream in (LEXICAL, SHAPED):
+            if stream == SHAPED:
+                v = whole_numbers(w)
+                shape = shape[np.searchsorted(w.start, v.start)]
+            else:
+                v = w
+            kind = self._typed(v, shape if stream == SHAPED else self.names.has(v.hash))
+            if len(v.start) < n:
                 continue
-            lo, hi = np.searchsorted(self.template, hashes[hits]), np.searchsorted(self.template, hashes[hits], "right")
-            for h, a, b, e in zip(hits.tolist(), lo.tolist(), hi.tolist(), exact[hits].tolist()):
-                text = int(w.text[h])
-                same = range(a + int(np.searchsorted(self.exact[a:b], np.uint64(e))), a + int(np.searchsorted(self.exact[a:b], np.uint64(e), "right")))
-                for j in same:
-                    at, key = int(self.at[j]), (text, int(self.item_of[self.at[j]]))
-                    # The exact check: the words themselves.
-                    if key in verbatim or all(w.word(h + i) == self.words[at + i] for i in range(self.n)):
-                        verbatim[key].add(h)
-                places = np.flatnonzero(slots[h : h + self.n]).tolist()
-                if places and self.n - len(places) >= LITERALS:
-                    for j in range(a, b):
-                        if j not in same:
-                            at = int(self.at[j])
-                            runs[text, int(self.item_of[at]), at - h].append((h, [(int(self.hashes[at + i]), int(w.hash[h + i])) for i in places]))
-        changed: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for (text, item, _), windows in runs.items():
-            if (text, item) not in verbatim:
-                for run in _runs(sorted(windows), self.n):
-                    pairs = {p for _, found in run for p in found}
-                    if len(pairs) == len({mine for mine, _ in pairs}) == len({theirs for _, theirs in pairs}):
-                        changed[text, item].update(h for h, _ in run)
-        out = [(t, int(self.ids[i]), "verbatim", len(s)) for (t, i), s in verbatim.items()]
-        return out + [(t, int(self.ids[i]), "reparameterised", len(s)) for (t, i), s in changed.items()]
-
-
-def _runs(windows: list[tuple], n: int) -> Iterator[list[tuple]]:
-    """Windows in order of their start, cut where one does not touch the next."""
-    run = windows[:1]
-    for x in windows[1:]:
-        if x[0] - run[-1][0] > n:
-            yield run
-            run = []
-        run.append(x)
-    if run:
-        yield run
-
-
-def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
-    """Documents that hold a passage of an evaluation item: ``item_id, doc_id, kind, windows``.
+            at = np.flatnonzero(v.text[: len(v.text) - n + 1] == v.text[n - 1 :])
+            slots = np.concatenate([[0], np.cumsum(kind > 0)])
+            filled = slots[at + n] - slots[at]
+            rich = n - filled >= self.least
+            key = window_hashes(np.where(kind > 0, _PLACE[kind], v.hash), n)[at]
+            if stream == LEXICAL:
+                key = np.where(rich, key, mix(key ^ window_hashes(v.hash, n)[at] + np.uint64(1)))
+            else:
+                keep = rich & (filled > 0)
+                at, key = at[keep], mix(key[keep] + np.uint64(SHAPED))
+            yield stream, v, kind, at, key
+
+    def rows(self, ids: np.ndarray, texts: list[str], only: Bitmap | None) -> Iterator[pa.RecordBatch]:
+        """The windows as rows of WINDOW; with ``only``, those that the bitmap may have."""
+        for a, b in chunks(texts):
+            for stream, w, kind, at, key in self.streams(texts[a:b]):
+                if only is not None:
+                    hit = only.has(key)
+                    at, key = at[hit], key[hit]
+                if not len(at):
+                    continue
+                first = np.searchsorted(w.text, w.text[at])  # the first word of each window's text
+                words = {int(i): w.word(int(i)) for i in np.unique((at[:, None] + np.arange(self.n)).ravel())}
+                template, slots = [], []
+                for i in at.tolist():
+                    template.append(" ".join(_SHOWN[kind[j]] or words[j] for j in range(i, i + self.n)))
+                    slots.append([words[j] for j in range(i, i + self.n) if kind[j]])
+                cols = [pa.array(key.view(np.int64)), pa.array(ids[a:b][w.text[at]], pa.int64()), pa.array(np.full(len(at), stream, np.int32)), pa.array((at - first).astype(np.int32)), pa.array((w.start[at] - w.start[first]).astype(np.int32)), pa.array(template), pa.array(slots, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, NAMES)
+
+
+#: A window: key, record, stream, the place among its words and among its characters, template, words in its slots.
+WINDOW = "key long, id long, stream int, at int, place int, template string, slots array<string>"
+NAMES = [c.split()[0] for c in WINDOW.split(", ")]
+
+
+def _item_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for a, b in chunks(texts):
+            w = words_of(texts[a:b])
+            upper, opens = in_sentence(texts[a:b], w)
+            found = np.unique(w.hash[upper & ~opens & ~w.number & (w.end - w.start > 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+
+def _windowing(spark: SparkSession, n: int, least: int, names: Bitmap, only: Bitmap | None):
+    """A mapper of rows ``id, text`` to WINDOW; the bitmaps go out once to each machine."""
+    sent = spark.sparkContext.broadcast((names.packed, None if only is None else only.packed))
 
-    ``kind``: ``verbatim`` if at least ``n`` successive words are the same, else
-    ``reparameterised`` if they are the same but for numbers, names and units that correspond one
-    to one. ``windows``: in how many places of the document. Null and empty texts hold nothing;
-    items shorter than ``n`` words are never found. Rows of either table with a null id are left
-    out; repeated rows give a repeated item or document once.
-    """
-    schema = "item_id long, doc_id long, kind string, windows long"
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()]
-    names = names_in([t for _, t in rows])
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    blocks, size = [[]], 0
-    for r in rows:
-        count = len(r[1]) // 2 + 1
-        if blocks[-1] and size + count > BLOCK:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += count
-    found = None
-    for block in blocks:
-        one = docs.mapInArrow(_searcher(block, n, names), schema)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _searcher(block: list[tuple[int, str]], n: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates([i for i, _ in block], [t for _, t in block], n, names)
+        known, wanted = sent.value
+        windows = Windows(n, least, Bitmap(NAME_BITS, known))
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                out = templates.search(texts[a:b])
-                if out:
-                    t, item, kind, count = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(ids[a:b][list(t)], pa.int64()), pa.array(kind), pa.array(count, pa.int64())], ["item_id", "doc_id", "kind", "windows"])
+            yield from windows.rows(batch.column(0).to_numpy(), batch.column(1).to_pylist(), None if wanted is None else Bitmap(BITS, wanted))
 
     return run
 
 
+def _matches(documents: DataFrame, items: DataFrame, n: int, least_literals: int) -> DataFrame:
+    """Pairs of equal templates: ``item_id, doc_id, stream, shift, at, place, mine, theirs``, the last two the words in the slots."""
+    spark = items.sparkSession
+    texts = items.where("item_id is not null and text <> ''").select(F.col("item_id").alias("id"), "text").distinct()
+    names = Bitmap.of(texts.mapInArrow(_item_names, "h long"), "h", NAME_BITS)
+    asked = cut(texts.mapInArrow(_windowing(spark, n, least_literals, names, None), WINDOW))
+    only = Bitmap.of(asked.select("key").distinct(), "key", BITS)
+    docs = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").alias("id"), "text")
+    hits = cut(docs.mapInArrow(_windowing(spark, n, least_literals, names, only), WINDOW))
+    a = asked.select("key", "stream", "template", F.col("id").alias("item_id"), F.col("at").alias("_i"), F.col("slots").alias("mine"))
+    b = hits.select("key", "stream", "template", F.col("id").alias("doc_id"), "at", "place", F.col("slots").alias("theirs"))
+    # A template that very many documents have is a hot key; AQE cuts it, and the items' side has few rows of it.
+    return b.join(a, ["key", "stream", "template"]).select("item_id", "doc_id", "stream", (F.col("_i") - F.col("at")).alias("shift"), "at", "place", "mine", "theirs")
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 13, least_literals: int = 4) -> DataFrame:
+    """Documents that hold a passage of an evaluation item: ``item_id, doc_id, kind, windows``.
+
+    ``kind``: ``verbatim`` if at least ``n`` successive words are the same, else
+    ``reparameterised`` if they are the same but for numbers, names and units that correspond one
+    to one. Each window of a re-parameterised passage has at least ``least_literals`` words that
+    are no placeholders; verbatim passages need none. ``windows``: in how many places of the
+    document. Null and empty texts hold nothing; items shorter than ``n`` words are never found.
+    Rows of either table with a null id are left out; repeated rows count once.
+    """
+    pairs = cut(_matches(documents, items, n, least_literals).distinct())
+    who = ["item_id", "doc_id"]
+    verbatim = pairs.where(f"stream = {LEXICAL} and mine = theirs").groupBy(who).agg(F.count_distinct("place").alias("windows"))
+    others = pairs.where("size(mine) > 0").join(verbatim.select(who), who, "left_anti")
+    # Runs of windows at one distance that touch each other are one passage.
+    line = ["item_id", "doc_id", "stream", "shift"]
+    order = Window.partitionBy(line).orderBy("at")
+    cuts = others.withColumn("_new", (F.col("at") - F.lag("at", 1, -n - 1).over(order) > n).cast("int"))
+    runs = cuts.withColumn("_run", F.sum("_new").over(order)).drop("_new")
+    slots = runs.select(*line, "_run", F.explode(F.arrays_zip("mine", "theirs")).alias("s")).select(*line, "_run", "s.mine", "s.theirs").distinct()
+    checked = slots.groupBy(*line, "_run").agg(F.count("*").alias("n"), F.count_distinct("mine").alias("x"), F.count_distinct("theirs").alias("y"), F.max((F.col("mine") != F.col("theirs")).cast("int")).alias("c"))
+    good = checked.where("n = x and n = y and c = 1").select(*line, "_run")
+    changed = runs.join(good, [*line, "_run"]).groupBy(who).agg(F.count_distinct("place").alias("windows"))
+    kinds = [df.select(*who, F.lit(k).alias("kind"), "windows") for df, k in ((verbatim, "verbatim"), (changed, "reparameterised"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def found_pairs(leaks: DataFrame) -> DataFrame:
     """Item and document of verbatim passages, each pair once."""
     return leaks.where(F.col("kind") == "verbatim").select("item_id", "doc_id").distinct()

@@ -111,6 +111,19 @@ def words_of(texts: list[str]) -> Words:
     return Words(points, start, end, text, span_hashes(numbers[points], start, end), digits[end] - digits[start] == end - start)
 
 
+def in_sentence(texts: list[str], w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of ``words_of(texts)``, whether it has a capital in front, and whether it opens a sentence."""
+    # Lower-casing may make one letter two; such letters are taken as they are lowered, to keep places.
+    kept = [t if len(t) == len(t.lower()) else "".join(c if len(c.lower()) == 1 else c.lower() for c in t) for t in texts]
+    points = np.frombuffer("\n".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
+    upper = (points != w.points)[w.start]
+    marks = np.zeros(len(points) + 1, np.int32)
+    np.cumsum(np.isin(points, np.frombuffer(".!?:;\n>|…".encode("utf-32-le"), np.uint32)), out=marks[1:])
+    opens = np.ones(len(w.start), bool)
+    opens[1:] = (marks[w.start[1:]] > marks[w.end[:-1]]) | (w.text[1:] != w.text[:-1])
+    return upper, opens
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """Hashes of single lower-cased words, as :func:`words_of` gives them."""
     if not words:

@@ -28,7 +28,7 @@ def found(spark, docs, items):
     return sorted(tuple(r) for r in lk.found_pairs(lk.leaked_passages(*make(spark, docs, items))).collect())
 
 
-def test_brute_force(spark, monkeypatch):
+def test_brute_force(spark):
     rng = random.Random(1)
     items = [(i, " ".join(rng.choice([*WORDS, "12", "Paris", "km"]) for _ in range(rng.randint(5, 60)))) for i in range(25)]
     docs = []
@@ -45,8 +45,6 @@ def test_brute_force(spark, monkeypatch):
     items += [(30, None), (31, ""), (None, items[0][1]), items[2]]
     assert found(spark, docs, items) == brute(docs, items)
     assert len(brute(docs, items)) > 60
-    monkeypatch.setattr(lk, "BLOCK", 100)  # several passes over the documents
-    assert found(spark, docs, items) == brute(docs, items)
 
 
 def test_reparameterised(spark):
@@ -54,16 +52,11 @@ def test_reparameterised(spark):
     names = "She met Marie in Lyon, and then Dijon was quiet"
     changed = "a train leaves oslo at 7 and travels 455 km to reach bergen before noon while anna waits there"
     items = [(1, question), (2, names)]
-    templates = lk.Templates([1, 2], [question, names], 13, lk.names_in([question, names]))
-    assert {"lyon", "dijon", "marie"} <= set(lk.names_in([question, names]))
-    # Other names are no placeholders unless the items know them, so the changed text uses known names.
+    # Without capitals, other names are no placeholders unless the items know them, so the changed text uses known names.
     swapped = changed.replace("oslo", "dijon").replace("bergen", "lyon").replace("anna", "marie")
     inconsistent = swapped.replace("reach lyon", "reach dijon")
-    assert [x[2] for x in templates.search([swapped])] == ["reparameterised"]
-    assert templates.search([inconsistent]) == []
-    assert [x[2] for x in templates.search([question.upper()])] == ["verbatim"]
-    out = lk.leaked_passages(*make(spark, [(7, swapped), (8, question)], items)).collect()
-    assert sorted((r["item_id"], r["doc_id"], r["kind"]) for r in out) == [(1, 7, "reparameterised"), (1, 8, "verbatim")]
+    out = lk.leaked_passages(*make(spark, [(7, swapped), (8, question), (9, inconsistent), (10, question.upper())], items)).collect()
+    assert sorted((r["item_id"], r["doc_id"], r["kind"]) for r in out) == [(1, 7, "reparameterised"), (1, 8, "verbatim"), (1, 10, "verbatim")]
     assert found(spark, [(7, swapped)], items) == []
 
 
