@@ -65,7 +65,7 @@ class Bitmap:
         spots = hashes.where(F.col(column).isNotNull()).select(F.explode(at).alias("p"))
         parts = spots.groupBy(F.shiftright("p", 15).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m"))
         out = Bitmap(bits)
-        for r in parts.toLocalIterator():
+        for r in parts.collect():
             out.packed[r["b"] << 12 : (r["b"] + 1) << 12] = np.frombuffer(r["m"], np.uint8)
         return out
 

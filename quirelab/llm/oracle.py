@@ -23,16 +23,30 @@ _QUIRE = "nullif(case when length(trim({0})) > 1 and lower(left(trim({0}), 1)) =
 _ITEM_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
 _READING = r"nullif(array_to_string(regexp_extract_all(lower(regexp_replace(coalesce(r.{0}, ''), '<[^>]*>|\{{[^}}]*\}}', ' ', 'g')), '[\p{{L}}*]+'), ' '), '')"
 _READERS = ["zl", "it", "cd", "gc"]
+_VOTES = f"""
+n as (select mm_id, arg_max(struct_pack(zl_text, it_text, cd_text, gc_text), updated_at) as r from mismatch_main group by mm_id),
+l as (select mm_id, s, t from (select mm_id, {", ".join(_READING.format(x + "_text") + f" as {x}" for x in _READERS)} from n) unpivot (t for s in (zl, it, cd, gc))),
+rel as (select a.s, avg((a.t = b.t)::int) as q from l a join l b on a.mm_id = b.mm_id and a.s <> b.s group by 1),
+v as (select mm_id, t, count(*) as c, max(q) as q from l join rel using (s) group by all)"""
 
 ORACLE = {
     # Ties go to the source that agrees most often with the others, which is here also the order of the fit.
     "p6_found": f"""
-with n as (select mm_id, arg_max(struct_pack(zl_text, it_text, cd_text, gc_text), updated_at) as r from mismatch_main group by mm_id),
-l as (select mm_id, s, t from (select mm_id, {", ".join(_READING.format(x + "_text") + f" as {x}" for x in _READERS)} from n) unpivot (t for s in (zl, it, cd, gc))),
-rel as (select a.s, avg((a.t = b.t)::int) as q from l a join l b on a.mm_id = b.mm_id and a.s <> b.s group by 1),
-v as (select mm_id, t, count(*) as c, max(q) as q from l join rel using (s) group by all),
+with {_VOTES},
 d as (select mm_id from v group by 1 having sum(c) >= 2 and count(*) >= 2)
 select mm_id, arg_max(t, (c, q)) as consensus from v where mm_id in (select mm_id from d) group by 1""",
+    "p6_agreement": f"""
+with {_VOTES},
+g as (select mm_id, sum(c) as n_labels, count(*) as n_classes, arg_max(t, (c, q)) as consensus, sum(c * (c - 1)) as same from v group by 1)
+select n.mm_id, n_labels::int as n_labels, n_classes::int as n_classes, consensus, case when n_labels > 1 then same::double / (n_labels * (n_labels - 1)) end as agreement
+from n left join g using (mm_id)""",
+    "p6_alpha": f"""
+with {_VOTES},
+u as (select mm_id, sum(c) as m, sum(c * c) as sq from v group by 1 having sum(c) > 1),
+o as (select count(*) as items, sum(m)::bigint as labels, sum((m * m - sq)::double / (m - 1)) / sum(m) as observed from u),
+e as (select t, sum(c) as n from v where mm_id in (select mm_id from u) group by 1),
+x as (select (sum(n) * sum(n) - sum(n * n))::double / (sum(n) * (sum(n) - 1)) as expected from e)
+select items, labels, observed, expected, 1 - observed / expected as alpha from o, x""",
     "p1_found": f"{_COUNTS} select term, mark from m where mark is not null",
     "p1_incremental": f"{_COUNTS} select term, occurrences, records, mark from m",
     "p2_found": f"""
@@ -47,6 +61,23 @@ k as (select distinct line_id, unnest(range(p, p + 8)) as q from w where g in (s
 n as (select line_id, count(*) as c from k group by line_id)
 select line_id, len(words)::bigint as n_words, coalesce(c, 0)::bigint as shared_words, case when len(words) > 0 then coalesce(c, 0)::double / len(words) end as share
 from lines left join n using (line_id)""",
+    "p2_intervals": f"""
+with lines as ({LINES}),
+copies as (select line_id, len(words) as n, count(*) over (partition by words) as c from lines where len(words) >= 8),
+w as (select line_id, p, words[p:p + 7] as g from (select line_id, words, unnest(range(1, len(words) - 6)) as p from lines where len(words) >= 8)),
+s as (select g from w group by g having min(line_id) <> max(line_id)),
+r as (select line_id, p, p - row_number() over (partition by line_id order by p) as run from w where g in (select g from s) and line_id in (select line_id from copies where c = 1))
+select line_id, min(p) - 1 as start, count(*) + 7 as n_words from r group by line_id, run
+union all select line_id, 0, n from copies where c > 1""",
+    "p2_classes": f"""
+with lines as ({LINES})
+select line_id, case when len(words) >= 8 then min(line_id) over (partition by words) else line_id end as class_id,
+  case when len(words) >= 8 then count(*) over (partition by words) else 1 end as copies from lines""",
+    "p2_links": f"""
+with lines as ({LINES}),
+k as (select min(line_id) as line_id, words from lines where len(words) >= 8 group by words),
+w as (select distinct line_id, words[p:p + 7] as g from (select line_id, words, unnest(range(1, len(words) - 6)) as p from k))
+select distinct a.line_id as class_a, b.line_id as class_b from w a join w b on a.g = b.g and a.line_id < b.line_id""",
     "p7_found": f"""
 with recursive links as (select distinct folio, {_QUIRE.format("quire")} as q from line_records where folio is not null),
 e as (select distinct a.q as x, b.q as y from links a join links b on a.folio = b.folio where a.q is not null and b.q is not null),

@@ -57,6 +57,21 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return sp.shared_shares(*_shared(spark, d)).withColumnRenamed("record_id", "line_id")
 
 
+def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal stretches of each line that stand elsewhere, by first word and number of words."""
+    return sp.shared_intervals(*_shared(spark, d)).withColumnRenamed("record_id", "line_id")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each line with its class of exact copies."""
+    return sp.shared_classes(*_shared(spark, d)).withColumnRenamed("record_id", "line_id")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of lines with a stretch in common; with p2_classes this says what p2_found says."""
+    return sp.shared_links(_shared(spark, d)[1])
+
+
 READERS = ("zl", "it", "cd", "gc")
 
 
@@ -78,9 +93,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Consensus, model probability and agreement of every record, whether disputed or not."""
+    """Consensus and agreement of every record, whether disputed or not."""
     out, _ = _consensus(spark, d)
-    return out.select(F.col("item").alias("mm_id"), "n_labels", "n_classes", "consensus", F.round("posterior", 6).alias("posterior"), "agreement")
+    return out.select(F.col("item").alias("mm_id"), "n_labels", "n_classes", "consensus", "agreement")
+
+
+def p6_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """What the model finds most probable for every record, and its probability of the consensus."""
+    out, _ = _consensus(spark, d)
+    return out.where("n_labels > 0").select(F.col("item").alias("mm_id"), "consensus", F.round("posterior", 6).alias("posterior"), "likeliest")
 
 
 def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +111,20 @@ def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, tilt double, reliability double, agreement double")
 
 
+def p6_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of the sources beyond chance, over the whole table."""
+    readings = _readings(spark, d)
+    votes = readings.select("mm_id", F.explode(F.array(*(F.col(f"{r}_text") for r in READERS))).alias("reading")).where("reading <> ''")
+    return cs.alpha(votes, "mm_id", "reading")
+
+
+def p6_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus of the raters' reading levels, which share one set of labels."""
+    votes = table(spark, d, "level_labels").where("reading_level between 1 and 5")
+    out, _ = cs.class_consensus(votes, "doc_id", "rater", "reading_level")
+    return out.withColumnRenamed("item", "doc_id").withColumn("posterior", F.round("posterior", 6))
+
+
 def _quire_groups(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "line_records").select("folio", quire_key(F.col("quire")).alias("q"))
     return gs.components(gs.star_edges(links, "folio", "q"))
@@ -161,4 +196,4 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(model.report, "source string, documents long, mean_error double, bias double, same_side double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_shares, p6_found, p6_agreement, p6_reliability, p7_found, p7_split, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_levels, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_shares, p2_intervals, p2_classes, p2_links, p6_found, p6_agreement, p6_posterior, p6_reliability, p6_alpha, p6_levels, p7_found, p7_split, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_levels, p10_validation)}

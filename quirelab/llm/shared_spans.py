@@ -4,12 +4,15 @@ Each distinct sequence of words is cut into segments: maximal stretches of windo
 words each) with the same minimizer, the least-hashed run of ``SEED`` words in the window. Equal
 windows have equal minimizers, so every repeat of a window reaches the same shard, and a shard is
 searched with its own segments only: work and traffic follow the number of words. A shard builds
-a compressed FM-index, streams its segments through it and reports where the matching statistics
-reach ``length`` in more than one place.
-
-Exact copies are collapsed first and joined back by class. Seeds that are hot (boilerplate) are
-routed by the whole window instead, and their windows are counted with map-side aggregation, so a
-phrase in a third of all records gathers in no task.
+a compressed FM-index and streams its segments through it. Where the matching statistics reach
+``length`` and the suffix range holds several places, the window is reported under its suffix
+range, and the records of one range are partners. Overlapping windows make up the maximal
+intervals of a record (:func:`shared_intervals`).
+
+Exact copies are collapsed first and joined back by class. A seed that would fill a shard alone
+(boilerplate) is cut further: its windows are routed one by one, and of each only the first and
+the last place go to the index, picked with map-side aggregation, so a phrase in a third of all
+records gathers in no task; its other places are joined to what the index found.
 """
 
 from __future__ import annotations
@@ -23,17 +26,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelab.llm.fmindex import FMIndex
-from quirelab.llm.textvec import mix, window_hashes
+from quirelab.llm.textvec import Members, window_hashes
 from quirelab.session import cut
 
 #: Words of a minimizer.
 SEED = 4
-#: Words in an FM-index; a task with more builds several, each for whole minimizers.
+#: Words in an FM-index; a task with more builds several, each for whole keys.
 SHARD = 1 << 20
-#: One in so many records is looked at to find hot seeds; this steers routing only.
+#: One in so many records is looked at to find seeds that would fill a shard; this steers routing only.
 LOOK = 64
-#: At most so many seeds are taken as hot, those with at least this part of the sample.
-HOT_SHARE = 1 / 2000
+#: At most so many seeds are cut further (8 bytes each, sent to the tasks): beyond 2^38 words, a seed
+#: is cut only if it has more than this part of them, and shards grow beyond SHARD accordingly.
+MOST_CUT = 1 << 20
 
 
 def _flat(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,31 +71,39 @@ def _windows(values: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.n
     return starts, least[starts]
 
 
-def _segmenter(length: int, hot: np.ndarray):
-    """Sequences to segments ``seed, rep, pos, words``; windows of hot seeds alone, without words."""
+SEGMENT = "seed long, rep long, pos int, words array<long>"
+
+
+def _segmenter(length: int, sent, single: bool):
+    """Sequences to segments ``seed, rep, pos, words``, but for those of the seeds sent; ``single``: only these, window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Members(sent.value)
         for batch in (p for b in batches for p in _pieces(b)):
             rep = batch.column(0).to_numpy()
             values, lengths = _flat(batch.column(1))
             starts, seed = _windows(values, lengths, length)
             if not len(starts):
                 continue
+            is_hot = np.zeros(len(seed), bool)
+            is_hot[hot.where(seed)] = True
             offset = np.concatenate([[0], np.cumsum(lengths)])
             of = np.searchsorted(offset, starts, "right") - 1
-            is_hot = np.isin(seed, hot)
-            new = np.ones(len(starts), bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (of[1:] != of[:-1]) | is_hot[1:]
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(starts)) - 1
-            a, b = starts[first], starts[last] + length
-            alone = is_hot[first]
-            key = seed[first]
-            if alone.any():
-                key = np.where(alone, window_hashes(values, length)[np.minimum(a, len(values) - length)], key)
-            size = np.where(alone, 0, b - a)
-            ends = np.cumsum(size)
-            take = np.repeat(a - (ends - size), size) + np.arange(ends[-1])
+            if single:
+                first = np.flatnonzero(is_hot)
+                a, b, key = starts[first], starts[first] + length, window_hashes(values, length)[starts[first]]
+            else:
+                new = np.ones(len(starts), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (of[1:] != of[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(starts)) - 1
+                cold = ~is_hot[first]
+                first, last = first[cold], last[cold]
+                a, b, key = starts[first], starts[last] + length, seed[first]
+            if not len(first):
+                continue
+            ends = np.cumsum(b - a)
+            take = np.repeat(b - ends, b - a) + np.arange(ends[-1])
             words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[take].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep[of[first]]), pa.array((a - offset[of[first]]).astype(np.int32)), words], ["seed", "rep", "pos", "words"])
 
@@ -99,7 +111,11 @@ def _segmenter(length: int, hot: np.ndarray):
 
 
 def _indexer(length: int):
-    """Rows of a task, sorted by seed, to windows that stand in more than one place: ``grp, rep, pos``."""
+    """Rows of a task, sorted by seed, to windows that stand in more than one place: ``shard, range, seed, rep, pos``.
+
+    ``shard`` is the first seed of the shard, which no other has; ``range`` is where the suffix
+    range of the window starts, which no other window of the shard has.
+    """
 
     def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
@@ -107,11 +123,11 @@ def _indexer(length: int):
         index = FMIndex(values, lengths)
         offset = np.cumsum(lengths) - lengths
         of = np.repeat(np.arange(len(lengths)), lengths)
-        at, _, _ = index.matching(index.ids(values), np.arange(len(values)) - offset[of] + 1, length, 2)
-        start = at - length + 1
-        grp = window_hashes(values, length)[start] if len(start) else np.zeros(0, np.uint64)
-        rep, pos = rows["rep"].chunk(0).to_numpy()[of[at]], rows["pos"].chunk(0).to_numpy()[of[at]] + start - offset[of[at]]
-        return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(rep), pa.array(pos.astype(np.int32))], ["grp", "rep", "pos"])
+        at, lo, _ = index.matching(index.ids(values), np.arange(len(values)) - offset[of] + 1, length, 2)
+        seed, rep = rows["seed"].chunk(0).to_numpy(), rows["rep"].chunk(0).to_numpy()
+        pos = rows["pos"].chunk(0).to_numpy()[of[at]] + at - length + 1 - offset[of[at]]
+        cols = [np.full(len(at), seed[0]), lo.astype(np.int64), seed[of[at]], rep[of[at]], pos.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "range", "seed", "rep", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -144,14 +160,27 @@ def _indexer(length: int):
 
 @dataclass
 class SharedWindows:
-    """``places``: ``grp, rep, pos``, windows by content that stand in several distinct sequences;
-    ``members``: ``rep, copies, record_id``, the records of each distinct sequence."""
+    """``places``: ``shard, range, rep, pos``, windows by suffix range that stand in several distinct sequences;
+    ``members``: ``rep, record_id``, the records of each distinct sequence."""
 
     places: DataFrame
     members: DataFrame
     length: int
 
 
+GROUP = ["shard", "range"]
+
+
+def _seeds_to_cut(sequences: DataFrame, length: int) -> np.ndarray:
+    """Seeds that may fill a shard alone, from a sample of records: at most about MOST_CUT."""
+    none = sequences.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64))
+    look = sequences.where(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).mapInArrow(_segmenter(length, none, False), SEGMENT)
+    counts = look.groupBy("seed").agg(F.sum(F.size("words")).alias("w"))
+    total = counts.agg(F.sum("w")).first()[0] or 0
+    bound = max(SHARD / 4 / LOOK, total / MOST_CUT)
+    return np.array([r["seed"] for r in counts.where(F.col("w") > bound).collect()], np.int64).view(np.uint64)
+
+
 def shared_windows(records: DataFrame, length: int = 8) -> SharedWindows:
     """Find all windows of ``length`` words that stand in more than one record.
 
@@ -159,53 +188,95 @@ def shared_windows(records: DataFrame, length: int = 8) -> SharedWindows:
     words, and count once. Null ids are left out; null words, and records shorter than
     ``length``, share nothing.
     """
+    spark = records.sparkSession
     hashed = records.where("record_id is not null").select("record_id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     hashed = hashed.where(F.size("h") >= length)
-    # Words are known by their 64-bit hashes from here on, sequences by 128 bits of hash.
-    keyed = hashed.withColumn("key", F.struct(F.xxhash64("h").alias("a"), F.xxhash64(F.reverse("h"), F.lit(1)).alias("b")))
+    # Words are known by their 64-bit hashes from here on, sequences by 128 bits of hash. The rows
+    # are parsed and hashed once; ids alone are read again below.
+    keyed = cut(hashed.withColumn("key", F.struct(F.xxhash64("h").alias("a"), F.xxhash64(F.reverse("h"), F.lit(1)).alias("b"))))
     classes = cut(keyed.groupBy("key").agg(F.min("record_id").alias("rep"), F.first("h").alias("h")))
     ids = keyed.select("key", "record_id").distinct()
     members = classes.select("key", "rep").join(ids, "key").select("rep", "record_id")
 
     sequences = classes.select("rep", "h")
-    segment_schema = "seed long, rep long, pos int, words array<long>"
-    look = sequences.where(F.pmod(F.xxhash64("rep"), F.lit(LOOK)) == 0).mapInArrow(_segmenter(length, np.zeros(0, np.uint64)), segment_schema)
-    counts = look.groupBy("seed").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    bound = max(64, total * HOT_SHARE)  # so at most 1 / HOT_SHARE seeds
-    hot = np.array([r["seed"] for r in counts.where(F.col("count") > bound).collect()], np.int64).view(np.uint64)
-
-    segments = sequences.mapInArrow(_segmenter(length, hot), segment_schema)
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = segments.where(F.size("words") > 0).repartition(n, "seed").sortWithinPartitions("seed")
-    places = cold.mapInArrow(_indexer(length), "grp long, rep long, pos int")
+    hot = _seeds_to_cut(sequences, length)
+    sent = spark.sparkContext.broadcast(hot)
+    segments = sequences.mapInArrow(_segmenter(length, sent, False), SEGMENT)
+    if len(hot):
+        single = cut(sequences.mapInArrow(_segmenter(length, sent, True), SEGMENT))
+        place = F.struct("rep", "pos", "words")
+        ends = single.groupBy("seed").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x.rep <> y.rep")
+        segments = segments.unionByName(ends.select("seed", F.explode(F.array("x", "y")).alias("p")).select("seed", "p.*"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = segments.repartition(n, "seed").sortWithinPartitions("seed")
+    places = cut(routed.mapInArrow(_indexer(length), "shard long, range long, seed long, rep long, pos int"))
     if len(hot):
-        alone = segments.where(F.size("words") == 0).select(F.col("seed").alias("grp"), "rep", "pos")
-        many = alone.groupBy("grp").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("grp")
-        places = places.unionByName(alone.join(many, "grp"))
-    return SharedWindows(cut(places), members, length)
+        # Windows routed one by one are keyed by themselves, and so joined to all of their places.
+        alone = places.join(ends.select("seed"), "seed", "left_semi").select("seed", *GROUP).distinct()
+        other = places.join(ends.select("seed"), "seed", "left_anti").select(*GROUP, "rep", "pos")
+        places = cut(other.unionByName(single.select("seed", "rep", "pos").join(alone, "seed").select(*GROUP, "rep", "pos")))
+    return SharedWindows(places, members, length)
 
 
 def shared_pairs(found: SharedWindows) -> DataFrame:
     """Each pair of records with a window in common: ``record_a, record_b``, smaller id first.
 
-    Its size is that of the answer; :func:`shared_shares` stays linear.
+    Its size is that of the answer; :func:`shared_links` with :func:`shared_classes` says the same
+    without multiplying copies, and :func:`shared_shares` and :func:`shared_intervals` stay linear.
     """
-    reps = found.places.select("grp", "rep").distinct()
-    a, b = reps.select("grp", F.col("rep").alias("x")), reps.select("grp", F.col("rep").alias("y"))
-    between = a.join(b, "grp").where("x < y").select("x", "y").distinct()
+    between = shared_links(found)
     # Copies: a record stands for its class only where the class has several members.
     several = found.members.where("rep <> record_id").select("rep").distinct()
     grouped = found.members.join(several, "rep")
-    left = between.join(grouped.select(F.col("rep").alias("x"), F.col("record_id").alias("xs")), "x", "left")
-    both = left.join(grouped.select(F.col("rep").alias("y"), F.col("record_id").alias("ys")), "y", "left")
-    p, q = F.coalesce("xs", "x"), F.coalesce("ys", "y")
+    left = between.join(grouped.select(F.col("rep").alias("class_a"), F.col("record_id").alias("xs")), "class_a", "left")
+    both = left.join(grouped.select(F.col("rep").alias("class_b"), F.col("record_id").alias("ys")), "class_b", "left")
+    p, q = F.coalesce("xs", "class_a"), F.coalesce("ys", "class_b")
     spread = both.select(F.least(p, q).alias("record_a"), F.greatest(p, q).alias("record_b"))
     one, two = grouped.select("rep", F.col("record_id").alias("record_a")), grouped.select("rep", F.col("record_id").alias("record_b"))
     within = one.join(two, "rep").where("record_a < record_b").select("record_a", "record_b")
     return spread.unionByName(within)
 
 
+def shared_links(found: SharedWindows) -> DataFrame:
+    """Pairs of classes of copies with a window in common: ``class_a, class_b``, smaller first."""
+    reps = found.places.select(*GROUP, "rep").distinct()
+    a, b = reps.select(*GROUP, F.col("rep").alias("class_a")), reps.select(*GROUP, F.col("rep").alias("class_b"))
+    return a.join(b, GROUP).where("class_a < class_b").select("class_a", "class_b").distinct()
+
+
+def shared_classes(records: DataFrame, found: SharedWindows) -> DataFrame:
+    """The class of copies of each record: ``record_id, class_id, copies``.
+
+    ``class_id`` is the least id among the records with the same words, ``copies`` their number.
+    A record shorter than ``length`` is a class of its own.
+    """
+    copies = found.members.groupBy("rep").agg(F.count("*").alias("copies"))
+    known = found.members.join(copies, "rep").select("record_id", F.col("rep").alias("class_id"), "copies")
+    every = records.where("record_id is not null").select("record_id").distinct().join(known, "record_id", "left")
+    return every.select("record_id", F.coalesce("class_id", "record_id").alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+
+
+def _real_windows(found: SharedWindows) -> DataFrame:
+    """``rep, pos`` of windows that stand in other sequences too; a window twice in one sequence alone is no sharing."""
+    lone = found.places.groupBy(*GROUP).agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x = y").select(*GROUP)
+    return found.places.join(lone, GROUP, "left_anti").select("rep", "pos").distinct()
+
+
+def shared_intervals(records: DataFrame, found: SharedWindows) -> DataFrame:
+    """Maximal stretches of each record in which every window stands in another record: ``record_id, start, n_words``.
+
+    ``start`` counts words from 0. A record with an exact copy is one interval from end to end.
+    Two stretches that touch or overlap without a shared window between them stay apart.
+    """
+    order = Window.partitionBy("rep").orderBy("pos")
+    runs = _real_windows(found).withColumn("_run", F.col("pos") - F.row_number().over(order)).groupBy("rep", "_run").agg(F.min("pos").alias("start"), (F.count("*") + found.length - 1).alias("n_words"))
+    copied = found.members.where("rep <> record_id").select("rep").distinct()
+    of_rest = found.members.join(runs.join(copied, "rep", "left_anti").drop("_run"), "rep").select("record_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))
+    sizes = records.where("record_id is not null").groupBy("record_id").agg(F.max(F.size("words")).cast("long").alias("n_words"))
+    whole = found.members.join(copied, "rep", "left_semi").join(sizes, "record_id").select("record_id", F.lit(0).cast("long").alias("start"), "n_words")
+    return of_rest.unionByName(whole)
+
+
 def shared_shares(records: DataFrame, found: SharedWindows) -> DataFrame:
     """How much of each record stands elsewhere: ``record_id, n_words, shared_words, share``.
 
@@ -213,12 +284,8 @@ def shared_shares(records: DataFrame, found: SharedWindows) -> DataFrame:
     copy, all words are shared if it has at least ``length``.
     """
     length = found.length
-    spots = found.places.select("grp", "rep", "pos")
-    # A window twice in one sequence alone is no sharing.
-    lone = spots.groupBy("grp").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x = y").select("grp")
-    real = spots.join(lone, "grp", "left_anti").select("rep", "pos").distinct()
     back = F.lag("pos").over(Window.partitionBy("rep").orderBy("pos"))
-    covered = real.withColumn("new", F.least(F.lit(length), F.coalesce(F.col("pos") - back, F.lit(length)))).groupBy("rep").agg(F.sum("new").cast("long").alias("shared"))
+    covered = _real_windows(found).withColumn("new", F.least(F.lit(length), F.coalesce(F.col("pos") - back, F.lit(length)))).groupBy("rep").agg(F.sum("new").cast("long").alias("shared"))
     copied = found.members.where("rep <> record_id").select("rep").distinct().withColumn("copied", F.lit(True))
     by_record = found.members.join(covered, "rep", "left").join(copied, "rep", "left").select("record_id", "shared", "copied")
     sizes = records.where("record_id is not null").groupBy("record_id").agg(F.max(F.coalesce(F.size("words"), F.lit(0))).cast("long").alias("n_words"))

@@ -27,6 +27,30 @@ def brute(records, n):
     return sorted(pairs), shares
 
 
+def brute_intervals(records, n):
+    windows, lines = defaultdict(set), dict(records)
+    for i, w in lines.items():
+        for k in range(len(w or []) - n + 1):
+            windows[tuple(w[k : k + n])].add(i)
+    copies = defaultdict(set)
+    for i, w in lines.items():
+        copies[tuple(w or [])].add(i)
+    out = []
+    for i, w in lines.items():
+        at = [k for k in range(len(w or []) - n + 1) if len(windows[tuple(w[k : k + n])]) > 1]
+        if at and len(copies[tuple(w)]) > 1:
+            out.append((i, 0, len(w)))
+            continue
+        for k in at:
+            if k - 1 not in at:
+                stop = k
+                while stop + 1 in at:
+                    stop += 1
+                out.append((i, k, stop - k + n))
+    classes = sorted((i, min(copies[tuple(w or [])]) if len(w or []) >= n else i, len(copies[tuple(w or [])]) if len(w or []) >= n else 1) for i, w in lines.items())
+    return sorted(out), classes
+
+
 def check(spark, records, n=8):
     df = table(spark, records)
     found = sp.shared_windows(df, n)
@@ -34,6 +58,10 @@ def check(spark, records, n=8):
     pairs, shares = brute(real, n)
     assert sorted(tuple(r) for r in sp.shared_pairs(found).collect()) == pairs
     assert {r["record_id"]: (r["n_words"], r["shared_words"]) for r in sp.shared_shares(df, found).collect()} == shares
+    if len(real) < 1000 and max((len(w or []) for _, w in real), default=0) < 1000:
+        intervals, classes = brute_intervals(real, n)
+        assert sorted((r["record_id"], r["start"], r["n_words"]) for r in sp.shared_intervals(df, found).collect()) == intervals
+        assert sorted((r["record_id"], r["class_id"], r["copies"]) for r in sp.shared_classes(df, found).collect()) == classes
     return pairs
 
 
@@ -63,8 +91,8 @@ def test_small_shards_and_hot_seeds(spark, monkeypatch):
     rng = random.Random(3)
     records = corpus(rng, 150, 3) + [(500 + i, ["boiler", "plate", "is", "in", "every", "third", "line", "here", "x", f"r{i}", f"q{i % 7}"]) for i in range(80)]
     monkeypatch.setattr(sp, "LOOK", 1)
-    monkeypatch.setattr(sp, "HOT_SHARE", 1 / 50)
-    check(spark, records)  # some seeds are hot now
+    monkeypatch.setattr(sp, "SHARD", 1200)
+    check(spark, records)  # some seeds fill a shard now
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(batch, "7")
     try:
@@ -73,6 +101,28 @@ def test_small_shards_and_hot_seeds(spark, monkeypatch):
         spark.conf.unset(batch)
 
 
+def test_a_full_seed_is_spread(monkeypatch):
+    """Windows of a seed that fills a shard have keys of their own, the others that of their seed."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    # A phrase whose hash is so small that it is the minimizer of all windows that hold it.
+    low = next([k, 2, 3, 4] for k in range(10**6) if sp.window_hashes(np.array([k, 2, 3, 4], np.uint64), 4)[0] < 1 << 50)
+    seqs = [[rng.randrange(10**6) for _ in range(6)] + low + [rng.randrange(10**6) for _ in range(6)] for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(seqs, pa.list_(pa.int64()))], ["rep", "h"])
+    rows = lambda hot, single: [r for b in sp._segmenter(8, SimpleNamespace(value=np.array(hot, np.uint64)), single)(iter([batch])) for r in b.to_pylist()]
+    by_seed = defaultdict(int)
+    for r in rows([], False):
+        by_seed[r["seed"]] += len(r["words"])
+    top = max(by_seed, key=by_seed.get)
+    full = np.array([top], np.int64).view(np.uint64)
+    rest, single = rows(full, False), rows(full, True)
+    assert top not in {r["seed"] for r in rest} and len(rest) == len(rows([], False)) - sum(r["seed"] == top for r in rows([], False))
+    assert len({r["seed"] for r in single}) > 400 and all(len(r["words"]) == 8 for r in single)
+
+
 def test_shards_end_between_seeds():
     import pyarrow as pa
 
