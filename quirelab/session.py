@@ -38,11 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster, or the checkpoint folder set on the context;
-    only where neither is set (tests, a laptop) a temporary folder is made for the session.
+    ``spark.checkpoint.dir`` names it on a cluster, or the checkpoint folder set on the context.
+    Only where neither is set and all work is done on this machine (tests, a laptop) is a temporary
+    folder made for the session; elsewhere this raises RuntimeError, since executors would each
+    write to a disk of their own.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_quirelab_dir", None)
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every machine reads and writes")
         place = "file://" + tempfile.mkdtemp(prefix="quirelab-")
         spark._quirelab_dir = place
     return place
@@ -66,9 +70,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written rows, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; other trouble than its absence is raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this process wrote below the shared folder; results must have been used or saved by then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        drop_path(spark, _made.pop())
