@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelab.operators.resample import order_hash
 from quirelab.session import cut
 
-#: Pieces of the hash range over which weights are summed up.
-PIECES = 4096
+#: Ranges of the hash over which weights are summed up; a power of two.
+PIECES = 1 << 14
 
 
 def star_edges(links: DataFrame, via: str, vertex: str) -> DataFrame:
@@ -59,31 +60,34 @@ def components(edges: DataFrame, seed: int = 7, most_rounds: int = 200) -> DataF
     return labelled.join(least, "root").select("vertex", "component")
 
 
-def running_start(rows: DataFrame, weight: str, order_hash: Column) -> DataFrame:
-    """Add ``start``, the sum of ``weight`` over all rows before this one in hash order, and ``total``.
+def running_start(rows: DataFrame, weight: str, key: Column, seed: int = 7) -> DataFrame:
+    """Add ``start``, the sum of ``weight`` over all rows before this one in random order, and ``total``.
 
-    The sum is taken in two steps, over PIECES pieces of the hash range (a table of that size)
-    and then within a piece, so no sort is global.
+    The order is that of the MD5 of seed and key (60 bits), then of the key. The sum is taken in
+    two steps, over PIECES ranges of the hash (a table of that size) and then within a range, so no
+    sort is global.
     """
-    h = rows.withColumn("_h", order_hash).withColumn("_piece", F.pmod(F.col("_h"), F.lit(PIECES)))
+    h = rows.withColumn("_h", order_hash(seed, key)).withColumn("_piece", F.expr(f"floor(_h / {(1 << 60) // PIECES})"))
     sums = h.groupBy("_piece").agg(F.sum(weight).alias("_w"))
     order = Window.orderBy("_piece")  # over at most PIECES rows
     sums = sums.select("_piece", (F.sum("_w").over(order) - F.col("_w")).alias("_before"), F.sum("_w").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("_piece").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_piece").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: at most PIECES.
     return h.join(F.broadcast(sums), "_piece").withColumn("start", F.col("_before") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("_h", "_piece", "_before")
 
 
 def split_groups(weights: DataFrame, parts: dict[str, float], seed: int = 7) -> DataFrame:
     """Assign groups ``component, weight`` to parts of the given proportions: adds ``part``.
 
-    Groups are lined up in hash order; a group goes to the part in which the middle of its
-    stretch of the cumulative weight falls. A group is never cut, so a part is off by at most
-    half the weight of the groups at its ends. Null or negative weights count as 0.
+    Groups are lined up in random order (see :func:`running_start`); a group goes to the part in
+    which the middle of its stretch of the cumulative weight falls. A group is never cut, so a part
+    is off by at most half the weight of the groups at its ends. Null or negative weights count as
+    0. ``component`` is unique.
     """
     total_share = sum(parts.values())
     rows = weights.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)))
-    placed = running_start(rows, "weight", F.xxhash64("component", F.lit(seed)))
-    middle = F.try_divide(F.col("start") + F.col("weight") / 2, F.col("total"))
+    placed = running_start(rows, "weight", F.col("component"), seed)
+    middle = F.try_divide(F.col("start") * 2 + F.col("weight"), F.col("total") * 2)
     names, bounds = list(parts), []
     for name in names:
         bounds.append((bounds[-1] if bounds else 0) + parts[name] / total_share)
@@ -93,6 +97,28 @@ def split_groups(weights: DataFrame, parts: dict[str, float], seed: int = 7) ->
     return placed.select(*weights.columns, part.alias("part"))
 
 
+def split_records(records: DataFrame, groups: DataFrame, parts: dict[str, float], seed: int = 7) -> DataFrame:
+    """Assign records to parts so that records of one group stay together: ``record_id, vertex, component, part``.
+
+    ``records``: ``record_id, vertex``, one row each; ``groups``: ``vertex, component``. A vertex
+    without a component is its own group. A record without a vertex is held by nothing and a group
+    of its own, named by its id; so every record comes out, in exactly one part.
+    """
+    named = records.join(groups, "vertex", "left").select("record_id", "vertex", F.coalesce("component", "vertex", F.concat(F.lit("record "), F.col("record_id").cast("string"))).alias("component"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("weight"))
+    chosen = split_groups(sizes, parts, seed).select("component", "part")
+    return named.join(chosen, "component").select("record_id", "vertex", "component", "part")
+
+
+def split_report(placed: DataFrame, parts: dict[str, float]) -> DataFrame:
+    """Shares reached: ``part, wanted, groups, records, share``, for parts that got records."""
+    n = placed.groupBy("component", "part").count().groupBy("part").agg(F.count("*").alias("groups"), F.sum("count").alias("records"))
+    total = sum(parts.values())
+    wanted = F.create_map(*(F.lit(x) for k, v in parts.items() for x in (k, v / total)))
+    share = F.col("records") / F.sum("records").over(Window.partitionBy())  # one row a part
+    return n.select("part", wanted[F.col("part")].alias("wanted"), "groups", "records", share.alias("share"))
+
+
 def torn_groups(listed: DataFrame, groups: DataFrame) -> DataFrame:
     """Listed members of groups that a split tears apart: ``split_id, member``.
 

@@ -16,8 +16,8 @@ from quirelab.functions.keys import plain_key
 #: Folder of tokenizer files; each worker must be able to read it.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces of a source over which expected copies are summed up.
-PIECES = 1 << 15
+#: Pieces of a source over which expected copies are summed up: 4,096 for each size class.
+PIECES = 1 << 17
 # Fixed value: the split pattern of this vocabulary, as published with its family of tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

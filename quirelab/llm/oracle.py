@@ -28,6 +28,18 @@ n as (select mm_id, arg_max(struct_pack(zl_text, it_text, cd_text, gc_text), upd
 l as (select mm_id, s, t from (select mm_id, {", ".join(_READING.format(x + "_text") + f" as {x}" for x in _READERS)} from n) unpivot (t for s in (zl, it, cd, gc))),
 rel as (select a.s, avg((a.t = b.t)::int) as q from l a join l b on a.mm_id = b.mm_id and a.s <> b.s group by 1),
 v as (select mm_id, t, count(*) as c, max(q) as q from l join rel using (s) group by all)"""
+_GROUPS = f"""
+links as (select distinct folio, {_QUIRE.format("quire")} as q from line_records where folio is not null),
+e as (select distinct a.q as x, b.q as y from links a join links b on a.folio = b.folio where a.q is not null and b.q is not null),
+reach(x, y) as (select x, y from e union select r.x, e.y from reach r join e on r.y = e.x),
+grp as (select x as q, min(y) as g from reach group by x)"""
+_SPLIT = _GROUPS + f""",
+one as (select line_id, max({_QUIRE.format("quire")}) as quire from line_records where line_id is not null group by line_id),
+named as (select line_id, quire, coalesce(g, quire, 'record ' || line_id) as component from one left join grp on grp.q = quire),
+w as (select component, count(*) as weight from named group by component),
+o as (select component, weight, sum(weight) over (order by ('0x' || substr(md5('7:' || component), 1, 15))::bigint, component) as upto, sum(weight) over () as total from w),
+p as (select component, case when (2 * upto - weight)::double / (2 * total) < 0.8 then 'train' when (2 * upto - weight)::double / (2 * total) < 0.9 then 'validation' else 'test' end as part from o),
+placed as (select line_id, quire, component, part from named join p using (component))"""
 
 ORACLE = {
     # Ties go to the source that agrees most often with the others, which is here also the order of the fit.
@@ -49,6 +61,7 @@ x as (select (sum(n) * sum(n) - sum(n * n))::double / (sum(n) * (sum(n) - 1)) as
 select items, labels, observed, expected, 1 - observed / expected as alpha from o, x""",
     "p1_found": f"{_COUNTS} select term, mark from m where mark is not null",
     "p1_incremental": f"{_COUNTS} select term, occurrences, records, mark from m",
+    "p1_corrected": _COUNTS.replace("occ as", "kept as (select * from lines where line_id in (select line_id from line_records where page is not null)), occ as").replace("as term from lines", "as term from kept").replace("from lines)", "from kept)") + " select term, occurrences, records, mark from m",
     "p2_found": f"""
 with lines as ({LINES}),
 w as (select distinct line_id, words[p:p + 7] as g from (select line_id, words, unnest(range(1, len(words) - 6)) as p from lines where len(words) >= 8))
@@ -79,14 +92,15 @@ k as (select min(line_id) as line_id, words from lines where len(words) >= 8 gro
 w as (select distinct line_id, words[p:p + 7] as g from (select line_id, words, unnest(range(1, len(words) - 6)) as p from k))
 select distinct a.line_id as class_a, b.line_id as class_b from w a join w b on a.g = b.g and a.line_id < b.line_id""",
     "p7_found": f"""
-with recursive links as (select distinct folio, {_QUIRE.format("quire")} as q from line_records where folio is not null),
-e as (select distinct a.q as x, b.q as y from links a join links b on a.folio = b.folio where a.q is not null and b.q is not null),
-reach(x, y) as (select x, y from e union select r.x, e.y from reach r join e on r.y = e.x),
-grp as (select x as q, min(y) as g from reach group by x),
+with recursive {_GROUPS},
 listed as (select distinct manifest_id, fold, {_QUIRE.format("q0")} as q from (select manifest_id, fold, unnest(quires) as q0 from split_manifest)),
 l as (select manifest_id, fold, listed.q, coalesce(g, listed.q) as g from listed left join grp on grp.q = listed.q where listed.q is not null),
 t as (select manifest_id, g from l group by manifest_id, g having count(distinct fold) > 1)
 select distinct l.manifest_id, l.q as quire from l join t on t.manifest_id = l.manifest_id and t.g = l.g""",
+    "p7_split": f"with recursive {_SPLIT} select line_id, quire, component, part from placed",
+    "p7_shares": f"""
+with recursive {_SPLIT}
+select part, case part when 'train' then 0.8e0 else 0.1e0 end as wanted, count(distinct component) as groups, count(*) as records, count(*)::double / sum(count(*)) over () as share from placed group by part""",
     "p8_found": f"""
 with i as (select item_id, ws[p:p + 12] as g from (select item_id, ws, unnest(range(1, len(ws) - 11)) as p from (select item_id, {_ITEM_WORDS} as ws from eval_items) where len(ws) >= 13)),
 d as (select doc_id, ws[p:p + 12] as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from (select doc_id, {_ITEM_WORDS} as ws from documents) where len(ws) >= 13))

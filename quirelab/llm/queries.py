@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelab.functions.grammar import line_words, reading_words
+from quirelab.functions.grammar import line_words, parse_values, reading_words
 from quirelab.functions.keys import quire_key
 from quirelab.llm import consensus as cs
 from quirelab.llm import group_split as gs
@@ -42,6 +42,19 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     return store.apply(tc.images(before, after)).marked().select("term", "occurrences", "records", "mark")
 
 
+def p1_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after corrections: lines as raw_text has them first, then by their tokens.
+
+    Lines without a number come late, and lines without a page are deleted; so the change holds
+    added, changed and deleted records, and counts go up and down.
+    """
+    rows = table(spark, d, "line_records").where("line_id is not null")
+    first = rows.where("line_number is not null").select(F.col("line_id").alias("record_id"), parse_values("raw_text", True).alias("words")).dropDuplicates(["record_id"])
+    now = rows.where("page is not null").select(F.col("line_id").alias("record_id"), line_words().alias("words")).dropDuplicates(["record_id"])
+    before, after = tc.changed(first, now)
+    return tc.TermCounts(spark).apply(tc.images(None, first)).apply(tc.images(before, after)).marked().select("term", "occurrences", "records", "mark")
+
+
 def _shared(spark: SparkSession, d: str) -> tuple[DataFrame, sp.SharedWindows]:
     rows = table(spark, d, "line_records").where("line_id is not null").select(F.col("line_id").alias("record_id"), line_words().alias("words"))
     return rows, sp.shared_windows(rows, 8)
@@ -136,13 +149,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return torn.select(F.col("split_id").alias("manifest_id"), F.col("member").alias("quire"))
 
 
+PARTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "line_records").where("line_id is not null").groupBy("line_id").agg(F.max(quire_key(F.col("quire"))).alias("vertex"))
+    return gs.split_records(lines.withColumnRenamed("line_id", "record_id"), _quire_groups(spark, d), PARTS)
+
+
 def p7_split(spark: SparkSession, d: str) -> DataFrame:
-    """Each quire with its group, its lines and its part of 80 : 10 : 10."""
-    lines = table(spark, d, "line_records").where("line_id is not null").select("line_id", quire_key(F.col("quire")).alias("vertex")).where("vertex is not null").distinct()
-    sizes = lines.groupBy("vertex").agg(F.count("*").alias("lines"))
-    grouped = sizes.join(_quire_groups(spark, d), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    parts = gs.split_groups(grouped.groupBy("component").agg(F.sum("lines").alias("weight")), {"train": 0.8, "validation": 0.1, "test": 0.1})
-    return grouped.join(parts.select("component", "part"), "component").select(F.col("vertex").alias("quire"), "component", "lines", "part")
+    """Each line with its quire, its group and its part of 80 : 10 : 10; lines without a quire are held by nothing."""
+    return _split(spark, d).withColumnsRenamed({"record_id": "line_id", "vertex": "quire"})
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups and lines each part got."""
+    return gs.split_report(_split(spark, d), PARTS)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -196,4 +218,4 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(model.report, "source string, documents long, mean_error double, bias double, same_side double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p2_found, p2_shares, p2_intervals, p2_classes, p2_links, p6_found, p6_agreement, p6_posterior, p6_reliability, p6_alpha, p6_levels, p7_found, p7_split, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_levels, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p1_corrected, p2_found, p2_shares, p2_intervals, p2_classes, p2_links, p6_found, p6_agreement, p6_posterior, p6_reliability, p6_alpha, p6_levels, p7_found, p7_split, p7_shares, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_levels, p10_validation)}

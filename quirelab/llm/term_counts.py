@@ -8,12 +8,13 @@ Buckets no delta touches keep their files.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelab.session import scratch_path
+from quirelab.session import drop_path, path_exists, scratch_path
 
 
 def images(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
@@ -48,64 +49,82 @@ def term_deltas(change: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """The persistent counts. Every call of :meth:`apply` writes a new version of the buckets it touches."""
+    """The persistent counts. Every call of :meth:`apply` writes a new version of the buckets it touches.
+
+    A version is written to a folder of its own attempt and counts once the manifest names it, so a
+    failure on the way leaves the last version as it was, and the change can be applied again. One
+    writer at a time. :meth:`vacuum` removes what the manifest no longer names.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or scratch_path(spark, "term-counts")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.version = 0
-        self.place: dict[int, int] = {}  # bucket -> version that holds it
-        manifest = self._read_manifest() if path else None
-        if manifest:
-            self.version, self.buckets, self.place = manifest
+        self.place: dict[int, str] = {}  # bucket -> folder that holds it
+        if path and path_exists(spark, f"{path}/manifest"):
+            self._read_manifest()
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _write(self, rows: DataFrame, what: str) -> str:
-        """Write ``term, occurrences, records`` with one folder and one task per bucket."""
-        out = f"{self.path}/{what}"
-        rows.select("term", "occurrences", "records", self._bucket()).repartition(min(self.buckets, 4096), "bucket").write.partitionBy("bucket").parquet(out)
-        return out
-
-    def _read(self, out: str) -> DataFrame:
-        return self.spark.read.schema("term string, occurrences long, records long, bucket int").parquet(out)
-
-    def _read_manifest(self):
-        try:
-            rows = self.spark.read.schema("version int, buckets int, bucket int, place int, n int").json(f"{self.path}/manifest").orderBy("version", ascending=False).collect()
-        except Exception:  # no manifest yet
-            return None
-        if not rows:
-            return None
-        last = [r for r in rows if r["version"] == rows[0]["version"]]
-        return last[0]["version"], last[0]["buckets"], {r["bucket"]: r["place"] for r in last if r["bucket"] is not None}
-
-    def _write_manifest(self) -> None:
-        rows = [(self.version, self.buckets, b, v) for b, v in sorted(self.place.items())] or [(self.version, self.buckets, None, None)]
-        self.spark.createDataFrame(rows, "version int, buckets int, bucket int, place int").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        """Write ``term, occurrences, records`` with one folder and one task per bucket; the name of the attempt's folder."""
+        name = f"{what}-{uuid.uuid4().hex[:12]}"
+        rows.select("term", "occurrences", "records", self._bucket()).repartition(min(self.buckets, 4096), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema("term string, occurrences long, records long, bucket int").parquet(f"{self.path}/{name}")
+
+    def _read_manifest(self) -> None:
+        # A manifest that was not finished has no _SUCCESS mark; the greatest finished version holds.
+        files = self.spark.read.schema("version int, buckets int, bucket int, place string").json(f"{self.path}/manifest/*")
+        done = [r[0] for r in files.select("version").distinct().collect() if path_exists(self.spark, f"{self.path}/manifest/{r[0]:08d}/_SUCCESS")]
+        if done:
+            last = files.where(F.col("version") == max(done)).collect()  # at most one row per bucket
+            self.version, self.buckets = last[0]["version"], last[0]["buckets"]
+            self.place = {r["bucket"]: r["place"] for r in last if r["bucket"] is not None}
+
+    def _publish(self, version: int, place: dict[int, str]) -> None:
+        rows = [(version, self.buckets, b, v) for b, v in sorted(place.items())] or [(version, self.buckets, None, None)]
+        frame = self.spark.createDataFrame(rows, "version int, buckets int, bucket int, place string")
+        frame.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{version:08d}")
+        self.version, self.place = version, place
 
     def apply(self, change: DataFrame) -> TermCounts:
         """Merge a change (from :func:`images`) into the counts."""
-        self.version += 1
-        deltas = self._read(self._write(term_deltas(change), f"v{self.version}-delta" if self.place else f"v{self.version}"))
+        version = self.version + 1
+        name = self._write(term_deltas(change), f"v{version}")
+        deltas = self._read(name)
         touched = [r[0] for r in deltas.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        merged = name
         if self.place:
             old = self.counts([b for b in touched if b in self.place], whole=True)
             sums = old.unionByName(deltas.select("term", "occurrences", "records")).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            self._write(sums.where("occurrences <> 0 or records <> 0"), f"v{self.version}")
-        self.place |= {b: self.version for b in touched}
-        self._write_manifest()
+            merged = self._write(sums.where("occurrences <> 0 or records <> 0"), f"v{version}")
+        self._publish(version, self.place | {b: merged for b in touched})
+        if merged != name:
+            drop_path(self.spark, f"{self.path}/{name}")
         return self
 
+    def vacuum(self) -> None:
+        """Remove versions that no bucket is in, and attempts that failed; tables read before are then gone."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("v") and name not in set(self.place.values()):
+                fs.delete(status.getPath(), True)
+
     def counts(self, buckets: list[int] | None = None, whole: bool = False) -> DataFrame:
         """``term, occurrences, records`` of all (or some) buckets; ``whole`` keeps the null term."""
         wanted = self.place if buckets is None else {b: self.place[b] for b in buckets}
-        by_version: dict[int, list[int]] = {}
+        by_version: dict[str, list[int]] = {}
         for b, v in wanted.items():
             by_version.setdefault(v, []).append(b)
-        parts = [self._read(f"{self.path}/v{v}").where(F.col("bucket").isin(bs)) for v, bs in by_version.items()]
+        parts = [self._read(v).where(F.col("bucket").isin(bs)) for v, bs in by_version.items()]
         out = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "term string, occurrences long, records long, bucket int")
         return out.where("true" if whole else "term is not null").select("term", "occurrences", "records")
 

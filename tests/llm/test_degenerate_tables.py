@@ -13,7 +13,7 @@ from tests.helpers import rows
 
 ALL = QUERIES | general.QUERIES
 #: Their rows are per target or per annotator, so they are there without data.
-FIXED = {"p9_shares", "p6_reliability"}
+FIXED = {"p9_shares", "p6_reliability", "p6_alpha"}
 
 
 def write(data, out, change):

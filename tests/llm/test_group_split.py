@@ -56,13 +56,32 @@ def test_split(spark):
     assert abs(sums["train"] / total - 0.8) < 0.02 and abs(sums["test"] / total - 0.1) < 0.02
     assert {r["component"]: r["part"] for r in out.collect()} == {r["component"]: r["part"] for r in gs.split_groups(df.drop("total", "start").repartition(7), {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
     assert gs.split_groups(df.drop("total", "start").limit(0), {"a": 1}).count() == 0
-    starts = sorted((r["start"], r["weight"]) for r in gs.running_start(spark.createDataFrame(rows[:50], "component long, weight long"), "weight", F.xxhash64("component")).collect())
+    starts = sorted((r["start"], r["weight"]) for r in gs.running_start(spark.createDataFrame(rows[:50], "component long, weight long"), "weight", F.col("component")).collect())
     at = 0
     for s, w in starts:
         assert s == at
         at += w
 
 
+def test_every_record_has_a_part(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["A", "B", "C", "D", "E", None]) if i % 3 else f"q{i % 50}") for i in range(900)]
+    records = spark.createDataFrame([(*r, "clash") for r in rows], "record_id long, vertex string, part string")
+    groups = spark.createDataFrame([("A", "A"), ("B", "A"), ("C", "C")], "vertex string, component string")
+    parts = {"train": 0.6, "test": 0.4}
+    placed = gs.split_records(records, groups, parts)
+    got = {r["record_id"]: r for r in placed.collect()}
+    assert len(got) == 900 and placed.count() == 900
+    by = {}
+    for r in got.values():
+        by.setdefault(r["component"], set()).add(r["part"])
+    assert all(len(p) == 1 for p in by.values())
+    assert {got[i]["component"] for i, v in rows if v in ("A", "B")} == {"A"} and all(got[i]["component"] == f"record {i}" for i, v in rows if v is None)
+    report = {r["part"]: r for r in gs.split_report(placed, parts).collect()}
+    assert sum(r["records"] for r in report.values()) == 900 and abs(report["train"]["share"] - 0.6) < 0.1
+    assert gs.split_records(records.limit(0), groups, parts).count() == 0
+
+
 def test_torn(spark):
     listed = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (1, 1, "C"), (1, 2, "X"), (1, 3, "X"), (2, 0, "A"), (2, 0, "B"), (2, None, "X"), (2, 1, None)], "split_id long, fold int, member string")
     groups = spark.createDataFrame([("A", "A"), ("B", "A"), ("Z", "A")], "vertex string, component string")

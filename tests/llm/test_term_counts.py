@@ -48,9 +48,10 @@ def test_incremental_equals_batch(spark, tmp_path):
 
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     store = TermCounts(spark, f"file://{tmp_path}/s", 16).apply(images(None, table(spark, {i: [f"w{i}"] for i in range(300)})))
-    assert set(store.place.values()) == {1}
+    first = set(store.place.values())
+    assert len(first) == 1
     store.apply(images(None, table(spark, {999: ["w1"]})))
-    assert sorted(store.place.values()).count(2) <= 2  # the term's bucket and that of the record count
+    assert sum(v not in first for v in store.place.values()) <= 2  # the term's bucket and that of the record count
     unchanged = changed(table(spark, {1: ["a"], 2: None}), table(spark, {1: ["a"], 2: None}))
     assert unchanged[0].count() == unchanged[1].count() == 0
 
@@ -69,3 +70,33 @@ def test_empty_and_long(spark):
     assert sorted(tuple(r) for r in term_deltas(images(None, long)).collect() if r["term"]) == [("a", 300_000, 1), ("b", 300_000, 1)]
     deleted = TermCounts(spark).apply(images(None, table(spark, {1: ["a"]}))).apply(images(table(spark, {1: ["a"]}), None))
     assert deleted.total() == 0 and deleted.counts().count() == 0
+
+
+def test_failed_attempts_leave_the_last_version(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/s"
+    one, two = {1: ["a", "b"], 2: ["a"]}, {1: ["a", "b"], 2: ["c"], 3: ["c", "c"]}
+    store = TermCounts(spark, path, 4).apply(images(None, table(spark, one)))
+    change = images(*changed(table(spark, one), table(spark, two)))
+    for step in ("_publish", "_write"):
+        broken, real, calls = TermCounts(spark, path), getattr(TermCounts, step), []
+
+        def fail(*args, step=step, real=real, calls=calls):
+            calls.append(1)
+            if step == "_publish" or len(calls) == 2:
+                raise OSError("lost")
+            return real(*args)
+
+        with monkeypatch.context() as m:
+            m.setattr(TermCounts, step, fail)
+            try:
+                broken.apply(change)
+                raise AssertionError("should have failed")
+            except OSError:
+                pass
+        assert state(TermCounts(spark, path)) == brute(one)
+    again = TermCounts(spark, path).apply(change)
+    assert state(again) == brute(two) == state(TermCounts(spark, path)) and again.version == 2
+    again.vacuum()
+    left = [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("v")]
+    assert state(TermCounts(spark, path)) == brute(two) and set(left) <= set(again.place.values())
+    assert store.version == 1
