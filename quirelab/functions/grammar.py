@@ -43,6 +43,11 @@ STRAY = "[" + "".join(sorted({c for p in QUOTE_PAIRS for c in p})) + "]"
 _QUOTED = [quoted(p) for p in QUOTE_PAIRS]
 #: Values of a field: quoted, else bare; a quote that opens nothing comes out as a stray character.
 FIELD = choice(*_QUOTED, BARE, STRAY)
+#: Values where brackets hold a value too, for fields written that way.
+BRACKET_PAIRS = ["[]", "()", "{}", "<>"]
+BRACKETED = choice(*_QUOTED, *(bracketed(p) for p in BRACKET_PAIRS), BARE, STRAY)
+#: What stands between values.
+GAP = "(?s)."
 #: The same for running lines, where a remark is tried first.
 LINE = choice(*(bracketed(p) for p in REMARK_PAIRS), *_QUOTED, BARE, STRAY)
 #: Only bare words, as readings are compared.
@@ -90,6 +95,27 @@ def parse_elements(array: str) -> Column:
     return F.expr(f"coalesce(transform({array}, e -> {_parse_sql('e', False)}), cast(array() as array<array<string>>))")
 
 
+def placed_elements(array: str, brackets: bool = False) -> Column:
+    """For each element, its values with where they stand: ``offset, term, malformed``.
+
+    The grammar takes every character, as a value or as a gap, so the lengths of what came before
+    add up to the offset (in characters, from 0; quotes and brackets are part of the place, not of
+    the term). ``brackets``: what stands in brackets is one value, its blanks trimmed, and nothing
+    if that is empty. ``malformed``: a quote in the element opens or closes nothing.
+    """
+    grammar = choice(BRACKETED if brackets else FIELD, GAP)
+    stray = _lit("^" + STRAY + "$")
+    inner = "trim(substring(v, 2, char_length(v) - 2))"
+    term = f"case when char_length(v) > 1 and left(v, 1) in ('[', '(', '{{', '<') then {inner} else {_clean('v')} end" if brackets else _clean("v")
+    is_value = f"(v rlike {_lit('^' + BARE)} or char_length(v) > 1)"
+    placed = (
+        f"aggregate({_matches('e', grammar)}, named_struct('at', 0, 'out', cast(array() as array<struct<offset:int,term:string>>)), "
+        f"(s, v) -> named_struct('at', int(s.at + char_length(v)), 'out', if({is_value} and {term} <> '', concat(s.out, array(named_struct('offset', s.at, 'term', {term}))), s.out)), s -> s.out)"
+    )
+    bad = f"coalesce(exists({_matches('e', grammar)}, v -> v rlike {stray}), false)"
+    return F.expr(f"coalesce(transform({array}, e -> named_struct('found', coalesce({placed}, array()), 'malformed', {bad})), array())")
+
+
 def malformed_elements(array: str) -> Column:
     """For each element, whether a quote in it opens nothing or closes nothing."""
     stray = _lit("^" + STRAY + "$")

@@ -22,20 +22,48 @@ def _islands(rows: DataFrame, *group: str) -> DataFrame:
     return run.groupBy(*group, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
-def key_runs(parents: DataFrame, key: Column, block: int = 1 << 10) -> DataFrame:
+def key_runs(parents: DataFrame, key: Column, block: int = 1 << 10, group: Column | None = None) -> DataFrame:
     """Compress integer parent keys into contiguous runs: ``block, runs`` with runs [(lo, hi)].
 
     Keys are cut into blocks of ``block`` numbers, so no sort is global and a block holds at most
-    block / 2 runs. Null keys are left out; repeated keys count once.
+    block / 2 runs. Null keys are left out; repeated keys count once. ``group``: numbers of one
+    group only form runs; ``block`` then names group and block.
     """
-    keys = parents.select(key.cast("long").alias("lo")).where("lo is not null").distinct()
-    ranges = keys.select(F.expr(f"floor(lo / {block})").alias("block"), "lo", (F.col("lo") + 1).alias("hi"))
-    return _islands(ranges, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    keys = parents.select(_block(key.cast("long"), group, block).alias("block"), key.cast("long").alias("lo")).where("lo is not null").distinct()
+    return _islands(keys.select("block", "lo", (F.col("lo") + 1).alias("hi")), "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+
+
+def _block(n: Column, group: Column | None, block: int) -> Column:
+    number = F.floor(n / block) if block & (block - 1) else F.shiftright(n, block.bit_length() - 1)
+    return number if group is None else F.concat_ws(":", group, number.cast("string"))
+
+
+def key_number(key: Column) -> tuple[Column, Column]:
+    """A text key as ``(group, number)``, no two keys alike: its last run of digits, and the text around it.
+
+    Keys like f68v, f69v then are the successive numbers 68, 69 of one group, and compress into
+    runs. The group tells how long the number is written if that is with leading zeros; a key
+    without digits is number 0 of a group of its own.
+    """
+    pattern = r"^(?s)(.*?)([0-9]{1,18})([^0-9]*)$"
+    digits = F.regexp_extract(key, pattern, 2)
+    before, after = F.regexp_extract(key, pattern, 1), F.regexp_extract(key, pattern, 3)
+    width = F.when(digits.startswith("0"), F.length(digits)).otherwise(F.lit(0))
+    some = F.concat_ws(":", F.length(before), width, F.concat(before, after))
+    return F.when(digits != "", some).otherwise(F.concat(F.lit("-:"), key)), F.when(digits != "", digits.cast("long")).when(key.isNotNull(), 0)
 
 
 def _at_or_before(runs: str, at: str) -> str:
-    """SQL: the last run that starts at or before a point, or null."""
-    return f"try_element_at(filter({runs}, r -> r.lo <= {at}), -1)"
+    """SQL: the last run that starts at or before a point, or null, by binary search in the sorted runs."""
+    middle = "(s.a + s.b) div 2"
+    step = f"if(s.a >= s.b, s, if({runs}[int({middle})].lo <= {at}, named_struct('a', int({middle} + 1), 'b', s.b), named_struct('a', s.a, 'b', int({middle}))))"
+    many = f"aggregate(sequence(1, int(ceil(log2(size({runs}) + 1)))), named_struct('a', 0, 'b', size({runs})), (s, i) -> {step}, s -> s.a)"
+    return f"case when coalesce(size({runs}), 0) > 0 then get({runs}, {many} - 1) end"
+
+
+def _beyond(runs: str, at: str) -> str:
+    """SQL: whether no run holds a point, as of the run that starts at or before it."""
+    return f"coalesce(({_at_or_before(runs, at)}).hi <= {at}, true)"
 
 
 def orphan_keys(refs: DataFrame, ref_key: Column, parents: DataFrame, parent_key: Column, block: int = 1 << 10) -> DataFrame:
@@ -44,13 +72,25 @@ def orphan_keys(refs: DataFrame, ref_key: Column, parents: DataFrame, parent_key
     Each reference is matched as of its key to the run that starts at or before it, and is an
     orphan beyond that run's end. Null references are none and do not come out.
     """
-    runs = key_runs(parents, parent_key, block)
     cols = [F.col(f"`{c}`") for c in refs.columns]
     keyed = refs.select(F.struct(*cols).alias("_row"), ref_key.cast("long").alias("_k")).where("_k is not null")
-    keyed = keyed.withColumn("block", F.expr(f"floor(_k / {block})"))
-    joined = salted_join(keyed, runs, "block", F.col("_k"), "left")
-    gone = joined.where(f"coalesce({_at_or_before('runs', '_k')}.hi <= _k, true)")
-    return gone.select("_row.*")
+    keyed = keyed.withColumn("block", _block(F.col("_k"), None, block))
+    joined = salted_join(keyed, key_runs(parents, parent_key, block), "block", F.col("_k"), "left")
+    return joined.where(_beyond("runs", "_k")).select("_row.*")
+
+
+def known_keys(refs: DataFrame, parent_keys: DataFrame, spread: str, block: int = 1 << 10) -> DataFrame:
+    """Add ``known`` to ``refs`` (with a text column ``key``): whether the key is one of ``parent_keys`` (a column ``key``).
+
+    Text keys are read as numbers (:func:`key_number`), parent keys compressed into runs, and each
+    reference matched as of its number. The runs are few where keys are numbered through; how
+    they are joined is left to their size, and blocks with many references are salted by ``spread``.
+    """
+    group, number = key_number(F.col("key"))
+    runs = key_runs(parent_keys.where("key is not null"), number, block, group)
+    numbered = refs.withColumn("_k", number).withColumn("block", _block(F.col("_k"), group, block))
+    joined = salted_join(numbered, runs, "block", F.col(spread), "left")
+    return joined.withColumn("known", ~F.expr(_beyond("runs", "_k"))).drop("_k", "block", "runs")
 
 
 def force_runs(parents: DataFrame, key: Column, added: Column, deleted: Column) -> DataFrame:
@@ -75,15 +115,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot: dict | None = No
     """References that find no row in force at their time.
 
     ``refs``: ``key, at, record_key``; ``parents``: what :func:`force_runs` gives. Returns
-    ``record_key, ref_month, reason``: ``missing`` if the key is nowhere, ``deleted`` if a row of
-    it ended at or before that time, else ``late``. References without key or time are none.
-    Repeated references come out once; hot keys are salted.
+    ``record_key, ref_month, reason``: ``missing`` if the key is beyond the runs of parent keys,
+    ``deleted`` if a row of it ended at or before that time, else ``late``. References without key
+    or time are none. Repeated references come out once; hot keys are salted.
     """
     refs = refs.where("key is not null and at is not null").select("key", "record_key", clock_micros(F.col("at")).alias("t"), clock_month(F.col("at")).alias("ref_month"))
     hot = hot_keys(refs, F.col("key")) if hot is None else hot
-    joined = salted_join(refs, parents.withColumn("known", F.lit(True)), "key", F.col("record_key"), "left", hot)
-    gone = joined.where(f"coalesce({_at_or_before('runs', 't')}.hi <= t, true)")
-    reason = F.expr("case when known is null then 'missing' when first_deleted <= t then 'deleted' else 'late' end")
+    told = known_keys(refs, parents.select("key"), "record_key")
+    joined = salted_join(told, parents, "key", F.col("record_key"), "left", hot)
+    gone = joined.where(f"not known or {_beyond('runs', 't')}")
+    reason = F.expr("case when not known then 'missing' when first_deleted <= t then 'deleted' else 'late' end")
     return gone.select("record_key", "ref_month", reason.alias("reason")).distinct()
 
 
@@ -98,6 +139,6 @@ def orphans_by_table(lines: DataFrame, pages: DataFrame, folios: DataFrame) -> D
     page_refs = page_keys.groupBy("record_key").agg(F.min("at").alias("at"), F.min_by("key", F.when(F.col("key").isNotNull(), F.col("at"))).alias("key"))
     in_pages = force_runs(pages, plain_key(F.col("page_id")), F.col("added_at"), F.col("deleted_at"))
     in_folios = force_runs(folios, plain_key(F.col("folio_id")), F.col("added_at"), F.col("deleted_at"))
-    found = [("line_records", orphan_references(line_refs, in_pages)), ("page_records", orphan_references(page_refs, in_folios, {}))]
+    found = [("line_records", orphan_references(line_refs, in_pages)), ("page_records", orphan_references(page_refs, in_folios))]
     a, b = (df.select(F.lit(name).alias("table_name"), "record_key", "ref_month", "reason") for name, df in found)
     return a.unionByName(b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelab.functions.grammar import malformed_elements, parse_elements
+from quirelab.functions.grammar import malformed_elements, parse_elements, placed_elements
 
 
 def split_packed(df: DataFrame, id_col: str, array_col: str, only_packed: bool = False) -> DataFrame:
@@ -33,6 +33,18 @@ def split_packed(df: DataFrame, id_col: str, array_col: str, only_packed: bool =
     return rows.select("record_id", F.posexplode(flat).alias("pos", "t")).select("record_id", "pos", "t.element", "t.term", "t.malformed")
 
 
+def place_packed(df: DataFrame, id_col: str, array_col: str, brackets: bool = False) -> DataFrame:
+    """The same with where each value stands: ``record_id, pos, element, offset, term, malformed``.
+
+    ``offset``: the character of the element at which the value starts, its quote or bracket
+    included. ``brackets``: what stands in ``[]``, ``()``, ``{}`` or ``<>`` is one value as well.
+    """
+    rows = df.select(F.col(id_col).alias("record_id"), F.col(array_col).alias("_a"))
+    rows = rows.select("record_id", F.explode(F.array(placed_elements("_a", brackets))).alias("p"))
+    flat = F.flatten(F.transform("p", lambda e, i: F.transform(e["found"], lambda v: F.struct(i.alias("element"), v["offset"].alias("offset"), v["term"].alias("term"), e["malformed"].alias("malformed")))))
+    return rows.select("record_id", F.posexplode(flat).alias("pos", "t")).select("record_id", "pos", "t.*")
+
+
 def packed_in_tables(lines: DataFrame, mismatches: DataFrame) -> DataFrame:
     """All values of the packed arrays of line_records.tokens and mismatch_main.sources_present.
 

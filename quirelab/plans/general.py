@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quirelab.operators.diff import diff_mismatches
 from quirelab.operators.orphans import orphan_keys, orphans_by_table
-from quirelab.operators.packed import packed_in_tables, split_packed
+from quirelab.operators.packed import packed_in_tables, place_packed, split_packed
+from quirelab.plans.sqltext import VALUE, values_of
 from quirelab.session import table
 
 
@@ -22,6 +23,12 @@ def p3_values(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(lines, "line_id", "tokens").select("record_id", "pos", "element", "term", "malformed")
 
 
+def p3_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of sources_present of every newest mismatch row, with the character it starts at."""
+    newest = table(spark, d, "mismatch_main").where("mm_id is not null").groupBy("mm_id").agg(F.max_by("sources_present", "updated_at").alias("sources_present"))
+    return place_packed(newest, "mm_id", "sources_present")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans_by_table(*(table(spark, d, t) for t in ("line_records", "page_records", "folio_records")))
 
@@ -47,16 +54,15 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("issue").agg(F.count("*").alias("records"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_values, p4_found, p4_report, p4_integer_keys, p5_found, p5_report)}
-
-_VALUE = r"""'"(?:[^"]|"")+"|''(?:[^'']|'''')+''|“(?:[^”]|””)+”|«(?:[^»]|»»)+»|[\p{L}*]+'"""
-_UNQUOTE = """case when regexp_matches(v, '^["“«'']') then replace(v[2:-2], v[-1:] || v[-1:], v[-1:]) else v end"""
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every difference with what either copy has, as it is compared; sets as JSON."""
+    return diff_mismatches(table(spark, d, "mismatch_main"), table(spark, d, "mismatch_mirror"), values=True)
 
 
-def _values_sql(e: str) -> str:
-    return f"list_transform(coalesce(regexp_extract_all({e}, {_VALUE}), []), lambda v: {_UNQUOTE})"
-
+QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_places, p4_found, p4_report, p4_integer_keys, p5_found, p5_report, p5_values)}
 
+_STRAY = """'["“”„''‘’‚«»‹›`]'"""
+_TOTAL = VALUE[:-1] + "|(?s).'"
 _P3_PART = """
 select '{table}' as table_name, id as record_id, cast(p - 1 as integer) as pos, vals[p] as term from (
   select id, flatten(parsed) as vals, unnest(range(1, len(flatten(parsed)) + 1)) as p from (
@@ -83,10 +89,12 @@ _P4 = (
     )
 )
 _TEXT = r"trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n]+', ' ', 'g'))"
-_P5 = f"""
+_P5_JOIN = f"""
 with m as (select mm_id, arg_max(struct_pack(z := {_TEXT.format("zl_text")}, i := {_TEXT.format("it_text")}, s := list_sort(list_distinct(coalesce(sources_missing, [])))), updated_at) as r from mismatch_main group by mm_id),
 n as (select mm_id, arg_max(struct_pack(z := {_TEXT.format("zl_text")}, i := {_TEXT.format("it_text")}, s := list_sort(list_distinct(coalesce(sources_missing, [])))), updated_at) as r from mismatch_mirror group by mm_id),
-j as (select coalesce(m.mm_id, n.mm_id) as mm_id, m.r as a, n.r as b, m.mm_id is null as no_a, n.mm_id is null as no_b from m full join n on m.mm_id = n.mm_id)
+j as (select coalesce(m.mm_id, n.mm_id) as mm_id, m.r as a, n.r as b, m.mm_id is null as no_a, n.mm_id is null as no_b from m full join n on m.mm_id = n.mm_id)"""
+_P5 = f"""
+{_P5_JOIN}
 select mm_id, 'only_main' as issue from j where no_b
 union all select mm_id, 'only_mirror' from j where no_a
 union all select mm_id, 'zl_text' from j where not no_a and not no_b and a.z <> b.z
@@ -94,14 +102,28 @@ union all select mm_id, 'it_text' from j where not no_a and not no_b and a.i <>
 union all select mm_id, 'sources_missing' from j where not no_a and not no_b and a.s <> b.s"""
 
 ORACLE = {
-    "p3_found": _P3_PART.format(table="line_records", values=_values_sql("e"), source=_LINES_ONCE) + " union all " + _P3_PART.format(table="mismatch_main", values=_values_sql("e"), source=_NEWEST),
+    "p3_found": _P3_PART.format(table="line_records", values=values_of("e"), source=_LINES_ONCE) + " union all " + _P3_PART.format(table="mismatch_main", values=values_of("e"), source=_NEWEST),
     "p3_values": f"""
-select id as record_id, cast(row_number() over (partition by id order by el, j) - 1 as integer) as pos, cast(el as integer) as element, term, false as malformed from (
-  select id, el, unnest(range(1, len(vals) + 1)) as j, unnest(vals) as term from (
-    select id, el, {_values_sql("e")} as vals from (select id, unnest(a) as e, unnest(range(0, len(a))) as el from ({_LINES_ONCE}))))""",
+select id as record_id, cast(row_number() over (partition by id order by el, j) - 1 as integer) as pos, cast(el as integer) as element, term, malformed from (
+  select id, el, regexp_matches(regexp_replace(e, {VALUE}, ' ', 'g'), {_STRAY}) as malformed, unnest(range(1, len(vals) + 1)) as j, unnest(vals) as term from (
+    select id, el, e, {values_of("e")} as vals from (select id, unnest(a) as e, unnest(range(0, len(a))) as el from ({_LINES_ONCE}))))""",
+    "p3_places": f"""
+select id as record_id, cast(row_number() over (partition by id order by el, off) - 1 as integer) as pos, cast(el as integer) as element, cast(off as integer) as "offset", ({values_of("m")})[1] as term, malformed from (
+  select id, el, malformed, unnest(ms) as m, unnest(offs) as off from (
+    select id, el, ms, list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)) as offs,
+      regexp_matches(regexp_replace(e, {VALUE}, ' ', 'g'), {_STRAY}) as malformed
+    from (select id, el, e, regexp_extract_all(e, {_TOTAL}) as ms from (select id, unnest(a) as e, unnest(range(0, len(a))) as el from ({_NEWEST})))))
+where len({values_of("m")}) > 0""",
     "p4_found": _P4,
     "p4_report": f"select table_name, ref_month, reason, count(*) as orphans from ({_P4}) group by all",
     "p4_integer_keys": "select l_orderkey, count(*) as lines from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P') group by 1",
     "p5_found": _P5,
+    "p5_values": f"""
+{_P5_JOIN}
+select mm_id, 'only_main' as issue, null as main_value, null as mirror_value from j where no_b
+union all select mm_id, 'only_mirror', null, null from j where no_a
+union all select mm_id, 'zl_text', a.z, b.z from j where not no_a and not no_b and a.z <> b.z
+union all select mm_id, 'it_text', a.i, b.i from j where not no_a and not no_b and a.i <> b.i
+union all select mm_id, 'sources_missing', to_json(a.s)::varchar, to_json(b.s)::varchar from j where not no_a and not no_b and a.s <> b.s""",
     "p5_report": f"select issue, count(*) as records from ({_P5}) group by 1",
 }

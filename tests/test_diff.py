@@ -72,3 +72,28 @@ def test_normal_forms(spark):
     assert tuple(r) == ("a b", '["a","b"]')
     got = diff_copies(spark.createDataFrame([(1, "x", 1)], "k int, f string, v long").withColumn("v", F.timestamp_seconds("v")), spark.createDataFrame([(1, "y", 1)], "k int, f string, v long").withColumn("v", F.timestamp_seconds("v")), "k", "v", {"f": F.col("f")})
     assert [tuple(r) for r in got.collect()] == [(1, "f")]
+
+
+def test_values_and_ties(spark):
+    a = table(spark, [(1, "x", "same", ["A"], 5), (1, "a", "same", ["A"], 5), (2, None, "k", None, 1), (4, "only", "", None, 1)])
+    b = table(spark, [(1, "y ", "same", ["B", "A"], 5), (2, " ", "l", [], 1), (3, "z", "", None, None)])
+    got = sorted(tuple(r) for r in diff_mismatches(a, b, values=True).collect())
+    # Of two rows with one version the one with the least fields holds, wherever it stands.
+    assert got == [(1, "sources_missing", '["A"]', '["A","B"]'), (1, "zl_text", "a", "y"), (2, "it_text", "k", "l"), (3, "only_mirror", None, None), (4, "only_main", None, None)]
+    assert got == sorted(tuple(r) for r in diff_mismatches(a.orderBy(F.desc("zl_text")), b, values=True).collect())
+    assert diff_mismatches(a.limit(0), b.limit(0), values=True).columns == ["mm_id", "issue", "main_value", "mirror_value"]
+
+
+def test_ranges(spark, monkeypatch):
+    """Shared split points: ranges are of about equal size, and every row has one."""
+    from quirelab.operators import diff
+
+    monkeypatch.setattr(diff, "ROWS", 100)
+    keys = spark.range(5000).select((F.col("id") * 7 - 900).alias("key"))
+    points, hot, n = diff.split_points(keys, 8)
+    assert n == 8 and points == sorted(points) and hot == []
+    sizes = [r["count"] for r in keys.groupBy(diff.range_number("key", points).alias("p")).count().collect()]
+    assert len(sizes) == 8 and min(sizes) > 400
+    got = {r["key"]: r["p"] for r in keys.select("key", diff.range_number("key", points).alias("p")).collect()}
+    assert all(got[k] == sum(p <= k for p in points) for k in got)
+    assert diff.split_points(keys.limit(0), 8)[::2] == ([], 1)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirelab.operators.orphans import force_runs, key_runs, orphan_keys, orphan_references, orphans_by_table
+from quirelab.operators.orphans import force_runs, key_number, key_runs, known_keys, orphan_keys, orphan_references, orphans_by_table
 from quirelab.operators.skew import hot_keys, salted_join
 
 
@@ -82,3 +82,32 @@ def test_clock_times(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert tuple(r) == (1616898600000001, -500000, None, "2021-03", "1969-12", None)
+
+
+def test_text_keys_as_numbers(spark):
+    keys = ["f68v", "f69v", "f70v", "f68r", "f068v", "f0068v", "f", "", "12", "a1b2", "a1b02", "é7", "x" + "9" * 30 + "y", "-:f", "1:0:f68v", "a\n5", "f68v "]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("key", *key_number(F.col("key"))).collect()}
+    assert len(set(got[k] for k in keys)) == len(keys) and got[None][1] is None
+    assert got["f68v"][0] == got["f70v"][0] != got["f68r"][0] and got["f70v"][1] == 70
+    rng = random.Random(5)
+    name = lambda: rng.choice(["f", "g0", ""]) + rng.choice(["", "0"]) + str(rng.randrange(300)) + rng.choice(["r", "v", "", "v2"])
+    parents = [name() for _ in range(900)]
+    refs = [name() for _ in range(1500)] + ["f7v"] * 1500
+    table = spark.createDataFrame([(k, str(i)) for i, k in enumerate(refs)], "key string, id string")
+    out = known_keys(table, spark.createDataFrame([(k,) for k in [*parents, None]], "key string"), "id")
+    assert out.columns == ["key", "id", "known"]
+    assert sorted((r["id"], r["known"]) for r in out.collect()) == sorted((str(i), k in set(parents)) for i, k in enumerate(refs))
+    # Keys that are numbered through are few runs.
+    through = spark.createDataFrame([(f"f{i}{s}",) for i in range(1, 900) for s in "rv"], "key string")
+    g, n = key_number(F.col("key"))
+    assert sum(len(r["runs"]) for r in key_runs(through, n, group=g).collect()) == 2
+
+
+def test_very_many_periods(spark):
+    """The run at or before a time is found by halving, whatever the number of runs."""
+    rows = [("k", i * 10, i * 10 + 5) for i in range(5000)]
+    parents = stamp(spark.createDataFrame(rows, "key string, a long, z long"), "a", "z")
+    refs = stamp(spark.createDataFrame([("k", t, str(t)) for t in range(-3, 50_020, 7)], "key string, at long, record_key string"), "at")
+    got = {int(r["record_key"]): r["reason"] for r in orphan_references(refs, force_runs(parents, F.col("key"), F.col("a"), F.col("z"))).collect()}
+    assert got == {t: "late" if t < 0 else "deleted" for t in range(-3, 50_020, 7) if t < 0 or t % 10 >= 5 or t >= 50_000}

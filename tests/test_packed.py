@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quirelab.functions.grammar import line_words, parse_values, reading_words
-from quirelab.operators.packed import packed_in_tables, split_packed
+from quirelab.operators.packed import packed_in_tables, place_packed, split_packed
 
 
 def values(spark, text, remarks=False):
@@ -55,3 +57,63 @@ def test_tables(spark):
     got = sorted(tuple(r) for r in packed_in_tables(lines, marks).collect())
     assert got == [("line_records", 1, 0, "a"), ("line_records", 1, 1, "b"), ("mismatch_main", 8, 0, "ZL"), ("mismatch_main", 8, 1, "IT")]
     assert packed_in_tables(lines.limit(0), marks.limit(0)).count() == 0
+
+
+def places(spark, text, brackets=False):
+    df = spark.createDataFrame([(1, [text])], "id long, a array<string>")
+    return [(r["offset"], r["term"], r["malformed"]) for r in place_packed(df, "id", "a", brackets).orderBy("pos").collect()]
+
+
+def test_places(spark):
+    assert places(spark, "ZL; IT/«GC, 2nd» x") == [(0, "ZL", False), (4, "IT", False), (7, "GC, 2nd", False), (17, "x", False)]
+    assert places(spark, 'a "b') == [(0, "a", True), (3, "b", True)]
+    assert places(spark, "a b” c") == [(0, "a", True), (2, "b", True), (5, "c", True)]
+    assert places(spark, "a\n\n, b") == [(0, "a", False), (5, "b", False)]
+    assert places(spark, "") == [] and places(spark, None) == [] and places(spark, ", ;") == []
+
+
+def test_brackets(spark):
+    assert places(spark, "x [a, b] (c) d", True) == [(0, "x", False), (2, "a, b", False), (9, "c", False), (13, "d", False)]
+    assert places(spark, "x [a, b] (c)", False) == [(0, "x", False), (3, "a", False), (6, "b", False), (10, "c", False)]
+    assert places(spark, "[] [ ] {z} <w [v", True) == [(7, "z", False), (12, "w", False), (15, "v", False)]
+    assert places(spark, '"[q]" [“r”]', True) == [(0, "[q]", False), (6, "“r”", False)]
+
+
+def test_malformed_against_brute_force(spark):
+    """A quote is malformed exactly if it is no part of a value, read from the left."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ,;'\"“”«»") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(texts)], "id long, a array<string>")
+    got = {}
+    for r in place_packed(df, "id", "a").collect():
+        got.setdefault(r["record_id"], []).append((r["offset"], r["term"], r["malformed"]))
+
+    pairs = ['""', "''", "“”", "„“", "„”", "‘’", "‚‘", "‚’", "«»", "»«", "‹›", "``"]
+
+    def read(t):
+        out, bad, i = [], False, 0
+        while i < len(t):
+            for o, c in pairs:
+                if t[i] != o:
+                    continue
+                j = i + 1
+                while j < len(t) and (t[j] != c or t[j + 1 : j + 2] == c):
+                    j += 2 if t[j] == c else 1
+                if j < len(t) and j > i + 1:
+                    out.append((i, t[i + 1 : j].replace(c + c, c)))
+                    i = j
+                    break
+            else:
+                if t[i].isalpha() or t[i] == "*":
+                    j = i
+                    while j < len(t) and (t[j].isalpha() or t[j] == "*"):
+                        j += 1
+                    out.append((i, t[i:j]))
+                    i = j - 1
+                elif any(t[i] in p for p in pairs):
+                    bad = True
+            i += 1
+        return [(a, b, bad) for a, b in out]
+
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == read(t), t
