@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,35 +23,35 @@ def longest_matches(seq: Sequence, window: int, min_match: int, overlap: bool) -
     a match may run into itself; without, it ends before the cursor, one symbol short of it.
     """
     n = len(seq)
-    chains: dict[tuple, list[int]] = {}
-    heads: dict[tuple, int] = {}
-    added = 0
+    chains: dict[tuple, deque[int]] = {}
+    added = gone = 0
     i = 0
     while i < n:
         while added < i and added + min_match <= n:
-            chains.setdefault(tuple(seq[added : added + min_match]), []).append(added)
+            chains.setdefault(tuple(seq[added : added + min_match]), deque()).append(added)
             added += 1
+        # What has left the window leaves the chains too, so they hold a window's worth at any length.
+        while gone < min(i - window, added):
+            key = tuple(seq[gone : gone + min_match])
+            chains[key].popleft()
+            if not chains[key]:
+                del chains[key]
+            gone += 1
         best, where = 0, 0
         key = tuple(seq[i : i + min_match])
-        chain = chains.get(key) if len(key) == min_match else None
-        if chain:
-            at = heads.get(key, 0)
-            while at < len(chain) and chain[at] < i - window:
-                at += 1
-            heads[key] = at
-            for j in chain[at:]:
-                room = n - i if overlap else min(n - i, i - 1 - j)
-                if room <= best:
-                    if overlap:
-                        break
-                    continue
-                length = min_match if room >= min_match else 0
-                while length and length < room and seq[j + length] == seq[i + length]:
-                    length += 1
-                if length > best:
-                    best, where = length, j
-                    if best == n - i:
-                        break
+        for j in chains.get(key, ()) if len(key) == min_match else ():
+            room = n - i if overlap else min(n - i, i - 1 - j)
+            if room <= best:
+                if overlap:
+                    break
+                continue
+            length = min_match if room >= min_match else 0
+            while length and length < room and seq[j + length] == seq[i + length]:
+                length += 1
+            if length > best:
+                best, where = length, j
+                if best == n - i:
+                    break
         if best >= min_match:
             yield i, i - where, best
             i += best

@@ -22,36 +22,55 @@ from quirelab.session import cut
 BLOCK = 1 << 14
 
 
-def prefix(df: DataFrame, by: Sequence[str], order: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+def prefix(df: DataFrame, by: Sequence[str], order: str, value: Column, out: str, block: int = BLOCK, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in the order of ``order``.
 
-    ``order`` is an integer column without ties. Rows are summed per block of its range, the
-    blocks' sums are added up (one row per block), then a window runs within each block.
+    ``order`` is an integer column without ties, or with ties that the columns ``ties`` break. Rows
+    are summed per block of its range, the blocks' sums are added up (one row per block), then a
+    window runs within each block. It must be dense enough that blocks are far fewer than rows;
+    for other orders there is :func:`number_lines`.
     """
     keys = [*by, "_block"]
     rows = df.withColumn("_block", F.expr(f"floor({order} / {block})")).withColumn("_v", value)
     sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_s"))
     before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_block")) - F.col("_s")
     sums = sums.select(*keys, before.alias("_b"))
-    inner = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     # The window first: its exchange then serves the join on the same keys.
     rows = rows.withColumn("_in", F.sum("_v").over(inner)).drop("_v")
     total = F.col("_b") + F.coalesce(F.col("_in"), F.lit(0))
     return rows.join(sums, keys).withColumn(out, total).drop("_block", "_in", "_b")
 
 
-def number_lines(df: DataFrame, by: Sequence[str], order: str, block: int = BLOCK) -> DataFrame:
-    """Add the dense ``line_no`` in the order of an integer column without ties."""
+def is_sparse(orders: DataFrame, order: str, block: int = BLOCK) -> bool:
+    """Whether a column's values lie so far apart that blocks of its range are of no use: fewer than 64 rows in each, and many blocks."""
+    row = orders.agg(F.count(order).alias("n"), F.approx_count_distinct(F.expr(f"floor({order} / {block})")).alias("b")).first()
+    return row["b"] > 1024 and row["b"] * 64 > row["n"]
+
+
+def number_lines(df: DataFrame, by: Sequence[str], order: str, block: int = BLOCK, sparse: bool | None = None) -> DataFrame:
+    """Add the dense ``line_no`` in the order of an integer column without ties, whatever its gaps.
+
+    Where the order is dense this is a blocked prefix count. A sparse order, which would make a
+    block of nearly every row, is ranked by a range exchange instead (:func:`global_ranks`); the
+    numbers are the same. ``sparse`` says which, where the caller knows it cheaper than by a look at
+    the column. With ``by``, blocks are counted within each of its values.
+    """
+    if not by and (is_sparse(df.select(order), order, block) if sparse is None else sparse):
+        return global_ranks(df, [order], "line_no")
     return prefix(df, by, order, F.lit(1), "line_no", block).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def time_series(df: DataFrame, at: str, value: str, by: Sequence[str] = (), block_s: int = 21_600) -> DataFrame:
-    """A numeric series ``[*by,] i, v`` in the order of a timestamp without ties; rows without time or value are left out.
+def time_series(df: DataFrame, at: str, value: str, by: Sequence[str] = (), block_s: int = 21_600, ties: Sequence[str] = ()) -> DataFrame:
+    """A numeric series ``[*by,] i, v`` in the order of a timestamp; rows without time or value are left out.
 
-    Times are counted in blocks of ``block_s`` seconds.
+    Times are counted in blocks of ``block_s`` seconds. Equal times come in the order of the columns
+    ``ties``, then of the values, so the series never depends on chance.
     """
-    rows = df.where(f"{at} is not null and {value} is not null").select(*by, clock_micros(F.col(at)).alias("_t"), F.col(value).cast("double").alias("v"))
-    return prefix(rows, by, "_t", F.lit(1), "i", block_s * 1_000_000).select(*by, F.col("i").cast("long").alias("i"), "v")
+    kept = [t for t in ties if t not in by]
+    rows = df.where(f"{at} is not null and {value} is not null").select(*by, clock_micros(F.col(at)).alias("_t"), F.col(value).cast("double").alias("v"), *(F.col(t).alias(f"_tie{i}") for i, t in enumerate(kept)))
+    order = [*(f"_tie{i}" for i in range(len(kept))), "v"]
+    return prefix(rows, by, "_t", F.lit(1), "i", block_s * 1_000_000, order).select(*by, F.col("i").cast("long").alias("i"), "v")
 
 
 def line_bag(line_records: DataFrame) -> DataFrame:
@@ -62,7 +81,8 @@ def line_bag(line_records: DataFrame) -> DataFrame:
 
 def line_corpus(line_records: DataFrame) -> DataFrame:
     """The same as a corpus, ordered by line_id."""
-    return number_lines(line_bag(line_records), [], "line_id").select("line_no", "grp", "words")
+    sparse = is_sparse(line_records.select("line_id"), "line_id")  # reads one column
+    return number_lines(line_bag(line_records), [], "line_id", sparse=sparse).select("line_no", "grp", "words")
 
 
 def document_corpus(documents: DataFrame) -> DataFrame:

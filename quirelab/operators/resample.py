@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quirelab.operators.corpus import number_lines, prefix, word_bag
 from quirelab.session import cut
 
-#: Group labels that are shuffled on the driver; beyond that the order is that of a hash.
+#: Group labels that can be shuffled on the driver; more need ``by_hash``.
 ON_DRIVER = 100_000
 #: Fields that are not scored.
 NOT_SCORED = ["group_stability", "cross_agreement", "template_transition"]
@@ -33,18 +33,21 @@ def order_hash(*parts: Column | int | str) -> Column:
 HASH_BLOCK = 1 << 44
 
 
-def group_folds(lines: DataFrame, n_folds: int = 5, seed: int = 42, by_hash: bool | None = None) -> DataFrame:
+def group_folds(lines: DataFrame, n_folds: int = 5, seed: int = 42, by_hash: bool = False) -> DataFrame:
     """H1: ``grp, fold`` for every group but the empty one.
 
     Groups in order of first appearance are shuffled, and every n-th goes to the same fold.
-    ``by_hash``: order by the MD5 of seed and label instead of a shuffle on the driver; the
-    default does so beyond ON_DRIVER groups. Without groups this raises ValueError.
+    ``by_hash``: order by the MD5 of seed and label, for any number of groups, instead of a
+    seeded shuffle of the labels on the driver. Without groups, or with more than ON_DRIVER and no
+    ``by_hash``, this raises ValueError: the rule never changes by itself.
     """
     groups = lines.where("grp is not null and grp <> ''").groupBy("grp").agg(F.min("line_no").alias("o"))
     n = groups.count()
     if not n:
         raise ValueError("no groups to split")
-    if by_hash or (by_hash is None and n > ON_DRIVER):
+    if not by_hash and n > ON_DRIVER:
+        raise ValueError(f"{n} groups are too many for a shuffle on the driver; set by_hash")
+    if by_hash:
         ranked = prefix(groups.withColumn("h", order_hash(seed, F.col("grp"))), [], "h", F.lit(1), "r", HASH_BLOCK)
         return ranked.select("grp", F.pmod("r", F.lit(n_folds)).cast("int").alias("fold"))
     labels = [r["grp"] for r in groups.orderBy("o").collect()]
@@ -132,12 +135,16 @@ def match_report(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def without_each_group(lines: DataFrame) -> DataFrame:
     """The corpus without each of its groups in turn, keyed by ``left_out``, groups one after another.
 
-    One copy of the corpus per group but one; meant for few groups (sections, sources, folds).
+    One copy of the corpus per group but one; meant for few groups (sections, sources, folds). For
+    fields that follow from counts, :func:`count_fields` takes any number of groups without copies.
     """
     groups = numbered_groups(lines)
-    # Every line meets every other group: the replicates themselves, each of which is evaluated.
-    others = groups.select(F.col("grp").alias("left_out"))
-    rows = lines.join(groups, "grp").join(F.broadcast(others), F.col("grp") != F.col("left_out"))
+    # Every line once for every other group: the replicates themselves, each of which is evaluated.
+    n = groups.count()
+    if not n:
+        return lines.select(F.col("grp").alias("left_out"), "line_no", "grp", "words")
+    spread = lines.join(groups, "grp").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).where("_other <> g")
+    rows = spread.join(groups.select(F.col("g").alias("_other"), F.col("grp").alias("left_out")), "_other")
     ordered = rows.select("left_out", (F.col("g") * (1 << 34) + F.col("line_no")).alias("o"), "grp", "words")
     return number_lines(ordered, ["left_out"], "o").select("left_out", "line_no", "grp", "words")
 

@@ -2,14 +2,15 @@
 
 A window's linear detrending has a closed form in sums, RMS^2 = (Syy - Sxy^2 / Sxx) / k, so every
 estimator is an aggregation by (scale, window) with map-side combination. Scales depend on a
-series' length only; they come as a small table made on the driver from the distinct lengths.
+series' length only; they come as a table made from the distinct lengths.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,13 @@ def _profile(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _scales(df: DataFrame, by: Sequence[str], make) -> DataFrame:
-    """``n, k``: scales for every distinct length. At most one row per length and scale."""
-    spark = df.sparkSession
-    lengths = [r["n"] for r in df.groupBy(*by).agg(F.count("*").alias("n")).select("n").distinct().collect()]
-    rows = [(n, k) for n in lengths for k in make(n)]
-    return F.broadcast(spark.createDataFrame(rows, "n long, k long"))
+    """``n, k``: scales for every distinct length, made where the lengths are; how they are joined is left to their size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(n, k) for n in b["n"] for k in make(int(n))], columns=["n", "k"]).astype("int64")
+
+    return df.groupBy(*by).agg(F.count("*").alias("n")).select("n").distinct().mapInPandas(run, "n long, k long")
 
 
 def _slope(points: DataFrame, by: Sequence[str], least: int, y: str) -> DataFrame:

@@ -201,7 +201,7 @@ def zipf_slope(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_one("conditional_entropy"), "conditional_entropy")
 def conditional_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return signature.conditional_entropy(_flat(spark, d))
+    return signature.conditional_entropy(cut(_flat(spark, d)))  # read twice
 
 
 @query(_one("edge_mi"), "edge_mi")
@@ -216,7 +216,7 @@ def d1_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_one("mi_plateau"), "mi_plateau")
 def mi_plateau(spark: SparkSession, d: str) -> DataFrame:
-    return signature.mi_plateau(_flat(spark, d))
+    return signature.mi_plateau(cut(_flat(spark, d)))
 
 
 @query(_one("group_stability"), "group_stability")
@@ -277,7 +277,7 @@ def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str, *by: str) -> DataFrame:
-    return corpus.time_series(table(spark, d, "events"), "ts", "value", by)
+    return corpus.time_series(table(spark, d, "events"), "ts", "value", by, ties=["event_id"])
 
 
 _MAXK = "least((select max(n) from prof) // 4, 1000)"
@@ -307,7 +307,7 @@ def hurst_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return series.hurst_ensemble(_events(spark, d))
 
 
-_BY_TYPE = """e as (select event_type as g, ts, value::double as v, row_number() over (partition by event_type order by ts) - 1 as j, count(*) over (partition by event_type) as m from events where ts is not null and value is not null),
+_BY_TYPE = """e as (select event_type as g, ts, value::double as v, row_number() over (partition by event_type order by ts, event_id) - 1 as j, count(*) over (partition by event_type) as m from events where ts is not null and value is not null),
 s as (select g, j as i, v from e where m >= {least} union all select 'aggregate', row_number() over (order by g, j) - 1, v from e where m >= {least})"""
 
 

@@ -123,11 +123,8 @@ v as (select left_out, avg((c = 1)::int) as value from u group by 1), o as (sele
 select 'hapax_ratio' as field, any_value(observed) as observed, min(value) as lowest, max(value) as highest, max(abs(value - observed)) as max_change, cast(null as double) as max_change_sd, arg_max(left_out, abs(value - observed)) as extreme_group, 1::int as "rank" from v, o""", "observed lowest highest max_change")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     """X9, D7 for one field: how the hapax ratio moves without each transcription source."""
-    lines = _by_source(spark, d)
-    apart = resample.without_each_group(lines)
-    field = lambda df, by: df.select(*by, F.lit("hapax_ratio").alias("field"), F.col("hapax_ratio").alias("value"))
-    observed = field(signature.hapax_ratio(corpus.words(lines)), [])
-    return resample.homogeneity(observed, field(signature.hapax_ratio(corpus.words(apart, ["left_out"]), ["left_out"]), ["left_out"]))
+    hapax = (df.where("field = 'hapax_ratio'") for df in resample.count_fields(_by_source(spark, d)))
+    return resample.homogeneity(*hapax)
 
 
 @query()

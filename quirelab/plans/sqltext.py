@@ -26,7 +26,7 @@ lines as (select row_number() over (order by line_id) - 1 as line_no, grp, words
 FLAT = LINES + """,
 flat as (select line_no, grp, idx, word, row_number() over (order by line_no, idx) - 1 as pos from (
   select line_no, grp, unnest(range(0, len(words))) as idx, unnest(words) as word from lines))"""
-EVENTS = "s as (select row_number() over (order by ts) - 1 as i, value::double as v from events where ts is not null and value is not null)"
+EVENTS = "s as (select row_number() over (order by ts, event_id) - 1 as i, value::double as v from events where ts is not null and value is not null)"
 
 
 def profile(by: str = "") -> str:

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -141,3 +142,26 @@ def test_boxes(spark):
     assert tuple(pts) == (0, 1, 0, 1)
     with pytest.raises(ValueError):
         line_points(lines, corpus.words(lines), scale="page")
+
+
+def test_sparse_and_dense_orders(spark):
+    """Line numbers do not depend on gaps between the ids, and sparse ids make no block of their own."""
+    rng = random.Random(4)
+    ids = sorted(rng.sample(range(1 << 62), 3000))
+    df = spark.createDataFrame([(i, f"w{k}") for k, i in enumerate(ids)], "o long, w string").repartition(5)
+    assert corpus.is_sparse(df, "o") and not corpus.is_sparse(spark.range(3000), "id") and not corpus.is_sparse(df.limit(0), "o")
+    got = {r["o"]: r["line_no"] for r in corpus.number_lines(df, [], "o").collect()}
+    assert got == {i: k for k, i in enumerate(ids)}
+    same = {r["o"]: r["line_no"] for r in corpus.number_lines(df, [], "o", sparse=False).collect()}
+    assert same == got and corpus.number_lines(df.limit(0), [], "o").count() == 0
+
+
+def test_ties_in_time(spark):
+    """Equal times come in the order of the tie column, however the rows are spread."""
+    rows = [(10 * (i // 40), i, float((i * 7) % 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "s long, id long, v double").withColumn("t", F.timestamp_seconds("s"))
+    want = [r[2] for r in rows]
+    for parts in (1, 3, 7):
+        got = [r["v"] for r in corpus.time_series(df.repartition(parts), "t", "v", ties=["id"]).orderBy("i").collect()]
+        assert got == want
+    assert [r["v"] for r in corpus.time_series(df, "t", "v").orderBy("i").collect()][:40] == sorted(want[:40])
