@@ -81,17 +81,17 @@ def box_dimension(points: DataFrame, by: Sequence[str] = (), n_scales: int = 30,
     return fit.where("scales >= 4")
 
 
-def stream_dimension(lines: DataFrame, flat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def stream_dimension(lines: DataFrame, flat: DataFrame, by: Sequence[str] = (), spacing: float | None = None) -> DataFrame:
     """the dimension of a whole stream's points; no row under 100 words or with one type."""
     types = flat.groupBy(*by).agg(F.countDistinct("word").alias("types")).where("types >= 2")
-    found = box_dimension(line_points(lines, flat, by, "corpus"), by)
+    found = box_dimension(line_points(lines, flat, by, "corpus"), by, spacing=spacing)
     return (found.join(types, list(by)) if by else found.join(types, F.lit(True))).select(*found.columns)
 
 
-def observed_dimension(lines: DataFrame, flat: DataFrame) -> DataFrame:
+def observed_dimension(lines: DataFrame, flat: DataFrame, spacing: float | None = None) -> DataFrame:
     """one row ``n_points, dimension, r2, scales, status`` with points by line; ``too few points`` under 100."""
     points = line_points(lines, flat)
     n = points.agg(F.count("*").alias("n_points"))
-    out = n.join(box_dimension(points), F.lit(True), "left")  # single rows
+    out = n.join(box_dimension(points, spacing=spacing), F.lit(True), "left")  # single rows
     status = F.when(F.col("n_points") < 100, "too few points").when(F.col("dimension").isNull(), "too few scales").otherwise("ok")
     return out.withColumn("status", status)

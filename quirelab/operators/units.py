@@ -7,6 +7,7 @@ one task merges them; a larger vocabulary stays a table, and each merge is one a
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 
@@ -32,7 +33,8 @@ def word_types(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def merges(types: dict[str, int], vocabulary: int = VOCABULARY) -> tuple[list[str], list[tuple[str, str]]]:
     """Units and merges of a vocabulary: single characters, then the most frequent pair again and again.
 
-    Ties go to the pair first in order. Pair counts are kept up to date word by word.
+    Ties go to the pair first in order. Pair counts are kept up to date word by word; a heap holds
+    every count a pair has had since it last grew or shrank, and stale ones are passed over.
     """
     parts = {w: list(w) for w in types}
     units = sorted({c for w in types for c in w})
@@ -44,11 +46,14 @@ def merges(types: dict[str, int], vocabulary: int = VOCABULARY) -> tuple[list[st
             where[p].add(w)
     made: list[tuple[str, str]] = []
     known = set(units)
-    while len(units) < vocabulary and pairs:
-        best, n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-        if n <= 0:
-            break
+    heap = [(-n, p) for p, n in pairs.items() if n > 0]
+    heapq.heapify(heap)
+    while len(units) < vocabulary and heap:
+        n, best = heapq.heappop(heap)
+        if pairs.get(best) != -n:
+            continue
         made.append(best)
+        touched: set[tuple[str, str]] = set()
         joined = best[0] + best[1]
         if joined not in known:
             known.add(joined)
@@ -60,10 +65,15 @@ def merges(types: dict[str, int], vocabulary: int = VOCABULARY) -> tuple[list[st
                 if not pairs[p]:
                     del pairs[p]
                 where[p].discard(w)
+                touched.add(p)
             parts[w] = merge_once(old, best)
             for p in zip(parts[w], parts[w][1:]):
                 pairs[p] += types[w]
                 where[p].add(w)
+                touched.add(p)
+        for p in touched:
+            if pairs.get(p, 0) > 0:
+                heapq.heappush(heap, (-pairs[p], p))
     return units, made
 
 
@@ -103,6 +113,8 @@ def _merge_table(types: DataFrame, vocabulary: int) -> list[str]:
 def unit_inventory(types: DataFrame, by: Sequence[str] = (), vocabulary: int = VOCABULARY, local: int = LOCAL) -> DataFrame:
     """``[*by,] rank, unit``: at most ``vocabulary`` units (more only if there are more characters)."""
     spark = types.sparkSession
+    if not by:
+        types = cut(types)  # counted, then merged
     if not by and types.count() > local:
         return spark.createDataFrame(list(enumerate(_merge_table(types, vocabulary))), "rank int, unit string")
 
@@ -115,6 +127,17 @@ def unit_inventory(types: DataFrame, by: Sequence[str] = (), vocabulary: int = V
     return keyed.applyInPandas(run, keys + "rank int, unit string")
 
 
+def merge_list(types: DataFrame, vocabulary: int = VOCABULARY) -> list[tuple[str, str]]:
+    """The merges of a vocabulary in order, for :func:`encode_words`: at most ``vocabulary`` pairs, made in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, made = merges(dict(zip(pdf["word"], pdf["c"].tolist())), vocabulary)
+        return pd.DataFrame({"rank": range(len(made)), "a": [x for x, _ in made], "b": [x for _, x in made]})
+
+    rows = types.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "rank int, a string, b string").orderBy("rank").collect()
+    return [(r["a"], r["b"]) for r in rows]
+
+
 def encode_words(words_df: DataFrame, made: list[tuple[str, str]]) -> DataFrame:
     """``word, units`` of each distinct word under a list of merges (a vocabulary's worth)."""
 

@@ -31,21 +31,19 @@ def _bag(spark: SparkSession, d: str) -> DataFrame:
 
 # --- sources, parsing, joins -------------------------------------------------------------------
 
-_TABLES = ["customer", "documents", "embeddings", "events", "line_records", "lineitem", "nation", "orders", "page_records", "part", "region", "supplier"]
+_TABLES = ["customer", "documents", "embeddings", "eval_items", "events", "folio_records", "level_labels", "line_records", "lineitem", "mismatch_main", "mismatch_mirror", "mix_targets", "nation", "orders", "page_records", "part", "quire_records", "region", "split_manifest", "supplier"]
 
 
 @query(" union all ".join(f"select '{t}' as name, 'loaded' as status, count(*) as row_count from {t}" for t in _TABLES))
 def source_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A6 of every table; source_hashes has the hashes too."""
     return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in _TABLES}, hashed=False).select("name", "status", "row_count")
 
 
-_OTHER_TABLES = ["eval_items", "folio_records", "level_labels", "mismatch_main", "mismatch_mirror", "mix_targets", "quire_records", "split_manifest"]
-
-
 @query()
 def source_hashes(spark: SparkSession, d: str) -> DataFrame:
     """A6 of every table, with its hash."""
-    return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in sorted(_TABLES + _OTHER_TABLES)}).select("name", "status", "row_count", "sha256")
+    return audit.run_audit(spark, {t: f"{d}/{t}.parquet" for t in _TABLES}).select("name", "status", "row_count", "sha256")
 
 
 @query(f"select distinct quire, {QUIRE.format('quire')} as normalized from line_records")
@@ -267,10 +265,10 @@ def transcription_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("*", *(F.col("presence")[s].alias(f"pct_{s.lower()}") for s in ("ZL", "IT", "CD", "FG", "GC"))).drop("presence")
 
 
-@query("select b, count(*) as c from (select len(list_filter([0.1e0, 0.2e0, 3*0.1e0, 0.4e0, 0.5e0, 6*0.1e0, 7*0.1e0, 0.8e0, 0.9e0], lambda e: e <= l_discount * 10))::int as b from lineitem where l_discount * 10 between 0 and 1) group by 1")
+@query("select b, count(*) as c from (select len(list_filter([0.1e0, 0.2e0, 3*0.1e0, 0.4e0, 0.5e0, 6*0.1e0, 7*0.1e0, 0.8e0, 0.9e0], lambda e: e <= similarity_score))::int as b from mismatch_main where similarity_score between 0 and 1) group by 1")
 def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
-    scores = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("s")).where("s between 0 and 1")
-    return scores.groupBy(signature.bin_of("s").alias("b")).agg(F.count("*").alias("c"))
+    scores = table(spark, d, "mismatch_main").where("similarity_score between 0 and 1")
+    return scores.groupBy(signature.bin_of("similarity_score").alias("b")).agg(F.count("*").alias("c"))
 
 
 # --- series ------------------------------------------------------------------------------------

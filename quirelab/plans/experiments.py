@@ -169,7 +169,10 @@ def null_freq_matched(spark: SparkSession, d: str) -> DataFrame:
     return nulls.frequency_matched(lines_of(spark, d))
 
 
-@query(f"with {LINES}, n as (select count(*) as n from lines), s as (select line_no, grp, n, {_draw('((n + 19) // 20)', '42', 'line_no // 20')} * 20 + line_no % 20 as s from lines, n), t as (select line_no, grp, case when s < n then s else {_draw('n', '42', chr(39) + 'fill' + chr(39), 'line_no')} end as s from s) select t.line_no, t.grp, l.words from t join lines l on l.line_no = t.s")
+_BLOCKS = f"n as (select count(*) as n from lines), s as (select line_no, grp, n, {_draw('((n + 19) // 20)', '42', 'line_no // 20')} * 20 + line_no % 20 as s from lines, n), t as (select line_no, grp, case when s < n then s else {_draw('n', '42', chr(39) + 'fill' + chr(39), 'line_no')} end as s from s)"
+
+
+@query(f"with {LINES}, {_BLOCKS} select t.line_no, t.grp, l.words from t join lines l on l.line_no = t.s")
 def null_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return nulls.block_bootstrap(lines_of(spark, d))
 
@@ -186,10 +189,10 @@ def markov_null(spark: SparkSession, d: str) -> DataFrame:
     return walk.select("line_no", "grp", F.size("words").cast("long").alias("n_words"))
 
 
-@query(f"with {LINES} select m as model, count(*) as lines, sum(len(words))::bigint as words from lines, (select unnest(['word_shuffle', 'chunk_shuffle', 'group_shuffle', 'markov_chain', 'frequency_matched']) as m) group by 1")
+@query(f"with {LINES}, {_BLOCKS} select m as model, count(*) as lines, sum(len(words))::bigint as words from lines, (select unnest(['word_shuffle', 'chunk_shuffle', 'group_shuffle', 'markov_chain', 'frequency_matched']) as m) group by 1 union all select 'block_bootstrap', count(*), sum(len(l.words))::bigint from t join lines l on l.line_no = t.s")
 def null_models(spark: SparkSession, d: str) -> DataFrame:
-    """Lines and words of the models that keep both."""
-    return nulls.all_models(lines_of(spark, d)).where("model <> 'block_bootstrap'").groupBy("model").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
+    """Lines and words of every model; their content is compared model by model."""
+    return nulls.all_models(lines_of(spark, d)).groupBy("model").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
 
 
 # --- line types --------------------------------------------------------------------------------
@@ -212,6 +215,54 @@ def novelty_survival(spark: SparkSession, d: str) -> DataFrame:
     return experiments.novelty_survival(lines_of(spark, d))
 
 
+# --- scores of configurations that SQL can follow: each quire, and each bootstrap sample -----------
+
+_PER_QUIRE = """u as (select grp, word, count(*) as c from (select grp, unnest(words) as word from lines) group by all),
+z as (select grp, c, ln(c) as y, ln(row_number() over (partition by grp order by c desc)) as x from u),
+q as (select grp as config_id, avg((c = 1)::int) as hapax_ratio, coalesce(regr_slope(y, x), 0) as zipf_slope from z group by 1)"""
+
+
+def _per_quire(spark: SparkSession, d: str) -> DataFrame:
+    flat = corpus.word_bag(corpus.line_bag(table(spark, d, "line_records"))).select("grp", "word")
+    return signature.hapax_ratio(flat, ["grp"]).join(signature.zipf_slope(flat, ["grp"]), "grp").withColumnRenamed("grp", "config_id")
+
+
+@query(f"with {LINES}, {_PER_QUIRE} select arg_min(config_id, (x, config_id)) as config_id, min(x) as distance from (select config_id, sqrt(pow(hapax_ratio - 0.701, 2) + pow(zipf_slope + 0.901, 2)) as x from q)", "distance")
+def nearest_quire(spark: SparkSession, d: str) -> DataFrame:
+    """D10 with the quires as configurations."""
+    return experiments.nearest_config(_per_quire(spark, d), "hapax_ratio", "zipf_slope")
+
+
+@query(f"with {LINES}, {_PER_QUIRE} select 'quires' as series, config_id, hapax_ratio, zipf_slope from q union all select 'again', config_id, hapax_ratio, zipf_slope from q", "hapax_ratio zipf_slope")
+def scatter_quires(spark: SparkSession, d: str) -> DataFrame:
+    """X8 with the quires as configurations; one series is missing."""
+    rows = _per_quire(spark, d)
+    return experiments.scatter_union({"quires": rows, "absent": None, "again": rows})
+
+
+@query(f"with {LINES}, {_DRAWS}, {_HAPAX_ITER} select iter % 5 as config, avg(v) as hapax_ratio_mean, stddev_pop(v) as hapax_ratio_sd from h group by 1", "hapax_ratio_mean hapax_ratio_sd")
+def seed_summary_draws(spark: SparkSession, d: str) -> DataFrame:
+    """D6 with bootstrap samples as seeds, six to a configuration."""
+    lines = lines_of(spark, d)
+    many = corpus.word_bag(resample.resampled(lines, resample.bootstrap_draws(lines)), ["iter"])
+    rows = signature.hapax_ratio(many, ["iter"]).withColumn("config", F.col("iter") % 5)
+    return experiments.seed_summary(rows, ["config"], ["hapax_ratio"])
+
+
+@query(f"""with {LINES}, {_PER_QUIRE}, {_DRAWS}, {_HAPAX_ITER.replace('u as', 'ui as').replace('from u group', 'from ui group')},
+o as (select avg((c = 1)::int) as v from (select word, sum(c) as c from u group by 1)), i as (select (select v from o) - 2 * stddev_pop(v) as lo, (select v from o) + 2 * stddev_pop(v) as hi from h)
+select config_id, (hapax_ratio between lo and hi)::int::bigint as matches, 2::bigint as total, (hapax_ratio between lo and hi)::int / 2 as match_fraction from q, i""", "match_fraction")
+def quire_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The quires' fields against bootstrap intervals; zipf_slope has none and counts as no match."""
+    lines = cut(lines_of(spark, d))
+    long = lambda df, by: df.select(*by, F.lit("hapax_ratio").alias("field"), F.col("hapax_ratio").alias("value"))
+    many = signature.hapax_ratio(corpus.word_bag(resample.resampled(lines, resample.bootstrap_draws(lines)), ["iter"]), ["iter"])
+    intervals = resample.tolerance(long(signature.hapax_ratio(corpus.word_bag(lines)), []), long(many, ["iter"]))
+    quires = _per_quire(spark, d)
+    fields = quires.select("config_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("hapax_ratio", "zipf_slope")))).alias("r")).select("config_id", "r.*")
+    return resample.match_report(resample.interval_scores(fields, intervals, ["config_id"]), ["config_id"])
+
+
 # --- mechanisms --------------------------------------------------------------------------------
 
 
