@@ -336,6 +336,28 @@ def mfdfa_by_group(spark: SparkSession, d: str) -> DataFrame:
     return series.by_group(_events(spark, d, "event_type"), "event_type", 1000, series.multifractal_summary)
 
 
+def _ids(order: str) -> str:
+    """The word stream as a series s(i, v) of ids in some order of the words."""
+    return f"ids as (select word, row_number() over (order by {order}) - 1 as id from flat group by word), s as (select pos as i, id::double as v from flat join ids using (word))"
+
+
+_KMF = f"k as ({scale_table(16, '(select max(n) from prof) // 4', 20)})"
+_MF_SUMMARY = _MF.format(g="", join=", k", part="").replace("select q, hq, tau, r2, hq + q * s as alpha, q * (hq + q * s) - tau as f_alpha from y", "select max(hq) - min(hq) as delta_h, max(hq + q * s) - min(hq + q * s) as delta_alpha from y")
+
+
+@query(f"with {FLAT}, {_ids('min(pos)')}, {profile()}, {_KMF}, {_MF_SUMMARY}", "delta_h delta_alpha")
+def signature_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """S14 of the corpus: ids by first appearance; joint_signature_rest has S13 and S15 beside it."""
+    return series.multifractal_summary(cut(corpus.encoded(cut(_flat(spark, d))))).select("delta_h", "delta_alpha")
+
+
+@query(f"with r as (with {FLAT}, {_ids('encode(word)')}, {profile()}, {_RS}), b as (with {FLAT}, {_ids('encode(word)')}, {profile()}, {_KMF}, {_MF_SUMMARY}) select r.h as rs, delta_h, delta_alpha from r, b", "rs delta_h delta_alpha")
+def fractal_series(spark: SparkSession, d: str) -> DataFrame:
+    """F14 by alphabetical ids, but for DFA, whose windows of four equal words are rounding alone, and the sampled box dimension."""
+    ids = cut(corpus.encoded(cut(_flat(spark, d)), first=False))
+    return series.hurst_rs(ids).select(F.col("h").alias("rs")).crossJoin(series.multifractal_summary(ids).select("delta_h", "delta_alpha"))  # single rows
+
+
 @query("""with p as (select embedding[1]::double as x, embedding[2]::double as y from embeddings), b as (select min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy, count(*) as n from p),
 u as (select (x - lx) / (hx - lx) as x, (y - ly) / (hy - ly) as y, n from p, b),
 s as (select pow(10, log10(0.5e0) + t * (log10(0.04e0) - log10(0.5e0)) / 29) as scale from range(0, 30) r(t)),
