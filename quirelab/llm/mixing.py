@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelab.functions.keys import plain_key
+from quirelab.operators.resample import order_hash
 
 #: Folder of tokenizer files; each worker must be able to read it.
 TOKENIZERS = "/opt/tokenizers"
@@ -72,25 +73,25 @@ def plan_rates(sizes: DataFrame, targets: DataFrame, total: float | None = None)
 def draw(sizes: DataFrame, rates: DataFrame, seed: int = 11) -> DataFrame:
     """Systematic sample ``doc_id, source, n_tokens, copies`` of the documents drawn at least once.
 
-    Within a source documents are lined up by size class, then by hash; each has ``rate``
-    expected copies. The running sum of these plus one random offset crosses an integer as often
-    as the document is emitted: floor(rate) or ceil(rate) times, so never beyond a whole
-    max_repeats, and each stretch of the line gives its share of the sample. Since the rate is the
-    same within a source, the running sum is rank times rate. Ranks are made in two steps, over
+    Within a source documents are lined up by size class, then in random order (MD5 of seed and id);
+    each has ``rate`` expected copies. The running sum of these plus one random offset crosses an
+    integer as often as the document is emitted: floor(rate) or ceil(rate) times, so never beyond a
+    whole max_repeats, and each stretch of the line gives its share of the sample. Since the rate is
+    the same within a source, the running sum is rank times rate. Ranks are made in two steps, over
     PIECES pieces of each source and within a piece, so a source with a third of all rows is
     spread over its pieces. ``rates`` has one row per target.
     """
-    tag = F.xxhash64("doc_id", F.lit(seed))
     # Size classes in whole powers of two; texts of 0 tokens add nothing and are not drawn.
     rows = sizes.where("n_tokens > 0").join(rates.select("source", "rate").where("rate > 0"), "source")
     classes = PIECES // 32
-    piece = F.least(F.floor(F.log2("n_tokens")), F.lit(31)) * classes + F.pmod(tag, F.lit(classes))
-    rows = rows.withColumn("_piece", piece.cast("int")).withColumn("_h", tag)
+    size_class = F.least(F.length(F.bin("n_tokens")) - 1, F.lit(31))
+    rows = rows.withColumn("_h", order_hash(seed, F.col("doc_id")))
+    rows = rows.withColumn("_piece", (size_class * classes + F.expr(f"floor(_h / {(1 << 60) // classes})")).cast("int"))
     counts = rows.groupBy("source", "_piece").agg(F.count("*").alias("_n"))  # at most PIECES per target
     before = counts.select("source", "_piece", (F.sum("_n").over(Window.partitionBy("source").orderBy("_piece")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("source", "_piece").orderBy("_h", "doc_id")) + F.col("_before")
     # One offset in [0, 1) for each source.
-    offset = F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)
+    offset = F.pmod(order_hash(seed + 1, F.col("source")), F.lit(1 << 30)) / (1 << 30)
     placed = rows.join(before, ["source", "_piece"]).withColumn("_rank", rank).withColumn("_u", offset)
     copies = F.floor(F.col("_rank") * F.col("rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("rate") + F.col("_u"))
     return placed.select("doc_id", "source", "n_tokens", copies.cast("long").alias("copies")).where("copies > 0")

@@ -40,6 +40,14 @@ w as (select component, count(*) as weight from named group by component),
 o as (select component, weight, sum(weight) over (order by ('0x' || substr(md5('7:' || component), 1, 15))::bigint, component) as upto, sum(weight) over () as total from w),
 p as (select component, case when (2 * upto - weight)::double / (2 * total) < 0.8 then 'train' when (2 * upto - weight)::double / (2 * total) < 0.9 then 'validation' else 'test' end as part from o),
 placed as (select line_id, quire, component, part from named join p using (component))"""
+_MIX = """
+s as (select doc_id, nullif(lower(trim(source)), '') as source, coalesce(length(text), 0) as n from documents where doc_id is not null),
+t as (select nullif(lower(trim(source)), '') as source, target_share, max_repeats from mix_targets),
+h as (select source, sum(n) as size from s group by 1),
+w as (select t.source, target_share, max_repeats, coalesce(size, 0) as size, min(case when size > 0 then size * max_repeats / target_share end) over () as whole from t left join h using (source)),
+r as (select source, size, least(max_repeats::double, coalesce(target_share * whole / nullif(size, 0), 0)) as rate from w),
+o as (select doc_id, source, n, rate, row_number() over (partition by source order by least(length(bin(n)) - 1, 31), ('0x' || substr(md5('11:' || doc_id), 1, 15))::bigint, doc_id) as k, (('0x' || substr(md5('12:' || source), 1, 15))::bigint % 1073741824) / 1073741824 as u from s join r using (source) where n > 0 and rate > 0),
+d as (select doc_id, source, n, (floor(k * rate + u) - floor((k - 1) * rate + u))::bigint as copies from o)"""
 
 ORACLE = {
     # Ties go to the source that agrees most often with the others, which is here also the order of the fit.
@@ -101,6 +109,15 @@ select distinct l.manifest_id, l.q as quire from l join t on t.manifest_id = l.m
     "p7_shares": f"""
 with recursive {_SPLIT}
 select part, case part when 'train' then 0.8e0 else 0.1e0 end as wanted, count(distinct component) as groups, count(*) as records, count(*)::double / sum(count(*)) over () as share from placed group by part""",
+    "p9_mixture_letters": f"with {_MIX} select doc_id, source, copies from d where copies > 0",
+    "p9_shares_letters": f"""
+with {_MIX}, g as (select source, count(*) as documents, sum(n * copies)::bigint as drawn_tokens from d where copies > 0 group by 1)
+select source, size::bigint as size, coalesce(documents, 0) as documents, coalesce(drawn_tokens, 0) as drawn_tokens, round(coalesce(drawn_tokens, 0) / sum(drawn_tokens) over (), 9) as actual_share from r left join g using (source)""",
+    # On these tables no passage is re-parameterised, so any that were reported would differ from this.
+    "p8_passages": f"""
+with i as (select item_id, ws[p:p + 12] as g from (select item_id, ws, unnest(range(1, len(ws) - 11)) as p from (select item_id, {_ITEM_WORDS} as ws from eval_items) where len(ws) >= 13)),
+d as (select doc_id, p, ws[p:p + 12] as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from (select doc_id, {_ITEM_WORDS} as ws from documents) where len(ws) >= 13))
+select item_id, doc_id, 'verbatim' as kind, count(distinct p) as windows from i join d on i.g = d.g group by all""",
     "p8_found": f"""
 with i as (select item_id, ws[p:p + 12] as g from (select item_id, ws, unnest(range(1, len(ws) - 11)) as p from (select item_id, {_ITEM_WORDS} as ws from eval_items) where len(ws) >= 13)),
 d as (select doc_id, ws[p:p + 12] as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from (select doc_id, {_ITEM_WORDS} as ws from documents) where len(ws) >= 13))

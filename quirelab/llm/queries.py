@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelab.functions.grammar import line_words, parse_values, reading_words
-from quirelab.functions.keys import quire_key
+from quirelab.functions.keys import plain_key, quire_key
 from quirelab.llm import consensus as cs
 from quirelab.llm import group_split as gs
 from quirelab.llm import leakage, mixing
@@ -196,6 +196,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d))
 
 
+def _mix_letters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    sizes = docs.select("doc_id", plain_key(F.col("source")).alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    rates = mixing.plan_rates(sizes, table(spark, d, "mix_targets"))
+    return mixing.draw(sizes, rates), rates
+
+
+def p9_mixture_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The same draw with sizes in characters, which SQL can follow."""
+    return _mix_letters(spark, d)[0].select("doc_id", "source", "copies")
+
+
+def p9_shares_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Share in characters reached by each source."""
+    return mixing.report(*_mix_letters(spark, d)).select("source", "size", "documents", "drawn_tokens", F.round("actual_share", 9).alias("actual_share"))
+
+
 def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, rl.LevelModel]:
     documents = table(spark, d, "documents")
     model = rl.train(documents, table(spark, d, "level_labels"))
@@ -218,4 +235,4 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(model.report, "source string, documents long, mean_error double, bias double, same_side double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p1_corrected, p2_found, p2_shares, p2_intervals, p2_classes, p2_links, p6_found, p6_agreement, p6_posterior, p6_reliability, p6_alpha, p6_levels, p7_found, p7_split, p7_shares, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_levels, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_incremental, p1_corrected, p2_found, p2_shares, p2_intervals, p2_classes, p2_links, p6_found, p6_agreement, p6_posterior, p6_reliability, p6_alpha, p6_levels, p7_found, p7_split, p7_shares, p8_found, p8_passages, p9_mixture, p9_shares, p9_mixture_letters, p9_shares_letters, p10_found, p10_levels, p10_validation)}
