@@ -75,8 +75,11 @@ def time_series(df: DataFrame, at: str, value: str, by: Sequence[str] = (), bloc
 
 def line_bag(line_records: DataFrame) -> DataFrame:
     """line_records as lines without order: ``line_id, grp, words``; repeated deliveries count once. Null ids are left out."""
-    rows = line_records.where("line_id is not null").select("line_id", normalize_quire(F.col("quire")).alias("grp"), line_words().alias("words"))
-    return rows.dropDuplicates(["line_id"])
+    # Deliveries of a line have one content. They are dropped before anything is parsed, and parsing
+    # then spreads over the exchange's partitions, however few files there are. Of raw_text only what is parsed goes along.
+    raw = F.when(F.coalesce(F.size("tokens"), F.lit(0)) <= 0, F.col("raw_text")).alias("raw_text")
+    once = line_records.where("line_id is not null").select("line_id", "quire", "tokens", raw).dropDuplicates(["line_id"])
+    return once.select("line_id", normalize_quire(F.col("quire")).alias("grp"), line_words().alias("words"))
 
 
 def line_corpus(line_records: DataFrame) -> DataFrame:

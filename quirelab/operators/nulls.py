@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelab.operators.corpus import followers, prefix, words
 from quirelab.operators.resample import HASH_BLOCK, draw, order_hash
+from quirelab.session import cut
 
 CHUNK_LINES = 20
 
@@ -79,33 +81,39 @@ def markov_transitions(lines: DataFrame, order: int = 2) -> DataFrame:
 def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: int = 1) -> DataFrame:
     """``replicate, line_no, grp, words``: a walk over the transitions, cut into the corpus' line lengths.
 
-    The walk starts at a random run of words; an unseen state takes a random word. A walk is
-    sequential, so a replicate is one task, which gets the lines. Too short a stream is copied.
+    The walk starts at a run of words drawn by frequency, and each step draws the next word by its
+    count after the run before; a run without a next word takes a random word. A walk is
+    sequential, so a replicate is one task; it gets the counted transitions, not the lines, and what
+    it yields is laid into the lines by a join. A stream of at most ``order`` words is copied.
     """
-    rows = lines.select(F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")).alias("replicate"), "line_no", "grp", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    spots = cut(words(lines).select("pos", "line_no", "idx", "word"))
+    n = spots.count()
+    every = F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")).alias("replicate")
+    frame = lines.select(every, "line_no", "grp", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    if n <= order:
+        return frame
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        sizes = pdf["words"].map(len).to_numpy()
-        stream = np.concatenate([np.asarray(w, dtype=object) for w in pdf["words"]]) if sizes.sum() else np.array([], object)
-        ids, vocab = pd.factorize(stream, sort=True) if len(stream) else (np.array([], int), stream)
-        n, rng = len(ids), np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
-        out = ids
-        if n > order:
-            after: dict[tuple, list[int]] = {}
-            coded = ids.tolist()
-            for i in range(n - order):
-                after.setdefault(tuple(coded[i : i + order]), []).append(coded[i + order])
-            start = int(rng.integers(n - order))
-            got = coded[start : start + order]
-            while len(got) < n:
-                nexts = after.get(tuple(got[-order:]))
-                got.append(nexts[int(rng.integers(len(nexts)))] if nexts else int(rng.integers(len(vocab))))
-            out = np.array(got[:n])
-        made = vocab[out] if n else stream
-        return pdf.assign(words=[list(x) for x in np.split(made, np.cumsum(sizes)[:-1])])
-
-    return rows.groupBy("replicate").applyInPandas(walk, "replicate long, line_no long, grp string, words array<string>")
+        runs = [tuple(r) for r in pdf["state"]]
+        rows = sorted(zip(runs, pdf["next"], pdf["c"].tolist()))
+        vocabulary = sorted({w for r in runs for w in r} | set(pdf["next"]))
+        after: dict[tuple, tuple[list[str], list[int]]] = {}
+        for state, following, c in rows:
+            nexts, upto = after.setdefault(state, ([], []))
+            nexts.append(following)
+            upto.append(c + (upto[-1] if upto else 0))
+        rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
+        ends = np.cumsum([c for _, _, c in rows])
+        got = list(rows[int(np.searchsorted(ends, rng.integers(ends[-1]), "right"))][0])
+        while len(got) < n:
+            known = after.get(tuple(got[-order:]))
+            got.append(known[0][bisect.bisect_right(known[1], int(rng.integers(known[1][-1])))] if known else vocabulary[int(rng.integers(len(vocabulary)))])
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "pos": range(n), "word": got[:n]})
+
+    made = markov_transitions(lines, order).select(every, "state", "next", "c").groupBy("replicate").applyInPandas(walk, "replicate long, pos long, word string")
+    laid = spots.drop("word").join(made, "pos").groupBy("replicate", "line_no").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("w"))
+    out = frame.join(laid, ["replicate", "line_no"], "left")
+    return out.select("replicate", "line_no", "grp", F.coalesce(F.transform("w", lambda x: x["word"]), F.array().cast("array<string>")).alias("words"))
 
 
 def all_models(lines: DataFrame, seed: int = 42) -> DataFrame:

@@ -79,17 +79,17 @@ def orphan_keys(refs: DataFrame, ref_key: Column, parents: DataFrame, parent_key
     return joined.where(_beyond("runs", "_k")).select("_row.*")
 
 
-def known_keys(refs: DataFrame, parent_keys: DataFrame, spread: str, block: int = 1 << 10) -> DataFrame:
+def known_keys(refs: DataFrame, parent_keys: DataFrame, block: int = 1 << 10) -> DataFrame:
     """Add ``known`` to ``refs`` (with a text column ``key``): whether the key is one of ``parent_keys`` (a column ``key``).
 
     Text keys are read as numbers (:func:`key_number`), parent keys compressed into runs, and each
-    reference matched as of its number. The runs are few where keys are numbered through; how
-    they are joined is left to their size, and blocks with many references are salted by ``spread``.
+    reference matched as of its number. The runs are few where keys are numbered through, and are
+    broadcast by Spark as long as they are small; beyond that AQE cuts blocks with many references.
     """
     group, number = key_number(F.col("key"))
     runs = key_runs(parent_keys.where("key is not null"), number, block, group)
     numbered = refs.withColumn("_k", number).withColumn("block", _block(F.col("_k"), group, block))
-    joined = salted_join(numbered, runs, "block", F.col(spread), "left")
+    joined = numbered.join(runs, "block", "left")
     return joined.withColumn("known", ~F.expr(_beyond("runs", "_k"))).drop("_k", "block", "runs")
 
 
@@ -121,7 +121,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot: dict | None = No
     """
     refs = refs.where("key is not null and at is not null").select("key", "record_key", clock_micros(F.col("at")).alias("t"), clock_month(F.col("at")).alias("ref_month"))
     hot = hot_keys(refs, F.col("key")) if hot is None else hot
-    told = known_keys(refs, parents.select("key"), "record_key")
+    told = known_keys(refs, parents.select("key"))
     joined = salted_join(told, parents, "key", F.col("record_key"), "left", hot)
     gone = joined.where(f"not known or {_beyond('runs', 't')}")
     reason = F.expr("case when not known then 'missing' when first_deleted <= t then 'deleted' else 'late' end")

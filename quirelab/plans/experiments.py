@@ -189,6 +189,17 @@ def markov_null(spark: SparkSession, d: str) -> DataFrame:
     return walk.select("line_no", "grp", F.size("words").cast("long").alias("n_words"))
 
 
+@query(f"with {FLAT} select count(*) as words, 0::bigint as against_the_table from flat")
+def markov_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Wherever the corpus has a run of words, a walk goes on from it as the table does."""
+    lines = cut(lines_of(spark, d))
+    made = cut(nulls.markov_transitions(nulls.markov_chain(lines).drop("replicate")))
+    known = nulls.markov_transitions(lines)
+    against = made.join(known.select("state").distinct(), "state", "left_semi").join(known, ["state", "next"], "left_anti")
+    words = made.agg((F.sum("c") + 2).alias("words"))  # two words come before the first run
+    return words.crossJoin(against.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("against_the_table")))  # single rows
+
+
 @query(f"with {LINES}, {_BLOCKS} select m as model, count(*) as lines, sum(len(words))::bigint as words from lines, (select unnest(['word_shuffle', 'chunk_shuffle', 'group_shuffle', 'markov_chain', 'frequency_matched']) as m) group by 1 union all select 'block_bootstrap', count(*), sum(len(l.words))::bigint from t join lines l on l.line_no = t.s")
 def null_models(spark: SparkSession, d: str) -> DataFrame:
     """Lines and words of every model; their content is compared model by model."""

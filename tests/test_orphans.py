@@ -95,7 +95,7 @@ def test_text_keys_as_numbers(spark):
     parents = [name() for _ in range(900)]
     refs = [name() for _ in range(1500)] + ["f7v"] * 1500
     table = spark.createDataFrame([(k, str(i)) for i, k in enumerate(refs)], "key string, id string")
-    out = known_keys(table, spark.createDataFrame([(k,) for k in [*parents, None]], "key string"), "id")
+    out = known_keys(table, spark.createDataFrame([(k,) for k in [*parents, None]], "key string"))
     assert out.columns == ["key", "id", "known"]
     assert sorted((r["id"], r["known"]) for r in out.collect()) == sorted((str(i), k in set(parents)) for i, k in enumerate(refs))
     # Keys that are numbered through are few runs.

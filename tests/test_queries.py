@@ -6,7 +6,7 @@ import pytest
 
 from tests.helpers import connect, rows, sql_rows
 
-MODULES = [importlib.import_module(f"quirelab.plans.{m}") for m in ("general", "corpus", "experiments", "pipelines")]
+MODULES = [importlib.import_module(f"quirelab.plans.{m}") for m in ("general", "corpus", "experiments", "pipelines", "sourcing")]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 #: Too few rows at this size (a series of 1000 points, 1000 lines): the statistic is undefined there.

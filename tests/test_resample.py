@@ -71,6 +71,14 @@ def test_null_models(spark):
     walk = {r["line_no"]: r["words"] for r in nulls.markov_chain(lines).collect()}
     assert all(len(walk[k]) == len(v[1]) for k, v in base.items())
     assert {w for x in walk.values() for w in x} <= {w for _, x in base.values() for w in x}
+    table = {(tuple(r["state"]), r["next"]) for r in nulls.markov_transitions(lines).collect()}
+    stream = [w for k in sorted(walk) for w in walk[k]]
+    starts = {s for s, _ in table}
+    fresh = sum((tuple(stream[i : i + 2]), stream[i + 2]) not in table for i in range(len(stream) - 2))
+    assert fresh <= 3 * sum(tuple(stream[i : i + 2]) not in starts for i in range(len(stream) - 2))
+    assert walk == {r["line_no"]: r["words"] for r in nulls.markov_chain(lines.repartition(5)).collect()}
+    two = nulls.markov_chain(lines, replicates=2)
+    assert {r["replicate"] for r in two.collect()} == {0, 1} and two.count() == 2 * len(base)
     assert nulls.all_models(lines).select("model").distinct().count() == 6
     none = lines.limit(0)
     assert nulls.word_shuffle(none).count() == nulls.group_shuffle(none).count() == nulls.block_bootstrap(none).count() == 0
