@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-_VALUE = r"""'"(?:[^"]|"")+"|''(?:[^'']|'''')+''|“(?:[^”]|””)+”|«(?:[^»]|»»)+»|[\p{L}*]+'"""
-_UNQUOTE = """case when regexp_matches(v, '^["“«'']') then replace(v[2:-2], v[-1:] || v[-1:], v[-1:]) else v end"""
-
-
-def _values(e: str) -> str:
-    return f"list_transform(coalesce(regexp_extract_all({e}, {_VALUE}), []), lambda v: {_UNQUOTE})"
-
+from quirelab.plans.sqltext import values_of
 
 _REMARKS_OUT = r"regexp_replace({0}, '<[^>]*>|\{{[^}}]*\}}', ' ', 'g')"
 LINES = f"""
-select line_id, any_value(case when len(tokens) > 0 then flatten(list_transform(tokens, lambda e: {_values("e")})) else {_values(_REMARKS_OUT.format("raw_text"))} end) as words
+select line_id, any_value(case when len(tokens) > 0 then flatten(list_transform(tokens, lambda e: {values_of("e")})) else {values_of(_REMARKS_OUT.format("raw_text"))} end) as words
 from line_records group by line_id"""
 _COUNTS = f"""
 with lines as ({LINES}),
