@@ -127,7 +127,22 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return resample.homogeneity(*hapax)
 
 
-@query()
+_WITHOUT = f"""with {LINES},
+c as (select grp, word, count(*) as c from (select grp, unnest(words) as word from lines) group by all), t as (select word, sum(c) as t from c group by 1),
+x as (select grp, count(*) filter (c = t) as types, count(*) filter (t = 1) as ones, count(*) filter (t - c = 1) as fresh from c join t using (word) group by 1),
+own as (select grp, count(*) filter (k > 0) as n, sum(k) as s1, sum(k * k) as s2, sum(k * k * k) as s3, count(*) filter (k >= 2) as n2, count(*) filter (k >= 2 and words[1] = words[2]) as o, count(*) filter (k >= 2 and words[-1] = words[-2]) as z from (select *, len(words) as k from lines) group by 1),
+a as (select {", ".join(f"sum({x})::bigint as {x}" for x in ("n", "s1", "s2", "s3", "n2", "o", "z"))}, (select count(*) from t) as types, (select count(*) from t where t = 1) as single from own),
+r as (select grp as left_out, {", ".join(f"(a.{x} - own.{x})::bigint as {x}" for x in ("n", "s1", "s2", "s3", "n2", "o", "z"))}, a.types - coalesce(x.types, 0) as types, single - coalesce(ones, 0) + coalesce(fresh, 0) as single from own left join x using (grp), a
+  union all by name select cast(null as varchar) as left_out, * from a),
+m as (select *, s1 / n as mean, (n * s2 - s1 * s1) / n / n as var from r),
+f as (select left_out, unnest(['length_mean', 'length_variance', 'length_skew', 'onset', 'coda', 'onset_coda_ratio', 'hapax_ratio']) as field,
+  unnest([mean, var, (s3 / n - 3 * mean * (s2 / n) + 2 * pow(mean, 3)) / pow(var, 1.5), o / n2, z / n2, (o / n2) / nullif(z / n2, 0), single / types]) as value from m),
+d as (select l.field, l.left_out, l.value, q.value as observed, abs(l.value - q.value) as change from f l join f q on l.field = q.field and q.left_out is null where l.left_out is not null and l.value is not null and q.value is not null),
+g as (select field, any_value(observed) as observed, min(value) as lowest, max(value) as highest, max(change) as max_change, arg_max(left_out, (round(change, 12), left_out)) as extreme_group from d group by 1)
+select *, cast(null as double) as max_change_sd, row_number() over (order by max_change, field)::int as "rank" from g"""
+
+
+@query(_WITHOUT, "observed lowest highest max_change")
 def leave_one_quire_out(spark: SparkSession, d: str) -> DataFrame:
     """X9 for every quire, with the fields that follow from counts."""
     return resample.homogeneity(*resample.count_fields(lines_of(spark, d)))

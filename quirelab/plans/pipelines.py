@@ -29,9 +29,9 @@ def run_representation(raw_lines: DataFrame, pages: DataFrame | None, folios: Da
     return sizes.crossJoin(joined).crossJoin(compared)  # single rows
 
 
-def run_splits(lines: DataFrame, out: str, n_folds: int = 5, seed: int = 42) -> DataFrame:
+def run_splits(lines: DataFrame, out: str, n_folds: int = 5, seed: int = 42, by_hash: bool = False) -> DataFrame:
     """H3: folds of the groups, written as one folder per fold, checked: ``n_folds, leaked_groups, missing_groups, complete``."""
-    folds = cut(resample.group_folds(lines, n_folds, seed))
+    folds = cut(resample.group_folds(lines, n_folds, seed, by_hash))
     readers.save_folds(resample.fold_rows(lines, folds).select("line_no", "grp", "fold"), out)
     leaked = resample.leakage(folds).agg(F.count("*").alias("leaked_groups"))
     made = folds.agg(F.countDistinct("fold").alias("n_folds"))
@@ -58,7 +58,7 @@ def representation_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {LINES} select 5::bigint as n_folds, 0::bigint as leaked_groups, (select count(distinct grp) from lines where grp = '') as missing_groups, (select count(*) from lines where grp = '') = 0 as complete")
 def splits_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return run_splits(cut(lines_of(spark, d)), scratch_path(spark, "folds"))
+    return run_splits(cut(lines_of(spark, d)), scratch_path(spark, "folds"), by_hash=True)  # any number of groups
 
 
 @query()
