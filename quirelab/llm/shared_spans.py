@@ -178,7 +178,7 @@ def _seeds_to_cut(sequences: DataFrame, length: int) -> np.ndarray:
     counts = look.groupBy("seed").agg(F.sum(F.size("words")).alias("w"))
     total = counts.agg(F.sum("w")).first()[0] or 0
     bound = max(SHARD / 4 / LOOK, total / MOST_CUT)
-    return np.array([r["seed"] for r in counts.where(F.col("w") > bound).collect()], np.int64).view(np.uint64)
+    return counts.where(F.col("w") > bound).select("seed").toArrow()["seed"].combine_chunks().to_numpy().view(np.uint64)
 
 
 def shared_windows(records: DataFrame, length: int = 8) -> SharedWindows:
