@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,23 @@ def test_units(spark):
     assert p["n_groups"] == 3 and p["in_all"] == p["in_50pct"] == 30 and p["groups_above_half"] == 3
     assert units.bootstrap_stability(make(spark, [list(types)]), 4, 30).count() == 0
     assert [units.gate(n) for n in (50, 10, 9)] == ["pass", "partial", "fail"] and units.unit_alignment()["status"] == "unavailable"
+
+
+def test_replicates_are_counted_without_copies(spark, monkeypatch):
+    from quirelab.plans import experiments as plans
+
+    rng = random.Random(3)
+    rows = [[f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 6))] for _ in range(90)]
+    lines = make(spark, rows, [f"g{i // 9}" for i in range(90)])
+    draws = resample.bootstrap_draws(lines, 5)
+    many = resample.resampled(lines, draws).select("iter", F.explode("words").alias("word")).groupBy("iter", "word").agg(F.count("*").alias("c"))
+    want = {tuple(r) for r in many.groupBy("iter", "c").agg(F.count("*").alias("m")).collect()}
+    own = Counter(Counter(w for r in rows for w in r).values())
+    assert {tuple(r) for r in resample.resampled_ties(lines, draws, 5).collect()} == want | {(-1, c, m) for c, m in own.items()}
+
+    monkeypatch.setattr(plans, "lines_of", lambda spark, d: lines)
+    monkeypatch.setattr(plans, "table", lambda spark, d, name: None)
+    monkeypatch.setattr(plans.corpus, "line_bag", lambda df: lines)
+    monkeypatch.setattr(resample, "resampled", None)  # a copy of the corpus per iteration
+    got = {r["field"]: r["observed"] for r in plans.QUERIES["tolerance_two_fields"](spark, "").collect()}
+    assert abs(got["hapax_ratio"] - own[1] / sum(own.values())) < 1e-12 and got["zipf_slope"] < 0
