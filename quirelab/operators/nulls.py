@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import bisect
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelab.operators.corpus import followers, prefix, words
+from quirelab.operators.corpus import followers, prefix, word_ids, words
 from quirelab.operators.resample import HASH_BLOCK, draw, order_hash
 from quirelab.session import cut
 
@@ -78,42 +78,184 @@ def markov_transitions(lines: DataFrame, order: int = 2) -> DataFrame:
     return pairs.groupBy("state", "next").agg(F.count("*").alias("c"))
 
 
+def hashed_runs(lines: DataFrame, order: int = 2) -> DataFrame:
+    """``state, next`` of every place of the stream, uncounted, by 64-bit hashes; no longer check stands behind these."""
+    coded = words(lines).select("pos", F.xxhash64("word").alias("x"))
+    ahead = followers(coded, [], "pos", "x", list(range(1, order + 1)))
+    return ahead.select(F.xxhash64("x", *(F.col("nexts")[i] for i in range(order - 1))).alias("state"), F.col("nexts")[order - 1].alias("next")).where("next is not null")
+
+
+class _Walk:
+    """A walk over the runs of ``order`` words of a stream ``x`` of word numbers below ``size``.
+
+    To draw the next word by its count after a run is to go on from any place where the run stands.
+    A run that stands once leaves no choice, so only places of repeated runs are listed: ``place`` of
+    a run is the number of its list or -1.
+    """
+
+    def __init__(self, x: np.ndarray, order: int, size: int, rng: np.random.Generator):
+        self.x, self.order, self.size, self.rng = x, order, size, rng
+        self.last = len(x) - order  # the only run without a next word, unless it also stands elsewhere
+        runs, sure = x, None
+        for j in range(1, order):
+            runs, places, bounds = _repeated(runs[: len(x) - j], x[j:], sure)
+            sure = runs < 0
+        if order == 1:
+            runs, places, bounds = _repeated(np.zeros_like(x), x, None)
+        self.runs, self.places, self.bounds = runs, places, bounds
+        self.at = int(rng.integers(self.last))
+        self.got = [x[self.at : self.at + order]]  # what was walked and is not yet given
+        self.have = order
+
+    def words(self, m: int) -> np.ndarray:
+        """The next ``m`` words."""
+        while self.have < m:
+            part = self._go(min(m - self.have, 1 << 16)) if self.at >= 0 else self._search(m - self.have)
+            self.got.append(part)
+            self.have += len(part)
+        flat = np.concatenate(self.got)
+        self.got, self.have = [flat[m:]], len(flat) - m
+        return flat[:m]
+
+    def _go(self, m: int) -> np.ndarray:
+        """At most ``m`` steps; fewer where a run without a next word is reached."""
+        runs, places, bounds, last = memoryview(self.runs), memoryview(self.places), memoryview(self.bounds), self.last
+        out, p, random = np.empty(m, np.int64), self.at, self.rng.random(m).tolist()
+        end = runs[last]
+        for i in range(m):
+            c = runs[p]
+            if c >= 0:
+                lo = bounds[c]
+                p = places[lo + int(random[i] * (bounds[c + 1] - lo - (c == end)))]  # the last place has no next word
+            elif p == last:
+                self.tail, self.at = self.x[p : p + self.order], -1
+                return self.x[out[:i] + self.order - 1]
+            p += 1
+            out[i] = p
+        self.at = p
+        return self.x[out + self.order - 1]
+
+    def _search(self, m: int) -> np.ndarray:
+        """Random words until the last ones are a run of the stream with a next word, at most ``m``."""
+        tail = self.tail
+        drawn = self.rng.integers(self.size, size=min(m, 1 << 22)).astype(np.int32)
+        text = np.concatenate([tail[1:], drawn])
+        wanted = _run_hashes(text, self.order)
+        sorted_ = np.sort(wanted)
+        bits = max(10, min(26, len(wanted).bit_length() + 4))
+        filled = np.zeros(1 << bits, bool)
+        filled[wanted >> np.uint64(64 - bits)] = True
+        found: dict[tuple, int] = {}
+        for a in range(0, self.last, 1 << 22):  # runs with a next word start before the last
+            h = _run_hashes(self.x[a : min(a + (1 << 22), self.last) + self.order - 1], self.order)
+            near = np.flatnonzero(filled[h >> np.uint64(64 - bits)])
+            hit = near[sorted_[np.minimum(np.searchsorted(sorted_, h[near]), len(sorted_) - 1)] == h[near]]
+            for p in (hit + a).tolist():
+                found.setdefault(tuple(self.x[p : p + self.order].tolist()), p)
+        if found:
+            known = np.isin(wanted, _run_hashes(np.concatenate([np.array(k, np.int32) for k in found]), self.order)[:: self.order])
+            for i in np.flatnonzero(known).tolist():
+                p = found.get(tuple(text[i : i + self.order].tolist()))
+                if p is not None:
+                    self.at = p
+                    return drawn[: i + 1]
+        self.tail = np.concatenate([tail, drawn])[-self.order :]
+        return drawn
+
+
+def _run_hashes(x: np.ndarray, order: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``order`` numbers; what they find is compared itself."""
+    n = len(x) - order + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(order):
+        h = (h ^ x[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _repeated(a: np.ndarray, b: np.ndarray, sure: np.ndarray | None, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``a[p], b[p]`` that stand twice or more, numbered: the number of each place or -1, and the places of each number.
+
+    Where ``sure`` holds, a pair is known to stand once. Ranges of ``b`` are sorted one after
+    another, so a copy of the whole is never needed.
+    """
+    n = len(b)
+    number = np.full(n, -1, np.int32)
+    ends = np.cumsum(np.bincount(b)) if n else np.zeros(0, np.int64)
+    cuts = np.unique(np.searchsorted(ends, np.arange(block, n, block)) + 1) if n > block else np.zeros(0, np.int64)
+    places, bounds, known, base = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], 0, 0
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)]):
+        within = [np.flatnonzero((b[i : i + block] >= lo) & (b[i : i + block] < hi)).astype(np.int32) + np.int32(i) for i in range(0, n, block)]
+        at = np.concatenate(within) if within else np.zeros(0, np.int32)
+        if sure is not None:
+            at = at[~sure[at]]
+        key = a[at].astype(np.int64) << 32 | b[at]
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+        sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
+        many = np.repeat(sizes > 1, sizes)
+        at, sizes = at[many], sizes[sizes > 1]
+        number[at] = np.repeat(np.arange(known, known + len(sizes), dtype=np.int32), sizes)
+        places.append(at)
+        bounds.append((base + np.cumsum(sizes)).astype(np.int32))
+        known, base = known + len(sizes), base + len(at)
+    return number, np.concatenate(places), np.concatenate(bounds)
+
+
 def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: int = 1) -> DataFrame:
     """``replicate, line_no, grp, words``: a walk over the transitions, cut into the corpus' line lengths.
 
     The walk starts at a run of words drawn by frequency, and each step draws the next word by its
     count after the run before; a run without a next word takes a random word. A walk is
-    sequential, so a replicate is one task; it gets the counted transitions, not the lines, and what
-    it yields is laid into the lines by a join. A stream of at most ``order`` words is copied.
+    sequential, so a replicate is one task; it gets the words as numbers (8 to 16 bytes a word) and the
+    lines' lengths, and yields whole lines. A stream of at most ``order`` words is copied.
     """
-    spots = cut(words(lines).select("pos", "line_no", "idx", "word"))
-    n = spots.count()
-    every = F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")).alias("replicate")
-    frame = lines.select(every, "line_no", "grp", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    flat = cut(words(lines).select("pos", "word"))
+    n = flat.count()
     if n <= order:
-        return frame
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [tuple(r) for r in pdf["state"]]
-        rows = sorted(zip(runs, pdf["next"], pdf["c"].tolist()))
-        vocabulary = sorted({w for r in runs for w in r} | set(pdf["next"]))
-        after: dict[tuple, tuple[list[str], list[int]]] = {}
-        for state, following, c in rows:
-            nexts, upto = after.setdefault(state, ([], []))
-            nexts.append(following)
-            upto.append(c + (upto[-1] if upto else 0))
-        rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
-        ends = np.cumsum([c for _, _, c in rows])
-        got = list(rows[int(np.searchsorted(ends, rng.integers(ends[-1]), "right"))][0])
-        while len(got) < n:
-            known = after.get(tuple(got[-order:]))
-            got.append(known[0][bisect.bisect_right(known[1], int(rng.integers(known[1][-1])))] if known else vocabulary[int(rng.integers(len(vocabulary)))])
-        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "pos": range(n), "word": got[:n]})
-
-    made = markov_transitions(lines, order).select(every, "state", "next", "c").groupBy("replicate").applyInPandas(walk, "replicate long, pos long, word string")
-    laid = spots.drop("word").join(made, "pos").groupBy("replicate", "line_no").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("w"))
-    out = frame.join(laid, ["replicate", "line_no"], "left")
-    return out.select("replicate", "line_no", "grp", F.coalesce(F.transform("w", lambda x: x["word"]), F.array().cast("array<string>")).alias("words"))
+        every = F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")).alias("replicate")
+        return lines.select(every, "line_no", "grp", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    ids = cut(word_ids(flat))
+    frame = lines.select("line_no", "grp", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).alias("k"))
+    none = F.lit(None).cast("string")
+    streams = [
+        ids.select(F.lit(0).alias("kind"), F.col("id").alias("at"), F.lit(0).cast("long").alias("v"), "word"),
+        flat.join(ids, "word").select(F.lit(1), "pos", "id", none), frame.select(F.lit(2), "line_no", F.col("k").cast("long"), none),
+    ]
+    one = reduce(DataFrame.union, streams).repartition(1)
+
+    def walk(replicate: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, vocab, at, lengths = np.empty(n, np.int32), [], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 2]
+            for batch in batches:
+                kind, i, v = (batch.column(c).to_numpy() for c in range(3))
+                own = kind == 1
+                x[i[own]] = v[own]
+                if (kind == 0).any():
+                    at.append(i[kind == 0].copy())
+                    vocab.append(batch.column(3).filter(pa.array(kind == 0)))
+                if (kind == 2).any():
+                    lengths.append((i[kind == 2].copy(), v[kind == 2].astype(np.int64)))
+            place = np.concatenate(at)
+            back = np.empty(len(place), np.int64)
+            back[place] = np.arange(len(place))
+            named = pa.concat_arrays([c.cast(pa.large_string()) for c in vocab]).take(pa.array(back))
+            numbers = np.concatenate([a for a, _ in lengths])
+            by = np.argsort(numbers)
+            numbers, sizes = numbers[by], np.concatenate([k for _, k in lengths])[by]
+            del vocab, at, place, back, lengths, by
+            steps = _Walk(x, order, len(named), np.random.default_rng([seed, replicate]))
+            for a in range(0, len(sizes), 10_000):
+                ends = np.concatenate([[0], np.cumsum(sizes[a : a + 10_000])])
+                text = named.take(pa.array(steps.words(int(ends[-1])))).cast(pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[a : a + 10_000]), lists], ["line_no", "words"])
+
+        made = one.mapInArrow(run, "line_no long, words array<string>")
+        return frame.select("line_no", "grp").join(made, "line_no").select(F.lit(replicate).cast("long").alias("replicate"), "line_no", "grp", "words")
+
+    return reduce(DataFrame.unionByName, map(walk, range(replicates)))
 
 
 def all_models(lines: DataFrame, seed: int = 42) -> DataFrame:
