@@ -258,10 +258,23 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
     return reduce(DataFrame.unionByName, map(walk, range(replicates)))
 
 
-def all_models(lines: DataFrame, seed: int = 42) -> DataFrame:
-    """The six models as one table keyed by ``model``."""
-    parts = {
+def models(lines: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
+    """The six models by name."""
+    return {
         "word_shuffle": word_shuffle(lines, seed), "chunk_shuffle": chunk_shuffle(lines, seed), "group_shuffle": group_shuffle(lines, seed),
         "frequency_matched": frequency_matched(lines, seed), "block_bootstrap": block_bootstrap(lines, seed), "markov_chain": markov_chain(lines, 2, seed).drop("replicate"),
     }
-    return reduce(DataFrame.unionByName, [df.select(F.lit(m).alias("model"), "line_no", "grp", "words") for m, df in parts.items()])
+
+
+def all_models(lines: DataFrame, seed: int = 42) -> DataFrame:
+    """The six models as one table keyed by ``model``."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(m).alias("model"), "line_no", "grp", "words") for m, df in models(lines, seed).items()])
+
+
+def model_sizes(lines: DataFrame, seed: int = 42) -> DataFrame:
+    """``model, lines, words``. One model is made after another, so that only one has its exchanges on disk."""
+    rows = []
+    for m, df in models(lines, seed).items():
+        one = cut(df.agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))).first()
+        rows += [(m, one["lines"], one["words"])] if one["lines"] else []
+    return lines.sparkSession.createDataFrame(rows, "model string, lines long, words long")

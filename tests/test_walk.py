@@ -39,3 +39,11 @@ def test_hashed_runs_are_the_transitions(spark):
     assert nulls.hashed_runs(lines).groupBy("state", "next").agg(F.count("*").alias("c")).select("c").orderBy("c").collect() == want
     walk = nulls.markov_chain(lines, replicates=2)
     assert walk.where(F.size("words") == 0).count() == 2 and walk.count() == 8
+
+
+def test_models_one_after_another(spark, monkeypatch):
+    lines = make(spark, [["a", "b", "a"], [], ["b", "a", "c"], ["a", "b"]])
+    whole = nulls.all_models(lines).groupBy("model").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
+    want = {tuple(r) for r in whole.collect()}
+    assert {tuple(r) for r in nulls.model_sizes(lines).collect()} == want and len(want) == 6
+    assert nulls.model_sizes(lines.limit(0)).count() == 0
