@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from quirelab.operators.resample import bootstrap_draws
 from quirelab.session import cut
 
 #: Word types that one task merges.
-LOCAL = 500_000
+LOCAL = 8_000_000
+#: Word types from which passes over arrays are faster than going by words.
+MANY = 20_000
 VOCABULARY = 500
 LEAST_WORDS = 100
 
@@ -88,6 +92,70 @@ def merge_once(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
+def merges_of_many(words: Iterable[Sequence[str]], counts: Iterable[np.ndarray], vocabulary: int = VOCABULARY) -> list[str]:
+    """The units of :func:`merges` for word types that come in batches with their counts.
+
+    All words stand in one array of symbols with gaps between them (10 bytes a character). A merge is a
+    pass over it, and counts change only for the pairs beside a merged one.
+    """
+    codes, lengths, weights = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for ws, cs in zip(words, counts):
+        codes.append(np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32))
+        lengths.append(np.fromiter(map(len, ws), np.int64, len(ws)))
+        weights.append(np.asarray(cs, np.int64))
+    flat, size, weight = map(np.concatenate, (codes, lengths, weights))
+    del codes
+    present = np.zeros(0x110000, bool)
+    present[flat] = True
+    names = [chr(c) for c in np.flatnonzero(present)]
+    number = {u: i for i, u in enumerate(names)}
+    units = list(names)
+    s = np.full(len(flat) + len(size), -1, np.int16 if max(len(names), vocabulary) < 30_000 else np.int32)
+    inside = np.ones(len(s), bool)
+    inside[np.cumsum(size + 1) - 1] = False
+    s[inside] = (np.cumsum(present) - 1)[flat]
+    of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    del flat, inside
+    pairs: dict[tuple[int, int], int] = {}
+
+    def add(at: np.ndarray, sign: int) -> None:
+        at = at[(at >= 0) & (at + 1 < len(s))]
+        at = at[(s[at] >= 0) & (s[at + 1] >= 0)]
+        keys, which = np.unique(s[at].astype(np.int64) << 32 | s[at + 1], return_inverse=True)
+        sums = np.bincount(which, weight[of[at]], len(keys)).astype(np.int64)
+        for k, n in zip(keys.tolist(), sums.tolist()):
+            p = (k >> 32, k & 0xFFFFFFFF)
+            left = pairs.get(p, 0) + sign * n
+            if left:
+                pairs[p] = left
+            else:
+                pairs.pop(p, None)
+
+    for a in range(0, len(s), 1 << 21):
+        add(np.arange(a, min(a + (1 << 21), len(s))), 1)
+    while len(units) < vocabulary and pairs:
+        most = max(pairs.values())
+        x, y = min((p for p, n in pairs.items() if n == most), key=lambda p: (names[p[0]], names[p[1]]))
+        at = np.flatnonzero((s[:-1] == x) & (s[1:] == y))
+        if x == y:  # from the left, every other of a run
+            start = np.concatenate([[True], np.diff(at) != 1])
+            first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        add(np.unique(np.concatenate([at - 1, at, at + 1])), -1)
+        joined = names[x] + names[y]
+        if joined not in number:
+            number[joined] = len(names)
+            names.append(joined)
+            units.append(joined)
+        s[at] = number[joined]
+        keep = np.ones(len(s), bool)
+        keep[at + 1] = False
+        s, of = s[keep], of[keep]
+        at = at - np.arange(len(at))  # as many symbols fewer before it
+        add(np.unique(np.concatenate([at - 1, at])), 1)
+    return units
+
+
 def _merge_table(types: DataFrame, vocabulary: int) -> list[str]:
     """The units of a vocabulary that stays distributed: one aggregation per merge."""
     rows = cut(types.select("c", F.filter(F.split("word", ""), lambda x: x != "").alias("s")))
@@ -118,13 +186,27 @@ def unit_inventory(types: DataFrame, by: Sequence[str] = (), vocabulary: int = V
     if not by and types.count() > local:
         return spark.createDataFrame(list(enumerate(_merge_table(types, vocabulary))), "rank int, unit string")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        units, _ = merges(dict(zip(pdf["word"], pdf["c"].tolist())), vocabulary)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(units) for c in by} | {"rank": range(len(units)), "unit": units})
+    if not by:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            halves = [(b.column(0).to_pylist(), b.column(1).to_numpy()) for b in batches]
+            units = merges_of_many((w for w, _ in halves), (c for _, c in halves), vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(units)), pa.int32()), pa.array(units, pa.string())], ["rank", "unit"])
+
+        return types.select("word", "c").repartition(1).mapInArrow(whole, "rank int, unit string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = batch.column("w")[i].as_py(), batch.column("c")[i].as_py()
+                units = merges_of_many([words], [counts], vocabulary) if len(words) > MANY else merges(dict(zip(words, counts)), vocabulary)[0]
+                at = pa.array(np.full(len(units), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(range(len(units)), pa.int32()), pa.array(units, pa.string())], [*by, "rank", "unit"])
 
-    keyed = types.groupBy(*by) if by else types.withColumn("_all", F.lit(0)).groupBy("_all")
+    # One row a group: groups are many and mostly small, and a call of Python for each would cost more than its merges.
+    listed = types.groupBy(*by).agg(F.collect_list("word").alias("w"), F.collect_list("c").alias("c"))
     keys = "".join(f"{c} {types.schema[c].dataType.simpleString()}, " for c in by)
-    return keyed.applyInPandas(run, keys + "rank int, unit string")
+    return listed.mapInArrow(run, keys + "rank int, unit string")
 
 
 def merge_list(types: DataFrame, vocabulary: int = VOCABULARY) -> list[tuple[str, str]]:
