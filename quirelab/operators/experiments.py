@@ -9,10 +9,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelab.operators import coded, nulls
 from quirelab.operators import mechanisms as me
-from quirelab.operators import nulls
 from quirelab.operators.resample import interval_scores, match_report
-from quirelab.operators.signature import bin_of, joint_signature, zipf_from_counts, zipf_from_ties
+from quirelab.operators.signature import FIELDS, bin_of, joint_signature, zipf_from_counts, zipf_from_ties
+from quirelab.session import cut
 
 
 # The parameter grids of the published sweeps.
@@ -61,7 +62,8 @@ def score_grid(corpora: DataFrame, intervals: DataFrame, by: Sequence[str] = ("c
 
 def null_baseline(lines: DataFrame, intervals: DataFrame, seed: int = 42, fractal: bool = True) -> DataFrame:
     """The within-line permutation, scored."""
-    return match_report(interval_scores(joint_signature(nulls.word_shuffle(lines, seed), None, (), fractal), intervals))
+    made = coded.store(cut(nulls.word_shuffle(lines, seed).select("line_no", "grp", "words")))
+    return match_report(interval_scores(coded.signatures(lines.sparkSession, made, [-1], FIELDS, fractal).drop("iter"), intervals))
 
 
 def type_counts(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
