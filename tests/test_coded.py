@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quirelab.operators import coded, coding, resample, signature
+from quirelab.operators import coded, coding, experiments, nulls, resample, signature
 from quirelab.session import cut
 from tests.test_signature import make
 
@@ -52,3 +52,13 @@ def test_pairs_in_ranges(monkeypatch):
         key = np.unique(x[:-3].astype(np.int64) * size + x[3:], return_counts=True)[1]
         pairs = coded._Pairs(x, size)
         assert len(pairs.parts) > 1 and pairs.clogs([3])[0] == pytest.approx(float((key * np.log2(key)).sum()))
+
+
+def test_null_model_is_scored_in_one_task(spark, monkeypatch):
+    """The shuffled corpus is scored as by the plans, without them."""
+    lines = _lines(spark, 500)
+    whole = signature.joint_signature(nulls.word_shuffle(lines))
+    bounds = cut(whole.select("field", (whole["value"] - 1e-9).alias("lower"), (whole["value"] + 1e-9).alias("upper")))
+    monkeypatch.setattr(experiments, "joint_signature", None)
+    row = experiments.null_baseline(lines, bounds).first()
+    assert row["matches"] == row["total"] == 16
