@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quirelab.operators import coded, coding, experiments, nulls, resample, signature
+from quirelab.operators import coded, coding, experiments, mechanisms, nulls, resample, signature
 from quirelab.session import cut
 from tests.test_signature import make
 
@@ -62,3 +62,19 @@ def test_null_model_is_scored_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(experiments, "joint_signature", None)
     row = experiments.null_baseline(lines, bounds).first()
     assert row["matches"] == row["total"] == 16
+
+
+def test_grids_are_scored_where_they_are_made(spark):
+    """Type counts and signatures of a grid's corpora from one run, as from the written corpora."""
+    lines = _lines(spark, 300)
+    configs = [experiments.attachment_grid()[2], experiments.self_citation_grid()[1], experiments.fractal_grid()[0], experiments.vocabulary_grid()[5]]
+    seed, _ = mechanisms.seed_table(lines)
+    rows = cut(mechanisms.scored_rows(spark, configs, seed, 400, [42], signature.FIELDS))
+    made = cut(mechanisms.generate(spark, configs, seed, 400))
+    want = {(r["config_id"], r["field"]): r["value"] for r in signature.joint_signature(made, None, ["config_id"], False).collect()}
+    got = {(r["config_id"], r["field"]): r["value"] for r in rows.where("field is not null").collect()}
+    fractal = {"hurst_dfa", "multifractal_delta_h", "box_dimension"}
+    assert set(got) == set(want) and all(got[i, f] is not None for i in range(3) for f in fractal)
+    assert all(got[k] == (None if v is None else pytest.approx(v, rel=1e-9, abs=1e-12)) for k, v in want.items() if k[1] not in fractal)
+    ties = mechanisms.grid_type_counts(spark, configs, seed, 400)
+    assert sorted(map(tuple, rows.where("field is null").drop("field", "value").collect())) == sorted(map(tuple, ties.collect()))
