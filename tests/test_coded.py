@@ -69,7 +69,7 @@ def test_grids_are_scored_where_they_are_made(spark):
     lines = _lines(spark, 300)
     configs = [experiments.attachment_grid()[2], experiments.self_citation_grid()[1], experiments.fractal_grid()[0], experiments.vocabulary_grid()[5]]
     seed, _ = mechanisms.seed_table(lines)
-    rows = cut(mechanisms.scored_rows(spark, configs, seed, 400, [42], signature.FIELDS))
+    rows = cut(mechanisms.scored_rows(spark, configs, coded.store(cut(lines)), 400, [42], signature.FIELDS))
     made = cut(mechanisms.generate(spark, configs, seed, 400))
     want = {(r["config_id"], r["field"]): r["value"] for r in signature.joint_signature(made, None, ["config_id"], False).collect()}
     got = {(r["config_id"], r["field"]): r["value"] for r in rows.where("field is not null").collect()}
