@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quirelab.operators import coded, coding, experiments, mechanisms, nulls, resample, signature
+from quirelab.operators import coded, coding, corpus, experiments, mechanisms, nulls, resample, signature
 from quirelab.session import cut
 from tests.test_signature import make
 
@@ -78,3 +79,34 @@ def test_grids_are_scored_where_they_are_made(spark):
     assert all(got[k] == (None if v is None else pytest.approx(v, rel=1e-9, abs=1e-12)) for k, v in want.items() if k[1] not in fractal)
     ties = mechanisms.grid_type_counts(spark, configs, seed, 400)
     assert sorted(map(tuple, rows.where("field is null").drop("field", "value").collect())) == sorted(map(tuple, ties.collect()))
+
+
+def test_triples(spark):
+    """Parses without overlap, of random and of repeated texts, whatever the length."""
+    rng = np.random.default_rng(4)
+    for size in (2, 5, 40):
+        x = rng.integers(size, size=900).astype(np.int32)
+        assert coded.lz77_triples(x, [8, 64, 256]) == [sum(1 for _ in coding.longest_matches(x.tolist(), w, 3, False)) for w in (8, 64, 256)]
+    for text in ("abcabdabe", "it was the best of times it was the worst", "abcdefghijklmnopqrstuvwxyz", "a", "ab"):
+        ids = np.array([ord(c) for c in text], np.int32)
+        for n in (0, 1, 5, 90, 777, 3001):
+            for window in (8, 20, 64):
+                x = np.resize(ids, n).astype(np.int32) if n else np.zeros(0, np.int32)
+                assert coded.periodic_triples(ids, n, window) == sum(1 for _ in coding.longest_matches(x.tolist(), window, 3, False))
+                x[-1:] = 7
+                assert coded.periodic_triples(ids, n, window, last=7) == sum(1 for _ in coding.longest_matches(x.tolist(), window, 3, False))
+
+
+def test_profiles_are_those_of_the_streams(spark):
+    """Each corpus's ratios as by one parse after another, also for controls longer than a window."""
+    lines = _lines(spark, 200).select(F.lit("observed").alias("name"), "line_no", "grp", "words")
+    texts = spark.createDataFrame([("a", "it was the best of times it was the worst of times"), ("b", "aab")], "name string, t string")
+    both = cut(lines.unionByName(coding.control_corpus(texts, "name", F.col("t"), 20_001)).unionByName(coding.control_corpus(texts.where("name = 'b'").withColumn("name", F.lit("small")), "name", F.col("t"), 90)))
+    flat = corpus.words(both, ["name"])
+    stream = flat.select("name", F.col("pos").alias("i"), F.col("word").alias("sym"))
+    whole = both.where(F.size("words") > 0).select("name", F.col("line_no").alias("i"), F.array_join("words", "").alias("sym"))
+    got = {r["name"]: r for r in coding.compression_profile(both, flat, ["name"]).collect()}
+    assert set(got) == {"observed", "a", "b", "small"} and set(got["small"][1:]) == {0.0}
+    for field, df in [*((f"lz77_w{w}", coding.lz77_ratio(stream, ["name"], w)) for w in (64, 256, 1024)), ("huffman", coding.huffman_ratio(stream, ["name"])), ("lz77_line", coding.lz77_ratio(whole, ["name"], 256))]:
+        for name, value in df.where("name <> 'small'").collect():
+            assert got[name][field] == pytest.approx(value, abs=1e-12), (name, field)
