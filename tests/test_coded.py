@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelab.operators import coded, coding, corpus, experiments, mechanisms, nulls, resample, signature
-from quirelab.session import cut
+from quirelab.session import cut, whole_executor
 from tests.test_signature import make
 
 
@@ -110,3 +110,17 @@ def test_profiles_are_those_of_the_streams(spark):
     for field, df in [*((f"lz77_w{w}", coding.lz77_ratio(stream, ["name"], w)) for w in (64, 256, 1024)), ("huffman", coding.huffman_ratio(stream, ["name"])), ("lz77_line", coding.lz77_ratio(whole, ["name"], 256))]:
         for name, value in df.where("name <> 'small'").collect():
             assert got[name][field] == pytest.approx(value, abs=1e-12), (name, field)
+
+
+@pytest.mark.parametrize(("master", "cores", "want"), [("local[4]", "0", None), ("local-cluster[3,2,3000]", "0", 2), ("spark://x:7077", "4", 4), ("yarn", "0", None), ("yarn", "1", None)])
+def test_large_tasks_have_an_executor_to_themselves(spark, master, cores, want):
+    class Context:
+        def getConf(self):
+            return {"spark.executor.cores": cores}
+
+    class Session:
+        sparkContext = Context()
+
+    Context.master = master
+    got = whole_executor(Session())
+    assert (got and got.taskResources["cpus"].amount) == want
