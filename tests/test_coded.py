@@ -124,3 +124,10 @@ def test_large_tasks_have_an_executor_to_themselves(spark, master, cores, want):
     Context.master = master
     got = whole_executor(Session())
     assert (got and got.taskResources["cpus"].amount) == want
+
+
+def test_many_empty_lines_are_passed_over():
+    """Citing goes on however many empty lines are drawn in all, as long as some have words."""
+    seed = [[]] * 400 + [["a", "b"], ["c"]] * 5
+    made = mechanisms.self_citation(seed, 3000, experiments.self_citation_grid()[4], np.random.default_rng(1))
+    assert len(made) == 3000 and all(made[410:])
