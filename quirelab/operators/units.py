@@ -14,6 +14,9 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +159,148 @@ def merges_of_many(words: Iterable[Sequence[str]], counts: Iterable[np.ndarray],
     return units
 
 
+class Stock:
+    """Word types whose counts vary: the units of each sample as :func:`merges` has them.
+
+    What doesn't depend on the counts is made once: the symbols with gaps between words, and the places of each
+    pair. A merge goes to the places of its pair alone, which stand in the list of the merge that made the later symbol.
+    """
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, vocabulary: int = VOCABULARY):
+        chars, number = np.unique(codes, return_inverse=True)
+        self.names, self.vocabulary, self.cap = [chr(c) for c in chars.tolist()], vocabulary, len(chars) + max(vocabulary, 1)
+        self.s = np.full(len(codes) + len(lengths) + 1, -1, np.int32)
+        inside = np.ones(len(self.s), bool)
+        inside[np.cumsum(lengths + 1) - 1] = inside[-1] = False
+        self.s[inside] = number
+        self.of = np.repeat(np.arange(len(lengths) + 1, dtype=np.int32), np.append(lengths + 1, 1))
+        at = np.flatnonzero((self.s[:-1] >= 0) & (self.s[1:] >= 0)).astype(np.int32)
+        keys = self.s[at].astype(np.int64) * self.cap + self.s[at + 1]
+        by = np.argsort(keys, kind="stable")
+        self.first = keys[by], at[by]
+
+    def units(self, counts: np.ndarray) -> list[str]:
+        s, cap, names, vocabulary = self.s.copy(), self.cap, list(self.names), self.vocabulary
+        weight = np.append(counts, 0).astype(np.int64)[self.of]
+        after = np.arange(1, len(s) + 1, dtype=np.int32)
+        before = np.arange(-1, len(s) - 1, dtype=np.int32)
+        pairs = np.zeros(cap * cap, np.int64)
+        np.add.at(pairs, self.first[0], weight[self.first[1]])
+        here = np.zeros(len(names), np.int64)
+        np.add.at(here, s[s >= 0], weight[s >= 0])
+        units = [u for u, n in zip(names, here.tolist()) if n > 0]
+        number, lists = {u: i for i, u in enumerate(names)}, defaultdict(list)
+
+        def standing(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places where a pair stands, once each, and the pairs."""
+            heads = np.unique(heads)
+            heads = heads[s[heads] >= 0]
+            heads = heads[s[after[heads]] >= 0]
+            return heads, s[heads].astype(np.int64) * cap + s[after[heads]]
+
+        while len(units) < vocabulary:
+            most = pairs.max(initial=0)
+            if most <= 0:
+                break
+            x, y = min((divmod(k, cap) for k in np.flatnonzero(pairs == most).tolist()), key=lambda p: (names[p[0]], names[p[1]]))
+            k, found = x * cap + y, []
+            for keys, places in [self.first, *lists[x], *(lists[y] if y != x else [])]:
+                lo, hi = np.searchsorted(keys, [k, k + 1])
+                found.append(places[lo:hi])
+            at = np.unique(np.concatenate(found))
+            at = at[s[at] == x]
+            at = at[s[after[at]] == y]
+            if x == y:  # from the left, every other of a run
+                start = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            second = after[at]
+            heads, keys = standing(np.concatenate([before[at], at, second]))
+            np.subtract.at(pairs, keys, weight[heads])
+            joined = names[x] + names[y]
+            if joined not in number:
+                number[joined] = len(names)
+                names.append(joined)
+                units.append(joined)
+            s[at], s[second] = number[joined], -2
+            after[at] = after[second]
+            before[after[at]] = at
+            heads, keys = standing(np.concatenate([before[at], at]))
+            np.add.at(pairs, keys, weight[heads])
+            by = np.argsort(keys, kind="stable")
+            lists[number[joined]].append((keys[by], heads[by]))
+        return units
+
+
+def _texts(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as code points one after another, and the length of each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _store_types(types: DataFrame) -> str | None:
+    """Write a table ``grp, word, c`` that :func:`session.cut` gave as numbers, in one task that holds distinct words; where they stand."""
+    written = types.inputFiles()
+    if not written:
+        return None
+    path = written[0].rsplit("/", 1)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(kind: int, *parts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *(pa.array([p.astype(np.int32).tobytes()], pa.binary()) for p in parts)], ["kind", "a", "b", "c"])
+
+        for _ in batches:
+            fs, place = pa.fs.FileSystem.from_uri(path)
+            number: tuple[dict, dict] = {}, {}
+            for batch in pads.dataset(place, filesystem=fs, format="parquet").to_batches(columns=["grp", "word", "c"], batch_size=1 << 18):
+                own = []
+                for known, name in zip(number, ("grp", "word")):
+                    coded = batch.column(name).dictionary_encode()
+                    at = np.array([known.setdefault(t, len(known)) for t in coded.dictionary.to_pylist()], np.int32)
+                    none = np.int32(-1)  # a group without a name is never drawn
+                    own.append(np.append(at, none)[pc.fill_null(coded.indices, len(at)).to_numpy(zero_copy_only=False)])
+                yield row(0, *own, batch.column("c").to_numpy())
+            for kind, known in enumerate(number, 1):
+                yield row(kind, *_texts(list(known)), np.zeros(0))
+
+    return cut(types.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "kind int, a binary, b binary, c binary")).inputFiles()[0].rsplit("/", 1)[0]
+
+
+def _sampled_units(times: DataFrame, path: str, vocabulary: int) -> DataFrame:
+    """``iter, unit`` of samples ``iter, grp, m`` of stored types, some samples a task: the counts are summed in one pass for all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = [r for b in batches for r in b.to_pylist()]
+        if not samples:
+            return
+        fs, place = pa.fs.FileSystem.from_uri(path)
+        data = pads.dataset(place, filesystem=fs, format="parquet")
+        read = lambda value, kind=np.int32: np.frombuffer(value.as_py(), kind)
+        texts = {r["kind"].as_py(): (read(r["a"], np.uint32), read(r["b"]).astype(np.int64)) for r in (dict(zip(t.column_names, (c[0] for c in t.columns))) for t in (data.to_table(filter=pc.field("kind") == k) for k in (1, 2)))}
+        codes, ends = texts[1][0], np.cumsum(texts[1][1]).tolist()
+        text = codes.tobytes().decode("utf-32-le")
+        number = {text[a:b]: i for i, (a, b) in enumerate(zip([0, *ends], ends))}
+        drawn = np.zeros((len(samples), len(number) + 1), np.int64)  # the last is no group
+        for own, r in zip(drawn, samples):
+            for g, m in zip(r["g"], r["m"]):
+                if g in number:
+                    own[number[g]] = m
+        size = len(texts[2][1])
+        counts = np.zeros((len(samples), size), np.int64)
+        for batch in data.to_batches(columns=["a", "b", "c"], filter=pc.field("kind") == 0, batch_size=1):
+            for a, b, c in zip(*batch.columns):
+                g, w, c = read(a), read(b), read(c)
+                for own, m in zip(counts, drawn):
+                    own += np.bincount(w, c * m[g], size).astype(np.int64)
+        stock = Stock(*texts[2], vocabulary)
+        for own, r in zip(counts, samples):
+            if own.sum() >= LEAST_WORDS:
+                units = stock.units(own)
+                yield pa.RecordBatch.from_arrays([pa.array([r["iter"]] * len(units), pa.int32()), pa.array(units, pa.string())], ["iter", "unit"])
+
+    rows = times.where("grp is not null").groupBy("iter").agg(F.collect_list("grp").alias("g"), F.collect_list("m").alias("m"))
+    return rows.repartition(24).mapInArrow(run, "iter int, unit string")
+
+
 def _merge_table(types: DataFrame, vocabulary: int) -> list[str]:
     """The units of a vocabulary that stays distributed: one aggregation per merge."""
     rows = cut(types.select("c", F.filter(F.split("word", ""), lambda x: x != "").alias("s")))
@@ -272,15 +417,15 @@ def unit_presence(lines: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
 def bootstrap_stability(lines: DataFrame, iterations: int = 100, vocabulary: int = VOCABULARY, seed: int = 42) -> DataFrame:
     """One row ``mean_jaccard, sd, ci_low, ci_high, iterations`` over bootstrap samples of groups.
 
-    A sample is the groups' word counts times how often each was drawn; all samples are merged
-    beside each other. Samples under LEAST_WORDS words are left out; the deviation is the sample
+    A sample is the groups' word counts times how often each was drawn, summed in the tasks from
+    written numbers, so no sample is exchanged. Samples under LEAST_WORDS words are left out; the deviation is the sample
     one (0 for one sample). Under two groups there is no row.
     """
-    types = word_bag(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c"))
-    times = bootstrap_draws(lines, iterations, seed).groupBy("iter", "grp").agg(F.count("*").alias("m"))
-    counts = times.join(types, "grp").groupBy("iter", "word").agg(F.sum(F.col("c") * F.col("m")).alias("c"))
-    big = counts.groupBy("iter").agg(F.sum("c").alias("n")).where(F.col("n") >= LEAST_WORDS).select("iter")
-    j = jaccard(unit_inventory(counts.join(big, "iter"), ["iter"], vocabulary), unit_inventory(word_types(lines), (), vocabulary), ["iter"])
+    types = cut(word_bag(lines).where("word <> ''").groupBy("grp", "word").agg(F.count("*").alias("c")))
+    times = bootstrap_draws(lines, iterations, seed).groupBy("iter", "grp").agg(F.count("*").cast("int").alias("m"))
+    path = _store_types(types)
+    made = cut(_sampled_units(times, path, vocabulary)) if path else lines.sparkSession.createDataFrame([], "iter int, unit string")
+    j = jaccard(made, unit_inventory(types.groupBy("word").agg(F.sum("c").alias("c")), (), vocabulary), ["iter"])
     out = j.groupBy().agg(F.avg("jaccard").alias("mean_jaccard"), F.coalesce(F.stddev_samp("jaccard"), F.lit(0.0)).alias("sd"), F.count("*").alias("iterations"))
     margin = 1.96 * F.col("sd") / F.sqrt("iterations")
     enough = lines.groupBy().agg(F.countDistinct("grp").alias("_g")).where("_g >= 2")
