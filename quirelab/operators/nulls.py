@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelab.operators.corpus import followers, prefix, word_ids, words
 from quirelab.operators.resample import HASH_BLOCK, draw, order_hash
-from quirelab.session import cut
+from quirelab.session import cut, whole_executor
 
 CHUNK_LINES = 20
 
@@ -181,26 +181,34 @@ def _repeated(a: np.ndarray, b: np.ndarray, sure: np.ndarray | None, block: int
     """
     n = len(b)
     number = np.full(n, -1, np.int32)
-    ends = np.cumsum(np.bincount(b)) if n else np.zeros(0, np.int64)
+    ends = np.zeros(int(b.max()) + 1 if n else 0, np.int64)
+    for i in range(0, n, block):  # a count takes 8 bytes a number
+        own = np.bincount(b[i : i + block])
+        ends[: len(own)] += own
+    np.cumsum(ends, out=ends)
     cuts = np.unique(np.searchsorted(ends, np.arange(block, n, block)) + 1) if n > block else np.zeros(0, np.int64)
-    places, bounds, known, base = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], 0, 0
+    # Filled from the front; memory is taken only as far as it is filled.
+    places, bounds, known, base = np.empty(n, np.int32), np.zeros(n // 2 + 1, np.int32), 0, 0
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)]):
         within = [np.flatnonzero((b[i : i + block] >= lo) & (b[i : i + block] < hi)).astype(np.int32) + np.int32(i) for i in range(0, n, block)]
         at = np.concatenate(within) if within else np.zeros(0, np.int32)
+        del within
         if sure is not None:
             at = at[~sure[at]]
         key = a[at].astype(np.int64) << 32 | b[at]
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
+        del by
         new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
-        sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
+        del key
+        sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
         many = np.repeat(sizes > 1, sizes)
         at, sizes = at[many], sizes[sizes > 1]
         number[at] = np.repeat(np.arange(known, known + len(sizes), dtype=np.int32), sizes)
-        places.append(at)
-        bounds.append((base + np.cumsum(sizes)).astype(np.int32))
+        places[base : base + len(at)] = at
+        bounds[known + 1 : known + 1 + len(sizes)] = base + np.cumsum(sizes)
         known, base = known + len(sizes), base + len(at)
-    return number, np.concatenate(places), np.concatenate(bounds)
+    return number, places[:base], bounds[: known + 1]
 
 
 def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: int = 1) -> DataFrame:
@@ -209,7 +217,7 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
     The walk starts at a run of words drawn by frequency, and each step draws the next word by its
     count after the run before; a run without a next word takes a random word. A walk is
     sequential, so a replicate is one task; it gets the words as numbers (8 to 16 bytes a word) and the
-    lines' lengths, and yields whole lines. A stream of at most ``order`` words is copied.
+    lines' lengths, has an executor to itself, and yields whole lines. A stream of at most ``order`` words is copied.
     """
     flat = cut(words(lines).select("pos", "word"))
     n = flat.count()
@@ -227,7 +235,7 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
 
     def walk(replicate: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, vocab, at, lengths = np.empty(n, np.int32), [], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 2]
+            x, vocab, at, lengths = np.empty(n, np.int32), [], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
             for batch in batches:
                 kind, i, v = (batch.column(c).to_numpy() for c in range(3))
                 own = kind == 1
@@ -236,7 +244,7 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
                     at.append(i[kind == 0].copy())
                     vocab.append(batch.column(3).filter(pa.array(kind == 0)))
                 if (kind == 2).any():
-                    lengths.append((i[kind == 2].copy(), v[kind == 2].astype(np.int64)))
+                    lengths.append((i[kind == 2].copy(), v[kind == 2].astype(np.int32)))
             place = np.concatenate(at)
             back = np.empty(len(place), np.int64)
             back[place] = np.arange(len(place))
@@ -247,12 +255,12 @@ def markov_chain(lines: DataFrame, order: int = 2, seed: int = 42, replicates: i
             del vocab, at, place, back, lengths, by
             steps = _Walk(x, order, len(named), np.random.default_rng([seed, replicate]))
             for a in range(0, len(sizes), 10_000):
-                ends = np.concatenate([[0], np.cumsum(sizes[a : a + 10_000])])
+                ends = np.concatenate([[0], np.cumsum(sizes[a : a + 10_000], dtype=np.int64)])
                 text = named.take(pa.array(steps.words(int(ends[-1])))).cast(pa.string())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[a : a + 10_000]), lists], ["line_no", "words"])
 
-        made = one.mapInArrow(run, "line_no long, words array<string>")
+        made = one.mapInArrow(run, "line_no long, words array<string>", profile=whole_executor(lines.sparkSession))
         return frame.select("line_no", "grp").join(made, "line_no").select(F.lit(replicate).cast("long").alias("replicate"), "line_no", "grp", "words")
 
     return reduce(DataFrame.unionByName, map(walk, range(replicates)))
